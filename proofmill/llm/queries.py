@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import chat, mixing, tokenbin, urlrules
+from proofmill.llm import chat, langid, mixing, simhash, tokenbin, urlrules
 from proofmill.llm.common import documents
 
 CONFLICT = r"\### Assistant: </turn> ok"
@@ -17,6 +17,14 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(documents(spark, sf_dir))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -30,7 +38,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op6_mix": op6_mix, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op3_language": op3_language, "op4_simhash": op4_simhash, "op6_mix": op6_mix, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
 
 _OP1 = r"""
 WITH turns AS (
