@@ -12,9 +12,9 @@ A task writes under a name of its own and renames at the end, so a retry or a se
 leaves the same bytes under the same name. The manifest (one row per shard) gives the shards'
 bases; readers take one shard per task and hold one block at a time.
 
-Tokens: words (runs between ASCII white space) are encoded one by one through a bounded cache.
-That equals encoding the whole text, as the vocabulary drops white space and its pre-tokenizer
-and normalizer never look across it.
+Tokens: words (runs between ASCII white space) are encoded through a bounded cache. That
+equals encoding the whole text, as the vocabulary lower-cases, drops white space, and its
+pre-tokenizer and normalizer never look across it.
 
 Defined cases: null or empty text has only the end id; null doc_id sorts first; rows that
 repeat a doc_id stay and are ordered by text (null first); an empty table gives no rows.
@@ -23,7 +23,9 @@ repeat a doc_id stay and are ordered by text (null first); an empty table gives
 from __future__ import annotations
 
 import json
+import re
 import struct
+import sys
 import zlib
 
 from pyspark.sql import DataFrame, Window
@@ -33,7 +35,7 @@ from proofmill.llm.common import Workspace, partitions
 
 BLOCK, END_ID, LEVEL, MAGIC, VERSION = 1 << 16, 1, 1, b"PMTB", 1
 #: Words kept by a worker's cache; longer words than CACHE_CHARS are never kept.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
+CACHE_WORDS, CACHE_CHARS = 450_000, 40
 
 
 def default_tokenizer() -> str:
@@ -43,31 +45,77 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """bytes of a text -> little-endian u32 ids."""
+    """bytes of a text -> little-endian u32 ids.
+
+    Lower-cased words are looked up; a word of Latin letters and then ASCII marks is two
+    pre-tokens. Unknown words of plain Latin letters are one pre-token each, so
+    they are encoded as one text and cut after each token that ends a word; others one by one.
+    """
 
     def __init__(self, blob: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
+        self.plain = re.compile("[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.marked = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)").fullmatch
         self.cache: dict[bytes, bytes] = {}
 
-    def batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """Each text's ids."""
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
         import numpy as np
 
+        plain = [w for w in words if self.plain(w.decode())]
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            ids = np.array(self._ids(b" ".join(part).decode()), dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, cut in zip(part, cuts.tolist(), strict=True):
+                    into[w] = data[at:cut]
+                    at = cut
+        for w in words:
+            if w not in into:
+                into[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
+
+    def batch(self, texts: list[bytes | None]) -> list[bytes]:
+        """Each text's ids."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        split = [(t or b"").split() for t in texts]
+        get = cache.get
+        split = [(t or b"").lower().split() for t in texts]
+        found = [list(map(get, words)) for words in split]
+        holes = [k for k, ids in enumerate(found) if None in ids]
+        if not holes:
+            return [b"".join(ids) for ids in found]
+        new = {w for k in holes for w, i in zip(split[k], found[k], strict=True) if i is None}
+        marked = {w: m for w in new if (m := self.marked(w))}
+        bare = {x for m in marked.values() for x in m.groups()}.union(new.difference(marked))
         rare: dict[bytes, bytes] = {}
-        new = {w for words in split for w in words if w not in cache}
-        if new:
-            order = list(new)
-            for w, e in zip(order, self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False), strict=True):
-                (cache if len(w) <= CACHE_CHARS else rare)[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if rare:
-            return [b"".join([cache[w] if w in cache else rare[w] for w in words]) for words in split]
-        return [b"".join([cache[w] for w in words]) for words in split]
+        self.learn([w for w in bare if len(w) <= CACHE_CHARS and w not in cache], cache)
+        self.learn([w for w in bare if len(w) > CACHE_CHARS], rare)
+        either = lambda w: cache[w] if w in cache else rare[w]
+        for w, m in marked.items():
+            (rare if len(w) > CACHE_CHARS else cache)[w] = either(m[1]) + either(m[2])
+        for k in holes:
+            found[k] = [either(w) if i is None else i for w, i in zip(split[k], found[k], strict=True)]
+        return [b"".join(ids) for ids in found]
+
+
+def worker_encoder(blob: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    kept = sys.__dict__.setdefault("_proofmill_encoders", {})
+    key = zlib.crc32(blob.encode())
+    if key not in kept:
+        kept[key] = WordEncoder(blob)
+    return kept[key]
 
 
 def filesystem(path: str):
@@ -173,7 +221,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, doc
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        writer, encoder, end = None, WordEncoder(blob.value), struct.pack("<I", END_ID)
+        writer, encoder, end = None, worker_encoder(blob.value), struct.pack("<I", END_ID)
         for batch in batches:
             writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId())
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
