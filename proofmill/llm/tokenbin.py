@@ -35,7 +35,7 @@ from proofmill.llm.common import Workspace, partitions
 
 BLOCK, END_ID, LEVEL, MAGIC, VERSION = 1 << 16, 1, 1, b"PMTB", 1
 #: Words kept by a worker's cache; longer words than CACHE_CHARS are never kept.
-CACHE_WORDS, CACHE_CHARS = 450_000, 40
+CACHE_WORDS, CACHE_CHARS = 700_000, 40
 
 
 def default_tokenizer() -> str:
@@ -44,12 +44,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A letter, and the ASCII marks that end its word: two pre-tokens, which a space may part.
+MARKS = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-/:-@\[-`{-~]+(?:[ \n]|$))"
+
+
 class WordEncoder:
     """bytes of a text -> little-endian u32 ids.
 
-    Lower-cased words are looked up; a word of Latin letters and then ASCII marks is two
-    pre-tokens. Unknown words of plain Latin letters are one pre-token each, so
-    they are encoded as one text and cut after each token that ends a word; others one by one.
+    Lower-cased words are looked up, without the marks that end them. Unknown words of plain
+    Latin letters are one pre-token each, so they are encoded as one text and cut after each
+    token that ends a word; others are encoded one by one.
     """
 
     def __init__(self, blob: str):
@@ -61,7 +65,6 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.plain = re.compile("[a-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        self.marked = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)").fullmatch
         self.cache: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
@@ -84,29 +87,42 @@ class WordEncoder:
             if w not in into:
                 into[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
 
-    def batch(self, texts: list[bytes | None]) -> list[bytes]:
-        """Each text's ids."""
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct lower-cased words."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        get = cache.get
-        split = [(t or b"").lower().split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        holes = [k for k, ids in enumerate(found) if None in ids]
-        if not holes:
-            return [b"".join(ids) for ids in found]
-        new = {w for k in holes for w, i in zip(split[k], found[k], strict=True) if i is None}
-        marked = {w: m for w in new if (m := self.marked(w))}
-        bare = {x for m in marked.values() for x in m.groups()}.union(new.difference(marked))
+        found = list(map(cache.get, words))
+        if None not in found:
+            return found
+        new = [w for w, i in zip(words, found, strict=True) if i is None]
         rare: dict[bytes, bytes] = {}
-        self.learn([w for w in bare if len(w) <= CACHE_CHARS and w not in cache], cache)
-        self.learn([w for w in bare if len(w) > CACHE_CHARS], rare)
-        either = lambda w: cache[w] if w in cache else rare[w]
-        for w, m in marked.items():
-            (rare if len(w) > CACHE_CHARS else cache)[w] = either(m[1]) + either(m[2])
-        for k in holes:
-            found[k] = [either(w) if i is None else i for w, i in zip(split[k], found[k], strict=True)]
-        return [b"".join(ids) for ids in found]
+        self.learn([w for w in new if len(w) <= CACHE_CHARS], cache)
+        self.learn([w for w in new if len(w) > CACHE_CHARS], rare)
+        return [(cache[w] if w in cache else rare[w]) if i is None else i for w, i in zip(words, found, strict=True)]
+
+    def batch(self, texts):
+        """(ids of an Arrow string array's texts in one array, each text's first position and the end).
+
+        Words are split and numbered by Arrow, so only a batch's distinct words reach Python.
+        """
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pc.ascii_lower(pc.fill_null(texts, ""))
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token can be cut
+            texts = pc.replace_substring_regex(texts, MARKS, r"\1 \2")
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy()
+        words = split.values.dictionary_encode()
+        codes = words.indices.to_numpy()
+        ids = self.look_up([w.encode() for w in words.dictionary.to_pylist()])
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return flat[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])], ends[offsets]
 
 
 def worker_encoder(blob: str) -> WordEncoder:
@@ -224,10 +240,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, doc
         writer, encoder, end = None, worker_encoder(blob.value), struct.pack("<I", END_ID)
         for batch in batches:
             writer = writer or ShardWriter(folder, task.partitionId(), task.taskAttemptId())
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            for k in range(0, len(ids), 256):
-                for d, e in zip(ids[k : k + 256], encoder.batch(texts[k : k + 256].to_pylist()), strict=True):
-                    writer.add(d, e + end)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                ids, at = encoder.batch(part.column(1))
+                for d, i, j in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    writer.add(d, ids[i:j].tobytes() + end)
         if writer:
             path, n, tokens = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": path, "n_docs": n, "n_tokens": tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
