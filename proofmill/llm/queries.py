@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import chat, langid, minhash, mixing, simhash, tokenbin, urlrules
+from proofmill.llm import chat, decontam, langid, minhash, mixing, simhash, tokenbin, urlrules
 from proofmill.llm.common import documents
 
 CONFLICT = r"\### Assistant: </turn> ok"
@@ -25,6 +25,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(documents(spark, sf_dir))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_language": op3_language, "op4_simhash": op4_simhash, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
 
 _OP1 = r"""
 WITH turns AS (
