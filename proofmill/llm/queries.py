@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import chat, decontam, langid, minhash, mixing, simhash, tokenbin, urlrules
+from proofmill.llm import chat, decontam, langid, licenses, minhash, mixing, simhash, tokenbin, urlrules
 from proofmill.llm.common import documents
 
 CONFLICT = r"\### Assistant: </turn> ok"
@@ -37,6 +37,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(documents(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(documents(spark, sf_dir))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_output(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op8_licenses": op8_licenses, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
 
 _OP1 = r"""
 WITH turns AS (
