@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofmill.llm import chat, decontam, langid, licenses, minhash, mixing, simhash, tokenbin, urlrules
+from proofmill.llm import chat, decontam, langid, licenses, minhash, mixing, simhash, suffix, tokenbin, urlrules
 from proofmill.llm.common import documents
 
 CONFLICT = r"\### Assistant: </turn> ok"
@@ -17,6 +17,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op8_licenses": op8_licenses, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
+QUERIES = {"op1_chat": op1_chat, "op2_suffix": op2_suffix, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op8_licenses": op8_licenses, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
 
 _OP1 = r"""
 WITH turns AS (
