@@ -317,7 +317,8 @@ def _counted_spans(space: Workspace, contexts: DataFrame) -> DataFrame:
 def repeated_spans(space: Workspace, rows: DataFrame, hot: int = HOT) -> DataFrame:
     """key, start, end: the bytes to remove, overlapping spans not yet merged. rows: key, text."""
     runs = space.save(_runs(rows), "runs")
-    shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written, so that the join has an exchange on both sides and a hot anchor can be split
+    shared = space.save(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared")
     met = space.save(runs.join(shared, "anchor"), "met")
     space.drop("runs")
     kinds = met.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one"))
