@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts are whole and long, and a worker holds a batch several times.
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ARROW_ROWS rows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 class Workspace:
     """Written tables of one operator call, under the shared folder.
 
@@ -39,6 +50,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_dir(spark)}/proofmill-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop)
 

@@ -30,7 +30,8 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from proofmill.llm.common import bounded_batches
 
 QUESTION, ANSWER, SHINGLE, MIN_WORDS = 0.8, 0.8, 5, 5
 K1, B, BLOCK = 1.2, 0.75, 16
@@ -285,6 +286,7 @@ def _parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified leak."""
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = docs.sparkSession.createDataFrame([], schema)
     for items in _parts(benchmark):
@@ -308,11 +310,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item; a narrow pass for each part of the index."""
+    bounded_batches(docs.sparkSession)
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    out = docs
+    out, text = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), docs.columns.index("text")
     for items in _parts(benchmark):
         shipped = docs.sparkSession.sparkContext.broadcast(items)
-        rows = out.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("_row"), F.col("text").alias("_text"))
 
         def run(batches, shipped=shipped):
             import pyarrow as pa
@@ -321,11 +323,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     part = batch.slice(k, 256)
-                    leaked = {d for d, _ in leaks_in(indexes, part.column(1))}
-                    kept = [d for d in range(part.num_rows) if d not in leaked]
-                    if kept:
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept))], names=["_row"])
-
-        kept = rows.mapInArrow(run, T.StructType([rows.schema["_row"]]))
-        out = kept.select(*[F.col(f"_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
-    return out
+                    leaked = {d for d, _ in leaks_in(indexes, part.column(text))}
+                    yield part.take(pa.array([d for d in range(part.num_rows) if d not in leaked], pa.int64()))
+
+        out = out.mapInArrow(run, out.schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

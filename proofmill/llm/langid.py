@@ -24,6 +24,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.common import bounded_batches
+
 SAMPLE_PER_LANG, SAMPLE_TEXT, MAX_LANGS = 500, 1 << 16, 200
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
 REJECT = 0.001
@@ -208,38 +210,41 @@ class Predictor:
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The `keep` columns with lang_pred, score, accepted; a narrow map over whole texts."""
+    """The `keep` columns (text among them or not) with _lang, _score, _accepted; a narrow map
+    over whole texts. Result columns are positional: _c0, _c1 ... for `keep`."""
     from pyspark.sql import types as T
 
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats: bounded
-    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col("text").alias("_text"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shipped = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats: bounded
+    own = [F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(keep)]
+    text = keep.index("text") if "text" in keep else len(keep)
+    rows = docs.select(*own) if text < len(keep) else docs.select(*own, F.col("text").alias("_text"))
+    added = T.StructType([T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_accepted", T.BooleanType())])
+    schema = T.StructType([*rows.schema.fields[: len(keep)], *added.fields])
 
     def run(batches):
         import pyarrow as pa
 
         predictor = Predictor(shipped.value)
         for batch in batches:
-            texts, found = batch.column(1).cast(pa.binary()), []
+            texts, found = batch.column(text).cast(pa.binary()), []
             for k in range(0, len(texts), 256):
                 found += predictor.batch(texts[k : k + 256].to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
-                names=["_row", "lang_pred", "score", "accepted"],
-            )
+            results = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *results], names=schema.names)
 
-    schema = T.StructType([rows.schema["_row"], *added.fields])
-    return rows.mapInArrow(run, schema).select("_row.*", "lang_pred", "score", "accepted")
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted of every document."""
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    return predict(docs, fit(docs), ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted")
+    held = F.coalesce(F.crc32(F.col("_c0").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
+    found = predict(docs, fit(docs), ["doc_id"])
+    return found.select(F.col("_c0").alias("doc_id"), held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_accepted").alias("accepted"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with their own columns."""
-    names = [f"_c{k}" for k in range(len(docs.columns))]
     found = predict(docs, fit(docs), docs.columns)
-    return found.toDF(*names, "_lang", "_score", "_accepted").where("_accepted").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return found.where("_accepted").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
