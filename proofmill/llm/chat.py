@@ -5,8 +5,9 @@ is written ``role=<hex of its UTF-8>``. The control strings inside a text are ``
 ``### ``; escaping puts one more backslash into each occurrence (``<\/turn>``, ``##\# ``) and
 into occurrences that already hold some, so unescaping takes exactly one away and every text
 comes back. A conversation is first rendered with its texts as they are and parsed; where a
-turn differs from its source, the conversation is rendered escaped and parsed again, and a
-conversation that still differs stops the job.
+turn differs from its source, which any bare control string or look-alike of an escaped one
+brings about, the conversation is rendered escaped and parsed again, and a conversation that
+still differs stops the job.
 
 Defined cases: null role or text is empty; turns go by turn, then role, then text, null turn
 first, repeated rows stay; null conv_id is one conversation; an empty table gives no rows;
@@ -57,13 +58,18 @@ def _segments(formatted: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The parser: array of struct(role, text), unescaped."""
+    """The parser: array of struct(role, text), unescaped. It cuts at every end mark; what then
+    does not start as a turn, or holds a bare turn head inside its text, reads as a null role."""
+    parts = F.split(formatted, END.strip(), -1)
+    lines = F.transform(parts, lambda s, i: F.when((i > 0) & F.startswith(s, F.lit("\n")), F.substr(s, F.lit(2))).otherwise(s))
     colon = lambda s: F.instr(s, COLON)
+    body = lambda s: F.substr(s, colon(s) + len(COLON))
+    whole = lambda s: F.startswith(s, F.lit(HEAD)) & (colon(s) > 0) & ~F.contains(body(s), F.lit(HEAD))
     return F.transform(
-        _segments(formatted),
+        F.slice(lines, F.lit(1), F.size(lines) - 1),
         lambda s: F.struct(
-            _role(F.substr(s, F.lit(len(HEAD) + 1), colon(s) - len(HEAD) - 1)).alias("role"),
-            unescape(F.substr(s, colon(s) + len(COLON))).alias("text"),
+            F.when(whole(s), _role(F.substr(s, F.lit(len(HEAD) + 1), colon(s) - len(HEAD) - 1))).alias("role"),
+            unescape(body(s)).alias("text"),
         ),
     )
 
@@ -89,10 +95,10 @@ def format_conversations(rows: DataFrame, roles: tuple[str, ...] = LOSS_ROLES) -
     turns = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     source = turns.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("plain", render(F.col("source"), lambda x: x))
-    tried = plain.withColumn("escaped", parse(F.col("plain")) != F.col("source"))
+    tried = plain.withColumn("escaped", ~parse(F.col("plain")).eqNullSafe(F.col("source")))
     text = F.when(F.col("escaped"), render(F.col("source"), escape)).otherwise(F.col("plain"))
     out = tried.select("conv_id", "source", "escaped", text.alias("formatted"))
-    same = parse(F.col("formatted")) == F.col("source")
+    same = parse(F.col("formatted")).eqNullSafe(F.col("source"))
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not parse back to its turns")))
     return out.select("conv_id", checked.alias("formatted"), "escaped").withColumn("loss_spans", loss_spans(F.col("formatted"), roles))
 

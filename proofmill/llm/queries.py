@@ -64,7 +64,7 @@ WITH turns AS (
 ), parts AS (
   SELECT *, CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length(role) ELSE 5 + 2 * octet_length(encode(role)) END AS label,
     regexp_replace(regexp_replace(text, '<(\\*)/turn>', '<\\\1/turn>', 'g'), '##(\\*)# ', '##\\\1# ', 'g') AS safe,
-    regexp_matches(text, '<\\+/turn>|##\\+# |</turn>\n') AS clash
+    regexp_matches(text, '<\\*/turn>|##\\*# ') AS clash
   FROM turns
 ), whole AS (
   SELECT conv_id, count(*) AS n_turns,
