@@ -168,8 +168,8 @@ def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str =
         return pd.Series([one(p) for p in batch])
 
     asked = base.withColumn("_reply", ask(prompt(F.col("raw_text"), version)))
-    asked = text.staged(asked, _problem=json_problem(F.col("_reply")), _text=F.get_json_object("_reply", "$.cleaned_text"))
-    judged = text.staged(asked, _g=guardrails(F.col("raw_text"), F.coalesce("_text", F.lit(""))))
+    asked = asked.withColumns({"_problem": json_problem(F.col("_reply")), "_text": F.get_json_object("_reply", "$.cleaned_text")})
+    judged = asked.withColumn("_g", guardrails(F.col("raw_text"), F.coalesce("_text", F.lit(""))))
     good = F.col("_problem").isNull() & F.col("_g.passed")
     reason = F.when(F.col("_problem").isNotNull(), F.concat(F.lit("model_error: "), F.col("_problem"))).when(~F.col("_g.passed"), F.lit("guardrail_violation"))
     record = (

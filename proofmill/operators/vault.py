@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from proofmill.config import Branding
 from proofmill.functions import text
 from proofmill.operators import health
+from proofmill.sources.files import read_binary
 
 INDEXES = ("Home.md", "By-Type.md", "By-Source.md")
 
@@ -48,9 +49,7 @@ def note_files(spark: SparkSession, folder: str, exclude: list[str] | None = Non
     walk(Path(folder))
     if not out:
         return spark.createDataFrame([], "file_path string, content string")
-    raw = spark.read.format("binaryFile").load([p.resolve().as_uri() for p in out])
-    path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-    return raw.select(path.alias("file_path"), F.col("content").cast("string").alias("content"))
+    return read_binary(spark, [str(p) for p in out]).select("file_path", F.col("content").cast("string").alias("content"))
 
 
 def plan(files: DataFrame, existing: DataFrame | None = None, config: VaultConfig = VaultConfig(), root: str = "") -> DataFrame:  # noqa: B008  frozen

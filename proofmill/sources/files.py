@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -39,18 +40,40 @@ def normalize(path: str, base: str | None = None) -> str:
     return (full.relative_to(root) if full.is_relative_to(root) else full).as_posix()
 
 
+BINARY = "file_path string, modificationTime timestamp, length long, content binary"
+
+
+def read_binary(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """BINARY rows of exactly these files. Spark's readers pass over names that start with `_`,
+    even when named, so those are opened by tasks of their own."""
+    full = [str(Path(p).resolve()) for p in paths]
+    hidden = [p for p in full if Path(p).name.startswith(("_", "."))]
+    literal = ["file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in full if p not in set(hidden)]
+    out = spark.createDataFrame([], BINARY)
+    if literal:
+        coded = F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B"))
+        out = spark.read.format("binaryFile").load(literal).select(F.url_decode(coded).alias("file_path"), "modificationTime", "length", "content")
+    if hidden:
+
+        def read(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                found = [(p, os.stat(p), Path(p).read_bytes()) for p in batch.column(0).to_pylist()]
+                times = pa.array([int(s.st_mtime * 1_000_000) for _, s, _ in found], pa.timestamp("us", tz="UTC"))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in found]), times, pa.array([len(c) for _, _, c in found], pa.int64()), pa.array([c for _, _, c in found], pa.binary())], names=["file_path", "modificationTime", "length", "content"])
+
+        out = out.unionByName(spark.createDataFrame([(p,) for p in hidden], "p string").mapInArrow(read, BINARY))
+    return out
+
+
 def load_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """source_path, raw_text, sizes and times; text that is not UTF-8 has status error, not a failed job."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    if not paths:
-        raw = spark.createDataFrame([], schema)
-    else:
-        raw = spark.read.format("binaryFile").load([Path(p).resolve().as_uri() for p in paths])
+    raw = read_binary(spark, paths)
     content = F.col("content").cast("string")
     valid = F.is_valid_utf8(content)
-    plain = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     return raw.select(
-        plain.alias("source_path"), F.when(valid, content).alias("raw_text"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"),
+        F.col("file_path").alias("source_path"), F.when(valid, content).alias("raw_text"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"),
         F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("modified_time"), F.when(~valid, F.lit("error")).alias("failure"),
     )
 
