@@ -28,6 +28,8 @@ from proofmill.llm.common import bounded_batches
 
 SAMPLE_PER_LANG, SAMPLE_TEXT, MAX_LANGS = 500, 1 << 16, 200
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
+#: Small samples are passed over more often, up to this many steps.
+LEAST_STEPS = 800
 REJECT = 0.001
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 FOLDS, HELD_OUT = 4, 2
@@ -102,8 +104,9 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
     if examples:
         indices, shares, offsets = _rows(examples)
         y = np.array(labels)
-        steps, step = EPOCHS * (len(y) // BATCH + 1), 0
-        for _ in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))
+        steps, step = epochs * (len(y) // BATCH + 1), 0
+        for _ in range(epochs):
             order = rng.permutation(len(y))
             for k in range(0, len(y), BATCH):
                 rate, step = RATE * max(0.02, 1 - step / steps), step + 1

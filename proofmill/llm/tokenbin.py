@@ -35,7 +35,7 @@ from proofmill.llm.common import Workspace, partitions
 
 BLOCK, END_ID, LEVEL, MAGIC, VERSION = 1 << 16, 1, 1, b"PMTB", 1
 #: Words kept by a worker's cache; longer words than CACHE_CHARS are never kept.
-CACHE_WORDS, CACHE_CHARS = 700_000, 40
+CACHE_WORDS, CACHE_CHARS = 250_000, 40
 
 
 def default_tokenizer() -> str:
