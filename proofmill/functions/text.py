@@ -79,23 +79,29 @@ def search_text(policy: str, raw: Column, cleaned: Column) -> Column:
     return {"raw_only": raw, "cleaned_only": cleaned}.get(policy, F.concat(raw, F.lit(" "), cleaned))
 
 
-def term_score(query_tokens: list[str], doc_tokens: Column) -> Column:
-    """Saturated term frequency over query tokens, damped by length, at most 1."""
-    if not query_tokens:
-        return F.lit(0.0)
-    wanted = F.array(*[F.lit(t) for t in query_tokens])
-    return score_tokens(wanted, doc_tokens)
+def let(value: Column, body):
+    """body(value) with value computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def query_pattern(query_tokens: list[str]) -> str:
+    """Whole tokens of a lower-cased text that are query tokens."""
+    return rf"(?<![a-z0-9])(?:{'|'.join(sorted(set(query_tokens), key=lambda t: (-len(t), t)))})(?![a-z0-9])"
 
 
-def score_tokens(wanted: Column, doc_tokens: Column) -> Column:
-    present = F.filter(doc_tokens, lambda t: F.array_contains(wanted, t))
+def term_score(query_tokens: list[str], present: Column, length: Column) -> Column:
+    """Saturated term frequency over query tokens in their order, damped by length, at most 1.
+
+    present: the text's tokens that are query tokens; length: the number of all its tokens.
+    """
+    wanted = F.array(*[F.lit(t) for t in query_tokens])
 
     def add(acc, q):
         n = F.size(F.filter(present, lambda t: t == q)).cast("double")
         return acc + F.when(n > 0, n * 1.5 / (n + 0.5)).otherwise(F.lit(0.0))
 
     total = F.aggregate(wanted, F.lit(0.0), add)
-    return F.least(F.lit(1.0), total / (F.lit(1.0) + F.size(doc_tokens) * F.lit(0.001)))
+    return F.least(F.lit(1.0), total / (F.lit(1.0) + length * F.lit(0.001)))
 
 
 def hash_score(query: Column, chunk_id: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from proofmill.config import ChunkConfig
 from proofmill.functions import ids
+from proofmill.functions import text as text_functions
 
 LOOK_BACK = 50
 
@@ -42,23 +43,27 @@ def _by_fold(text: Column, config: ChunkConfig) -> Column:
     steps = F.sequence(F.lit(1), (F.ceil(length / F.lit(gain)) + 1).cast("int"))
     start = F.struct(F.lit(0).alias("pos"), (length == 0).alias("done"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
 
-    def cut(pos: Column) -> Column:
-        end = F.least(pos + size, length)
-        if not config.split_on_newline:
-            return end
+    def found(end: Column, pos: Column) -> Column:
+        """The cut before `end`, from one window that starts a character ahead of the look-back."""
         low = F.greatest(F.lit(2), end - (LOOK_BACK - 1))
-        window = F.substr(text, low + 1, end - low)
-        newline = F.when(F.contains(window, F.lit("\n")), low + F.length(F.regexp_extract(window, r"(?s)^(.*)\n", 1)))
-        before = F.substr(text, low, end - low + 1)
-        sentence = F.length(F.regexp_extract(before, r"(?s)^(.*[.!?])[ \n]", 1))
-        found = F.coalesce(newline, F.when(sentence > 0, low - 1 + sentence), end)
-        return F.when((end < length) & (found > pos + overlap), found).otherwise(end)
+
+        def search(w: Column) -> Column:
+            newline = F.when(F.contains(F.substr(w, F.lit(2)), F.lit("\n")), low + F.length(F.regexp_extract(w, r"(?s)^.(.*)\n", 1)))
+            sentence = F.length(F.regexp_extract(w, r"(?s)^(.*[.!?])[ \n]", 1))
+            return F.coalesce(newline, F.when(sentence > 0, low - 1 + sentence), end)
+
+        at = text_functions.let(F.substr(text, low, end - low + 1), search)
+        return F.when(end < length, text_functions.let(at, lambda c: F.when(c > pos + overlap, c).otherwise(end))).otherwise(end)
 
     def step(acc, _):
-        end = cut(acc["pos"])
-        piece = F.struct(acc["pos"].alias("start"), F.substr(text, acc["pos"] + 1, end - acc["pos"]).alias("piece"))
-        nxt = F.struct(F.greatest(F.lit(0), end - overlap).alias("pos"), (end == length).alias("done"), F.concat(acc["out"], F.array(piece)).alias("out"))
-        return F.when(acc["done"], acc).otherwise(nxt)
+        hard = F.least(acc["pos"] + size, length)
+        cut = found(hard, acc["pos"]) if config.split_on_newline else hard
+
+        def extend(end):
+            piece = F.struct(acc["pos"].alias("start"), F.substr(text, acc["pos"] + 1, end - acc["pos"]).alias("piece"))
+            return F.struct(F.greatest(F.lit(0), end - overlap).alias("pos"), (end == length).alias("done"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+        return F.when(acc["done"], acc).otherwise(text_functions.let(cut, extend))
 
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 

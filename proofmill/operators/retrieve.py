@@ -60,13 +60,12 @@ def keyword_hits(corpus: DataFrame, request: RetrievalRequest, policy: str, limi
     wanted = query_tokens(request.query)
     rows = apply_filter(corpus, request.filters)
     if not wanted:
-        rows = rows.where(F.lit(False))
-    searched = text.tokens(text.search_text(policy, F.col("raw_text"), F.col("cleaned_text")))
-    tokenized = text.staged(rows, _t=searched)
-    scored = text.staged(tokenized, _s=text.term_score(wanted, F.col("_t"))).where("_s > 0").drop("_t")
-    top = scored.orderBy(F.desc("_s"), *KEYS).limit(limit)
-    tokens = F.array(*[F.lit(t) for t in wanted]) if wanted else F.array().cast("array<string>")
-    return _hits(top, F.col("_s"), F.lit(0.0), matched_fields(policy, tokens), "keyword", "token_frequency")
+        return _hits(rows.where(F.lit(False)), F.lit(0.0), F.lit(0.0), F.array().cast("array<string>"), "keyword", "token_frequency")
+    low = text.staged(rows, _low=F.lower(text.search_text(policy, F.col("raw_text"), F.col("cleaned_text"))))
+    hit = text.staged(low, _p=text.found(F.col("_low"), text.query_pattern(wanted))).where(F.size("_p") > 0)
+    scored = text.staged(hit, _s=text.term_score(wanted, F.col("_p"), F.regexp_count("_low", F.lit("[a-z0-9]+"))))
+    top = scored.drop("_low", "_p").orderBy(F.desc("_s"), *KEYS).limit(limit)
+    return _hits(top, F.col("_s"), F.lit(0.0), matched_fields(policy, F.array(*[F.lit(t) for t in wanted])), "keyword", "token_frequency")
 
 
 def vector_hits(corpus: DataFrame, request: RetrievalRequest, policy: str, limit: int) -> DataFrame:
@@ -85,9 +84,9 @@ def embedding_hits(vectors: DataFrame, query: list[float], limit: int, key: str
     return vectors.select(key, F.coalesce(score, F.lit(0.0)).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-def merge(keyword: DataFrame, vector: DataFrame, alpha: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Full outer join of two short lists on the chunk, per `by` (a query key in batches)."""
-    keys = [*by, *KEYS]
+def merge(keyword: DataFrame, vector: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """Full outer join of two short lists on the chunk; a row for each alpha."""
+    keys = list(KEYS)
     rest = [c for c in keyword.columns if c not in keys]
     side = lambda df, s: df.select(*keys, F.struct(*rest).alias(s))
     both = side(keyword, "k").join(side(vector, "v"), keys, "full_outer")
@@ -96,9 +95,9 @@ def merge(keyword: DataFrame, vector: DataFrame, alpha: float, by: tuple[str, ..
     pick = lambda c: F.when(k.isNotNull(), k[c]).otherwise(v[c])
     kw, vec = F.coalesce(k["keyword_score"], F.lit(0.0)), F.coalesce(v["vector_score"], F.lit(0.0))
     none = F.array().cast("array<string>")
+    scores = [F.struct(F.lit(a).alias("alpha"), (F.lit(a) * vec + F.lit(1 - a) * kw).alias("hybrid_score")) for a in alphas]
     return both.select(
-        *keys, *[pick(c).alias(c) for c in CANDIDATE if c not in KEYS],
-        kw.alias("keyword_score"), vec.alias("vector_score"), (F.lit(alpha) * vec + F.lit(1 - alpha) * kw).alias("hybrid_score"), F.lit(alpha).alias("alpha"),
+        *keys, *[pick(c).alias(c) for c in CANDIDATE if c not in KEYS], kw.alias("keyword_score"), vec.alias("vector_score"), F.inline(F.array(*scores)),
         F.when(two, F.lit("hybrid")).otherwise(pick("score_policy")).alias("score_policy"),
         F.array_sort(F.array_union(F.coalesce(k["matched_fields"], none), F.coalesce(v["matched_fields"], none))).alias("matched_fields"),
         F.when(two, F.lit("hybrid")).otherwise(pick("retrieval_source")).alias("retrieval_source"),
@@ -111,21 +110,22 @@ def ranked(merged: DataFrame, top_k: int, by: tuple[str, ...] = ()) -> DataFrame
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def retrieve(corpus: DataFrame, request: RetrievalRequest, policy: str = DUAL_CONTEXT, keyword: Retriever = keyword_hits, vector: Retriever = vector_hits) -> DataFrame:
+def retrieve(corpus: DataFrame, request: RetrievalRequest, policy: str = DUAL_CONTEXT, keyword: Retriever = keyword_hits, vector: Retriever = vector_hits, alphas: tuple[float, ...] = ()) -> DataFrame:
     """Ranked results of one query with scores, provenance and audit columns.
 
     The request's text policy overrides the pipeline's and reaches the keyword side only.
+    `alphas` ranks the same two lists under several weights instead of the request's one.
     """
     request.check()
     effective, limit = request.text_policy or policy, 2 * request.top_k
-    merged = merge(keyword(corpus, request, effective, limit), vector(corpus, request, effective, limit), request.alpha)
-    total = merged.withColumn("total_candidates", F.count(F.lit(1)).over(Window.partitionBy()))
+    merged = merge(keyword(corpus, request, effective, limit), vector(corpus, request, effective, limit), alphas or (request.alpha,))
+    total = merged.withColumn("total_candidates", F.count(F.lit(1)).over(Window.partitionBy("alpha")))
     filters = request.filters.describe() if request.filters else []
     audit = {
         "query": F.lit(request.query), "query_hash": F.lit(ids.text_hash(request.query)), "retrieval_run_id": F.lit(request.retrieval_run_id or f"run_{ids.text_hash(request.query)[:16]}"),
         "text_policy": F.lit(effective), "applied_filters": F.array(*[F.lit(f) for f in filters]).cast("array<string>"),
     }
-    return ranked(total, request.top_k).withColumns(audit)
+    return ranked(total, request.top_k, ("alpha",)).withColumns(audit)
 
 
 def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha: float = 0.5, policy: str = DUAL_CONTEXT) -> DataFrame:

@@ -177,11 +177,8 @@ def vector_topk(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def hybrid_topk(spark: S, sf_dir: str) -> DataFrame:
-    rows, out = _corpus(spark, sf_dir), None
-    for alpha in (0.0, 0.5, 1.0):
-        one = retrieve.retrieve(rows, _request(alpha=alpha)).select(F.lit(alpha).alias("alpha"), "rank", "chunk_id", *_round("keyword_score", "vector_score", "hybrid_score"), "total_candidates")
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = retrieve.retrieve(_corpus(spark, sf_dir), _request(), alphas=(0.0, 0.5, 1.0))
+    return found.select("alpha", "rank", "chunk_id", *_round("keyword_score", "vector_score", "hybrid_score"), "total_candidates")
 
 
 @query
