@@ -129,17 +129,22 @@ def prompt(raw: Column, version: str = PROMPT_VERSION) -> Column:
     return F.concat(F.lit(head), raw, F.lit('\n---\nAnswer with one JSON object: {"cleaned_text": "..."}'))
 
 
+def clean_chunks(chunks: DataFrame) -> DataFrame:
+    """Adds cleaned_text and cleaned_text_hash."""
+    return text.staged(chunks, cleaned_text=refine(F.col("raw_text"))).withColumn("cleaned_text_hash", ids.sha(F.col("cleaned_text")))
+
+
 def refine_chunks(chunks: DataFrame, version: str = PROMPT_VERSION) -> DataFrame:
-    """Adds cleaned_text, cleaned_text_hash and the refinement record."""
+    """clean_chunks and the refinement record."""
     raw, cleaned = F.col("raw_text"), F.col("cleaned_text")
-    done = text.staged(text.staged(chunks, cleaned_text=refine(raw)), _facts=check_facts(raw, cleaned))
+    done = text.staged(clean_chunks(chunks), _facts=check_facts(raw, cleaned))
     record = F.struct(
         F.lit("rule_based").alias("refinement_method"), F.lit(version).alias("prompt_version"), F.lit(None).cast("string").alias("model_name"),
         fact_warnings(F.col("_facts")).alias("warnings"), (raw != "").alias("no_new_facts_checked"), F.when(raw != "", ids.sha(raw)).alias("source_raw_hash"),
         F.length(raw).alias("raw_text_length"), F.length(cleaned).alias("cleaned_text_length"),
         F.lit(False).alias("model_refinement_attempted"), F.lit(False).alias("model_refinement_accepted"), F.lit(None).cast("string").alias("fallback_reason"),
     )
-    return done.withColumn("refinement", record).withColumn("cleaned_text_hash", ids.sha(cleaned)).drop("_facts")
+    return done.withColumn("refinement", record).drop("_facts")
 
 
 Model = Callable[[Iterator[str]], Iterator[str]]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.config import ChunkConfig
 from proofmill.functions import ids
 from proofmill.operators.chunk import chunk
-from proofmill.operators.refine import refine_chunks
+from proofmill.operators.refine import clean_chunks
 
 
 def text_documents(rows: DataFrame, path, text: str = "text", metadata: dict | None = None) -> DataFrame:
@@ -33,5 +33,5 @@ def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(docs: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
     """Candidate rows: chunked and refined documents, ready for retrieval."""
-    refined = refine_chunks(chunk(docs, config))
+    refined = clean_chunks(chunk(docs, config))
     return refined.select("document_id", "chunk_id", "chunk_index", "source_path", "source_type", "raw_text", "cleaned_text", "raw_text_hash", "cleaned_text_hash", "metadata")
