@@ -7,7 +7,7 @@ gradient descent in numpy, on a bounded hash-chosen sample of labelled rows: abo
 SAMPLE_PER_LANG for each of at most MAX_LANGS languages, none over SAMPLE_TEXT bytes (these
 bounds are for fitting only). A fifth of the sample is held back: on it a temperature
 calibrates the scores, and the rejection score is set so that no more than REJECT of its
-rightly predicted texts fall below (never over 0.5).
+rightly predicted texts, snippets of a few words among them, fall below (never over 0.5).
 
 Prediction reads whole texts. As embedding and layer are linear, a feature has fixed logits,
 a word the sum of its features', a text the mean; workers cache words within a bound.
@@ -87,18 +87,17 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
     if not langs:
         return {"langs": [], "logits": np.zeros((BUCKETS, 0), np.float32), "temperature": 1.0, "reject": 0.0}
     rng = np.random.default_rng(seed)
-    parts = {False: ([], [], []), True: ([], [], [])}
+    parts = {False: ([], []), True: ([], [])}
     for key, lang, text in sorted(samples):
         words = text.split()
         if not any(letter_runs(w) for w in words):
             continue
-        examples, labels, whole = parts[len(samples) >= 50 and zlib.crc32(str(key).encode()) % 5 == 0]
+        examples, labels = parts[len(samples) >= 50 and zlib.crc32(str(key).encode()) % 5 == 0]
         for size in (len(words), rng.integers(1, 5), rng.integers(5, 60)):  # the text, and snippets as short texts
             at = rng.integers(0, max(1, len(words) - size + 1))
             examples.append(words[at : at + size])
             labels.append(langs.index(lang))
-            whole.append(size == len(words))
-    (examples, labels, _), (kept, kept_labels, kept_whole) = parts[False], parts[True]
+    (examples, labels), (kept, kept_labels) = parts[False], parts[True]
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     if examples:
@@ -140,7 +139,7 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
         loss = [-np.log(soft(t)[np.arange(len(y)), y] + 1e-9).mean() for t in grid]
         model["temperature"] = float(grid[int(np.argmin(loss))])
         p = soft(model["temperature"])
-        right = np.sort(p.max(1)[(p.argmax(1) == y) & np.array(kept_whole)])
+        right = np.sort(p.max(1)[p.argmax(1) == y])
         if len(right):
             model["reject"] = float(min(0.5, right[int(REJECT * len(right))] * 0.9))
     return model
