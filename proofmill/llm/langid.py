@@ -6,8 +6,9 @@ a softmax give the languages. Embeddings and layer are trained on the driver by
 gradient descent in numpy, on a bounded hash-chosen sample of labelled rows: about
 SAMPLE_PER_LANG for each of at most MAX_LANGS languages, none over SAMPLE_TEXT bytes (these
 bounds are for fitting only). A fifth of the sample is held back: on it a temperature
-calibrates the scores, and the rejection score is set so that no more than REJECT of its
-rightly predicted texts, snippets of a few words among them, fall below (never over 0.5).
+calibrates the scores, and the rejection score is MARGIN times the score that no more than
+REJECT of its rightly predicted texts, snippets of a few words among them, stay under (never
+over 0.5): texts in two of the languages are kept, texts like none of them are not.
 
 Prediction reads whole texts. As embedding and layer are linear, a feature has fixed logits,
 a word the sum of its features', a text the mean; workers cache words within a bound.
@@ -30,7 +31,7 @@ SAMPLE_PER_LANG, SAMPLE_TEXT, MAX_LANGS = 500, 1 << 16, 200
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
 #: Small samples are passed over more often, up to this many steps.
 LEAST_STEPS = 800
-REJECT = 0.001
+REJECT, MARGIN = 0.001, 0.6
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 FOLDS, HELD_OUT = 4, 2
 
@@ -141,7 +142,7 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
         p = soft(model["temperature"])
         right = np.sort(p.max(1)[p.argmax(1) == y])
         if len(right):
-            model["reject"] = float(min(0.5, right[int(REJECT * len(right))] * 0.9))
+            model["reject"] = float(min(0.5, right[int(REJECT * len(right))] * MARGIN))
     return model
 
 
