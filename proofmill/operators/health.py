@@ -201,26 +201,41 @@ def drift_issues(parsed: DataFrame, manifest: DataFrame) -> DataFrame:
     return joined.where(lacks | (F.col("content_hash") != F.col("note_hash"))).select(code.alias("code"), F.lit("warning").alias("severity"), said.alias("message"), "file_path")
 
 
+def _cross(rows: DataFrame) -> DataFrame:
+    """rows (file_path, fm_state, note_id, issues) with orphan_note and duplicate_note_id added.
+
+    Rows without an id are dealt by their path, so they make no hot key of the window.
+    """
+    orphan = F.when(F.col("fm_state").isin("none", "open"), _issue("orphan_note", F.lit("Note has no valid frontmatter (orphaned Markdown file)"), "warning")).when(
+        F.col("note_id").isNull(), _issue("orphan_note", F.lit("Note has no note_id in frontmatter (orphaned or foreign Markdown)"), "warning")
+    )
+    first = F.min("file_path").over(Window.partitionBy(F.col("note_id").isNull(), F.coalesce("note_id", "file_path")))
+    said = F.concat(F.lit("Duplicate note_id '"), F.col("note_id"), F.lit("' in '"), F.col("_first"), F.lit("' and '"), F.col("file_path"), F.lit("'"))
+    doubled = F.when(F.col("note_id").isNotNull() & (F.col("_first") != F.col("file_path")), _issue("duplicate_note_id", said))
+    return rows.withColumn("_first", first).select("file_path", F.concat("issues", _issues(orphan, doubled)).alias("issues"))
+
+
+def _note_id() -> Column:
+    found = F.try_element_at(F.col("frontmatter"), F.lit("note_id"))
+    return F.when(F.coalesce(found, F.lit("")) != "", found)
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("file_path", F.explode("issues").alias("i")).select("i.code", "i.severity", "i.message", "file_path")
+
+
 def cross_issues(parsed: DataFrame) -> DataFrame:
     """duplicate_note_id against the first path that has the id, and orphan_note."""
-    note_id = F.try_element_at(F.col("frontmatter"), F.lit("note_id"))
-    named = parsed.where(F.col("fm_state").isin("ok", "bad")).select("file_path", F.when(F.coalesce(note_id, F.lit("")) != "", note_id).alias("note_id"))
-    first = F.min("file_path").over(Window.partitionBy("note_id"))
-    doubled = named.where("note_id is not null").withColumn("first", first).where("first != file_path")
-    said = F.concat(F.lit("Duplicate note_id '"), F.col("note_id"), F.lit("' in '"), F.col("first"), F.lit("' and '"), F.col("file_path"), F.lit("'"))
-    out = doubled.select(F.lit("duplicate_note_id").alias("code"), F.lit("error").alias("severity"), said.alias("message"), "file_path")
-    row = lambda df, message: df.select(F.lit("orphan_note").alias("code"), F.lit("warning").alias("severity"), F.lit(message).alias("message"), "file_path")
-    unnamed = row(named.where("note_id is null"), "Note has no note_id in frontmatter (orphaned or foreign Markdown)")
-    return out.unionByName(unnamed).unionByName(row(parsed.where(F.col("fm_state").isin("none", "open")), "Note has no valid frontmatter (orphaned Markdown file)"))
+    none = F.array().cast("array<struct<code:string,severity:string,message:string>>")
+    return _exploded(_cross(parsed.select("file_path", "fm_state", _note_id().alias("note_id"), none.alias("issues"))))
 
 
 def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool = True, brand: Branding = Branding()) -> DataFrame:  # noqa: B008  frozen
-    """code, severity, message, file_path of every issue."""
+    """code, severity, message, file_path of every issue; one pass over the files, two with a manifest."""
     parsed = parse(files)
-    rows = file_issues(parsed, brand).select("file_path", F.explode("issues").alias("i")).select("i.code", "i.severity", "i.message", "file_path")
-    if manifest is not None:
-        rows = rows.unionByName(drift_issues(parsed, manifest))
-    return rows.unionByName(cross_issues(parsed)) if directory else rows
+    rows = file_issues(parsed, brand).select("file_path", "fm_state", _note_id().alias("note_id"), "issues")
+    found = _exploded(_cross(rows) if directory else rows)
+    return found.unionByName(drift_issues(parsed, manifest)) if manifest is not None else found
 
 
 def report(files: DataFrame, issues: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.config import Branding
 from proofmill.functions import ids
 from proofmill.operators import notes
-from proofmill.sources.tables import table_documents
+from proofmill.sources.tables import spread, table_documents
 
 FAULTS = 13
 
@@ -37,7 +37,7 @@ def altered(text: Column, doc_id: Column) -> Column:
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def source_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,12 @@ from proofmill.operators.chunk import chunk
 from proofmill.operators.refine import clean_chunks
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer splits than that (one small file); else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_documents(rows: DataFrame, path, text: str = "text", metadata: dict | None = None) -> DataFrame:
     """Rows of any table as documents: `path` is a Column that names each."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -25,7 +31,7 @@ def text_documents(rows: DataFrame, path, text: str = "text", metadata: dict | N
 
 def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `documents` table under synthesized paths."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     suffix = F.when(F.col("doc_id") % 2 == 0, F.lit(".md")).otherwise(F.lit(".txt"))
     path = F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"), suffix)
     return text_documents(rows, path, metadata={"lang": F.col("lang"), "source": F.col("source")})
