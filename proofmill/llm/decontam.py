@@ -46,13 +46,13 @@ MARKS = r"[^\p{L}\p{N}\s]+"
 
 
 def arrow_words(texts):
-    """(list offsets, word codes, distinct words) of an Arrow string array."""
+    """(list offsets, word codes, Arrow array of the distinct words) of an Arrow string array."""
     import pyarrow.compute as pc
 
     plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), MARKS, " ")
-    split = pc.split_pattern_regex(pc.utf8_trim_whitespace(plain), r"\s+")
+    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(plain))
     words = split.values.dictionary_encode()
-    return split.offsets.to_numpy(), words.indices.to_numpy(), words.dictionary.to_pylist()
+    return split.offsets.to_numpy(), words.indices.to_numpy(), words.dictionary
 
 
 def item_parts(text: str) -> tuple[list[str], list[str]]:
@@ -64,7 +64,7 @@ def item_parts(text: str) -> tuple[list[str], list[str]]:
     out = []
     for part in (head, tail):
         _, codes, words = arrow_words(pa.array([part], pa.string()))
-        out.append([words[c] for c in codes if words[c]])
+        out.append([w for w in words.take(pa.array(codes)).to_pylist() if w])
     return out[0], out[1]
 
 
@@ -194,12 +194,14 @@ class ItemIndex:
         have = shingle_set(words) if len(next(iter(question), ())) == SHINGLE else {tuple(words[k : k + n]) for n in {len(q) for q in question} for k in range(len(words) - n + 1)}
         return (len(question & have) / len(question) if question else 1.0, len(answer.intersection(words)) / len(answer) if answer else 1.0)
 
-    def match(self, offsets, codes, words: list[str]):
+    def match(self, offsets, codes, words):
         """(text number, item position, score, question, answer) of the leaks in a batch."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        known = np.array([self.terms.get(w, -1) for w in words] or [-1], np.int64)
-        terms = known[codes]
+        known = pc.fill_null(pc.index_in(words, value_set=pa.array(list(self.terms), pa.string())), -1)
+        terms = known.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
         lengths = np.diff(offsets)
         halves = np.maximum(1, -(-lengths // self.stride))
         first = np.cumsum(halves) - halves
@@ -226,11 +228,9 @@ class ItemIndex:
         for low in range(0, len(doc_of), step):  # presence of each term in each passage, a bounded table at a time
             high = min(low + step, len(doc_of))
             here = seen & (half >= low) & (half <= high)
-            present = np.zeros((high - low + 1, len(self.lists)), np.float32)
+            present = np.zeros((high - low + 1, len(self.lists)), np.uint8)
             present[half[here] - low, terms[here]] = 1
-            joined = present[:-1].copy()
-            follow = np.flatnonzero(doc_of[low:high] == np.append(doc_of, -1)[low + 1 : high + 1])
-            joined[follow] = np.maximum(joined[follow], present[follow + 1])
+            follow = (doc_of[low:high] == np.append(doc_of, -1)[low + 1 : high + 1]).astype(np.uint8)
             mine = (at_half >= low) & (at_half < high)
             rows, blocks = at_half[mine] - low, block[mine]
             for k in range(0, len(rows), 1 << 14):
@@ -238,7 +238,9 @@ class ItemIndex:
                 size = self.block_sizes[b]
                 ends = np.cumsum(size)
                 at = np.repeat(self.block_starts[b] - (ends - size), size) + np.arange(ends[-1])
-                bound = np.add.reduceat(joined[np.repeat(r, size), self.block_terms[at]] * self.block_tops[at], ends - size)
+                row, term = np.repeat(r, size), self.block_terms[at]
+                held = present[row, term] | (present[row + 1, term] & follow[row])
+                bound = np.add.reduceat(held * self.block_tops[at], ends - size)
                 passages.update((r[bound >= 1 - 1e-5] + low).tolist())
         for h in sorted(passages):
             d = int(doc_of[h])
@@ -247,7 +249,7 @@ class ItemIndex:
             own = terms[start:stop]
             found = self.search(np.unique(own[own >= 0]).tolist())
             if found:
-                passage = [words[c] for c in codes[start:stop]]
+                passage = words.take(pa.array(codes[start:stop])).to_pylist()
                 for k, score in found:
                     q, a = self.verify(k, passage)
                     if q >= QUESTION and a >= ANSWER:
