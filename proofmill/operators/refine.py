@@ -106,6 +106,11 @@ def guardrails(raw: Column, cleaned: Column, max_expansion: float = 20.0, max_co
     return F.struct((F.size(violations) == 0).alias("passed"), violations.alias("violations"), F.when(F.size(violations) == 0, cleaned).alias("cleaned_text"))
 
 
+def strip_fence(reply: Column) -> Column:
+    """A reply without the Markdown code fence that models put around JSON."""
+    return text.strip(F.regexp_replace(text.strip(reply), r"(?s)^```[A-Za-z]*\s*\n?(.*?)\n?```$", "$1"))
+
+
 def json_problem(reply: Column) -> Column:
     """Null if a model's reply is an object with a string `cleaned_text`, else what is wrong."""
     parsed = F.try_parse_json(reply)
@@ -172,7 +177,7 @@ def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str =
 
         return pd.Series([one(p) for p in batch])
 
-    asked = base.withColumn("_reply", ask(prompt(F.col("raw_text"), version)))
+    asked = base.withColumn("_reply", strip_fence(ask(prompt(F.col("raw_text"), version))))
     asked = asked.withColumns({"_problem": json_problem(F.col("_reply")), "_text": F.get_json_object("_reply", "$.cleaned_text")})
     judged = asked.withColumn("_g", guardrails(F.col("raw_text"), F.coalesce("_text", F.lit(""))))
     good = F.col("_problem").isNull() & F.col("_g.passed")
@@ -191,7 +196,10 @@ def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str =
 
 
 def document_rollup(chunks: DataFrame) -> DataFrame:
-    """One row per document over its refined chunks; partial sums before the shuffle."""
+    """One row per document over its refined chunks; partial sums before the shuffle.
+
+    A document is model based if every tried chunk took the model's text; else it says why not.
+    """
     r = F.col("refinement")
     tried, taken = r["model_refinement_attempted"], r["model_refinement_accepted"]
     out = chunks.groupBy("document_id").agg(
@@ -200,7 +208,19 @@ def document_rollup(chunks: DataFrame) -> DataFrame:
         F.sum(F.length("cleaned_text")).alias("total_cleaned_chars"),
         F.count_if(tried).alias("model_attempts"),
         F.count_if(tried & taken).alias("model_accepts"),
+        F.count_if(tried & ~taken).alias("model_fallbacks"),
+        F.min(r["model_name"]).alias("model_name"),
+        F.array_sort(F.collect_set(r["fallback_reason"])).alias("reasons"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(r["warnings"])))).alias("warnings"),
     )
-    method = F.when((F.col("model_attempts") > 0) & (F.col("model_accepts") == F.col("model_attempts")), F.lit("model_based")).otherwise(F.lit("rule_based"))
-    return out.withColumn("refinement_method", method)
+    all_taken = (F.col("model_attempts") > 0) & (F.col("model_fallbacks") == 0)
+    partial = F.concat(F.lit("partial_fallback: "), F.col("model_fallbacks").cast("string"), F.lit("/"), F.col("model_attempts").cast("string"), F.lit(" chunks"))
+    reason = F.when(F.array_contains("reasons", "adapter_unavailable"), F.lit("adapter_unavailable")).when(F.size("reasons") > 0, partial)
+    return out.withColumns(
+        {
+            "refinement_method": F.when(all_taken, F.lit("model_based")).otherwise(F.lit("rule_based")),
+            "model_name": F.when(all_taken, F.col("model_name")),
+            "fallback_reason": reason,
+            "warnings": F.array_sort(F.array_union("warnings", "reasons")),
+        }
+    ).drop("reasons")

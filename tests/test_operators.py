@@ -98,6 +98,10 @@ def test_model_path_accepts_rejects_and_falls_back(spark):
     assert rows["bad"]["refinement"]["fallback_reason"] == "guardrail_violation" and rows["bad"]["cleaned_text"] == "Alpha beta 12."
     assert rows["broken"]["refinement"]["fallback_reason"].startswith("model_error")
     assert rows["none"]["refinement"]["fallback_reason"] == "adapter_unavailable"
+    mixed = refine.document_rollup(refine.refine_with_model(chunk(docs), bad, "m1")).first()
+    assert (mixed["refinement_method"], mixed["fallback_reason"]) == ("rule_based", "partial_fallback: 1/1 chunks")
+    assert refine.document_rollup(refine.refine_with_model(chunk(docs), None)).first()["fallback_reason"] == "adapter_unavailable"
+    assert one(spark, refine.strip_fence(F.lit('```json\n{"cleaned_text": "x"}\n```'))) == '{"cleaned_text": "x"}'
     rolled = refine.document_rollup(refine.refine_with_model(chunk(docs), good, "m1")).first()
     assert (rolled["refinement_method"], rolled["model_accepts"]) == ("model_based", 1)
 
@@ -291,3 +295,36 @@ def test_write_notes_is_not_destructive(spark, tmp_path, sf_dir):
 def test_settings():
     s = Settings.from_env(env={"PROOFMILL_TOP_K": "x", "PROOFMILL_ALPHA": "2", "PROOFMILL_MODEL_ENABLED": "yes"})
     assert s.top_k == 5 and s.model_enabled and len(s.validate()) == 2
+
+
+def test_http_model(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from proofmill.sources.http_model import BadReply, HttpModel, ModelUnavailable
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            reply = {"response": json.dumps({"cleaned_text": asked["prompt"][:3]})} if asked["model"] == "m" else {"other": 1}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def do_GET(self):
+            self.send_error(404)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/generate"
+    assert HttpModel(url, "m").available() and list(HttpModel(url, "m")(iter(["abcdef"]))) == ['{"cleaned_text": "abc"}']
+    with pytest.raises(BadReply):
+        list(HttpModel(url, "wrong")(iter(["x"])))
+    server.shutdown()
+    server.server_close()
+    assert not HttpModel(url, "m", probe_timeout=1).available()
+    with pytest.raises(ModelUnavailable):
+        list(HttpModel(url, "m")(iter(["x"])))
