@@ -14,9 +14,13 @@ def _state(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours point at the smallest of its neighbourhood."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _star(space: Workspace, pairs: DataFrame, large: bool, name: str) -> DataFrame:
+    """Each node's neighbours point at the smallest of its neighbourhood.
+
+    The minima are written, so that the join has an exchange on both sides and a node with very
+    many neighbours can be split.
+    """
+    least = space.save(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
     joined = pairs.join(least, "u")
     if large:  # neighbours above the node
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -30,10 +34,11 @@ def components(space: Workspace, edges: DataFrame, name: str = "cc") -> DataFram
     before = _state(now)
     for k in range(1, MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide = space.save(_star(both, True), f"{name}-{k}-large")
+        wide = space.save(_star(space, both, True, f"{name}-{k}-large"), f"{name}-{k}-large")
         down = wide.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        new = space.save(_star(down, False), f"{name}-{k}")
-        space.drop(f"{name}-{k}-large")
+        new = space.save(_star(space, down, False, f"{name}-{k}"), f"{name}-{k}")
+        for done in (f"{name}-{k}-large", f"{name}-{k}-large-least", f"{name}-{k}-least"):
+            space.drop(done)
         space.drop(f"{name}-{k - 1}")
         now, after = new, _state(new)
         if after == before:

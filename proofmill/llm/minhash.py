@@ -219,10 +219,10 @@ def chunk_pairs(ids, comps, sizes, sketches, left, percent: int):
     return list(zip(ids[u].tolist(), ids[v].tolist(), strict=True))
 
 
-def _rest(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _rest(space: Workspace, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs inside mixed buckets that star edges did not settle. members: key, node, component."""
     counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = counted.where("size > 2 and lo != hi").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    mixed = space.save(counted.where("size > 2 and lo != hi").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "mixed")
     rows = members.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
     cells = rows.join(classes.select("node", "n", "sketch"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
@@ -266,14 +266,15 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = space.save(classes.where("node is not null"), "classes")
     bands = classes.select("node", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last")
+    # written, like each aggregate that is joined back: a hot key can then be split in the join
+    buckets = space.save(bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last"), "buckets")
     members = space.save(bands.join(buckets.select("key", "center"), "key"), "members")
     stars = space.save(members.where("node != center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), "stars")
     texts = space.save(_texts(docs, stars), "texts")
     links = space.save(_confirm(texts, stars, percent), "links")
     found = space.save(components(space, links, "first"), "components")
     placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    rest = space.save(_rest(placed, classes, percent).join(stars, ["u", "v"], "left_anti"), "rest")
+    rest = space.save(_rest(space, placed, classes, percent).join(stars, ["u", "v"], "left_anti"), "rest")
     if rest.limit(1).count():
         more = space.save(_confirm(space.save(_texts(docs, rest), "rest-texts"), rest, percent), "more")
         if more.limit(1).count():

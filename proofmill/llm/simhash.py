@@ -172,8 +172,9 @@ def fingerprint_report(docs: DataFrame, radius: int = RADIUS, every: int = 20) -
     space = Workspace(docs.sparkSession, "simhash-near")
     rows = space.save(fingerprints(docs), "prints")
     asks = F.col("doc_id") % every == 0
-    counts = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max(asks).alias("asked"))
+    counts = space.save(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max(asks).alias("asked")), "counts")
     pairs = near_fingerprints(counts, counts.where("asked"), radius)
     found = pairs.join(counts.select(F.col("fingerprint").alias("match"), "n"), "match").groupBy("query").agg(F.sum("n").alias("others"))
     per = counts.where("asked").join(found, F.col("fingerprint") == F.col("query"), "left").select("fingerprint", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("near"))
+    per = space.save(per, "near")  # so that a fingerprint of very many rows can be split in the join
     return rows.join(per, "fingerprint", "left").withColumn("n_near", F.when(asks, F.col("near"))).drop("near")

@@ -310,7 +310,7 @@ def _counted_spans(space: Workspace, contexts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["suffix", "key", "start", "own"])
 
     suffixes = space.save(contexts.mapInArrow(run, "suffix binary, key long, start long, own boolean"), "hot-suffixes")
-    twice = suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix")
+    twice = space.save(suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix"), "hot-twice")
     return suffixes.where("own").join(twice, "suffix").select("key", "start", (F.col("start") + LENGTH).alias("end"))
 
 
@@ -325,7 +325,7 @@ def repeated_spans(space: Workspace, rows: DataFrame, hot: int = HOT) -> DataFra
     kinds = space.save(kinds.select("anchor", "content", "n", "one.*"), "kinds")
     whole = met.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"])
     whole = whole.select("key", "start", (F.col("start") + F.col("size") + LENGTH - 1).alias("end"))
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    mixed = space.save(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "mixed")
     wanted = kinds.join(mixed.select("anchor", "kinds"), "anchor").select("anchor", "key", "start", "size", (F.col("n") == 1).alias("own"), (F.col("kinds") > hot).alias("hot"))
     wanted = space.save(wanted, "wanted")
     contexts = space.save(_contexts(rows, wanted.where("not hot")), "contexts")
