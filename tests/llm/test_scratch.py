@@ -1,18 +1,47 @@
+import pytest
+
 from proofmill.llm import common
 
 
-def test_workspace_reads_the_session_setting(spark, tmp_path, monkeypatch):
-    before = spark.conf.get("spark.checkpoint.dir", "")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/")
-    try:
-        space = common.Workspace(spark, "t")
-        assert space.path.startswith(f"file://{tmp_path}/shared/proofmill-t-")
-        saved = space.save(spark.range(5).withColumnRenamed("id", "x"), "five")
-        assert saved.count() == 5 and list((tmp_path / "shared").rglob("*.parquet"))
-        space.drop()
-        assert not list((tmp_path / "shared").rglob("*.parquet"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_workspace_writes_below_the_shared_folder(spark, monkeypatch):
+    space = common.Workspace(spark, "t")
+    assert space.path.startswith(f"{common.shared_dir(spark)}/proofmill-t-")
+    saved = space.save(spark.range(5).withColumnRenamed("id", "x"), "five")
+    assert saved.columns == ["x"] and saved.count() == 5
+    space.drop()
+    fs, at = space._fs(space.path)
+    assert not fs.exists(at)
+
+
+def test_shared_folder_follows_the_setting(spark, monkeypatch):
+    class Conf(dict):
+        get = dict.get
+
+    class Context:
+        master, applicationId, made = "local[2]", "app-test", []
+
+        def __init__(self, **conf):
+            self.conf = Conf(conf)
+
+        def getConf(self):
+            return self.conf
+
+        def setCheckpointDir(self, path):
+            self.made.append(path)
+
+    class Session:
+        def __init__(self, own, context):
+            self.conf, self.sparkContext = Conf(own), context
+
+    set_there = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert common.shared_dir(Session(set_there, Context())) == "hdfs://x/y"
+    assert common.shared_dir(Session({}, Context(**set_there))) == "hdfs://x/y"
+    own = common.shared_dir(Session({}, Context()))
+    assert own.startswith("file:///") and common.shared_dir(Session({}, Context())) == own and Context.made == [own]
+    far = Context()
+    far.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session({}, far))
 
 
 def test_small_is_bounded(spark):
