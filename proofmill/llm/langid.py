@@ -4,8 +4,8 @@ A word's features are the hashed UTF-8 n-grams (NGRAMS) of its lower-cased lette
 `>` and each run itself. A text is the mean of its features' embeddings; a linear layer and
 a softmax give the languages. Embeddings and layer are trained on the driver by stochastic
 gradient descent in numpy, on a bounded hash-chosen sample of labelled rows: about
-SAMPLE_PER_LANG for each of at most MAX_LANGS languages, none over SAMPLE_TEXT bytes (these
-bounds are for fitting only). A fifth of the sample is held back: on it a temperature
+SAMPLE_PER_LANG for each of at most MAX_LANGS languages, none over SAMPLE_TEXT bytes, about
+SAMPLE_BYTES in all (these bounds are for fitting only). A fifth of the sample is held back: on it a temperature
 calibrates the scores, and the rejection score is MARGIN times the score that no more than
 REJECT of its rightly predicted texts, snippets of a few words among them, stay under (never
 over 0.5): texts in two of the languages are kept, texts like none of them are not.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from proofmill.llm.common import bounded_batches
 
-SAMPLE_PER_LANG, SAMPLE_TEXT, MAX_LANGS = 500, 1 << 16, 200
+SAMPLE_PER_LANG, SAMPLE_TEXT, SAMPLE_BYTES, MAX_LANGS = 500, 1 << 16, 64 << 20, 200
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
 #: Small samples are passed over more often, up to this many steps.
 LEAST_STEPS = 800
@@ -149,12 +149,14 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
 def fit(docs: DataFrame) -> dict:
     """Train on the labelled rows outside the held-out fold."""
     usable = docs.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    short = usable.where(F.octet_length("text") <= SAMPLE_TEXT)
+    counts = short.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     if not counts:
         return train([])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, SAMPLE_PER_LANG / r["count"]) * (1 << 30)))])
-    picked = usable.where((draw < F.try_element_at(share, F.col("lang"))) & (F.octet_length("text") <= SAMPLE_TEXT))
+    rate = lambda r: min(1.0, SAMPLE_PER_LANG / r["count"], SAMPLE_BYTES / len(counts) / max(1, r["bytes"]))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(rate(r) * (1 << 30)))])
+    picked = short.where(draw < F.try_element_at(share, F.col("lang")))
     rows = picked.select("doc_id", "lang", F.encode("text", "UTF-8").alias("text")).collect()
     return train([(r["doc_id"], r["lang"], bytes(r["text"])) for r in rows])
 
