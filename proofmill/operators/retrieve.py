@@ -17,6 +17,8 @@ from proofmill.config import DUAL_CONTEXT, RAW_ONLY, MetadataFilter, RetrievalRe
 from proofmill.functions import ids, text
 
 KEYS = ("document_id", "chunk_id")
+#: Queries of a batch that meet the corpus at once on the vector side.
+QUERY_BLOCK = 5000
 CANDIDATE = (*KEYS, "chunk_index", "source_path", "source_type", "raw_text", "cleaned_text", "raw_text_hash", "cleaned_text_hash", "metadata")
 
 
@@ -146,9 +148,13 @@ def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha:
     summed = counts.join(wanted, "token").groupBy("query_id", *KEYS, "n").agg(F.round(F.sum(part), 12).alias("s"))
     kw = summed.withColumn("keyword_score", F.least(F.lit(1.0), F.col("s") / (F.lit(1.0) + F.col("n") * F.lit(0.001))))
     top = lambda df, c: df.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), *KEYS))).where(F.col("_r") <= limit).select("query_id", *KEYS, c)
-    pairs = corpus.select(*KEYS).crossJoin(F.broadcast(queries.select("query_id", "query")))
-    vec = pairs.withColumn("vector_score", text.hash_score(F.col("query"), F.col("chunk_id")))
-    both = top(kw, "keyword_score").join(top(vec, "vector_score"), ["query_id", *KEYS], "full_outer").fillna(0.0, ["keyword_score", "vector_score"])
+    blocks, best = -(-queries.count() // QUERY_BLOCK) or 1, None
+    for b in range(blocks):  # a bounded block of queries is broadcast at a time
+        block = queries.select("query_id", "query").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = corpus.select(*KEYS).crossJoin(F.broadcast(block))
+        part = top(pairs.withColumn("vector_score", text.hash_score(F.col("query"), F.col("chunk_id"))), "vector_score")
+        best = part if best is None else best.unionByName(part)
+    both = top(kw, "keyword_score").join(best, ["query_id", *KEYS], "full_outer").fillna(0.0, ["keyword_score", "vector_score"])
     scored = both.withColumn("hybrid_score", F.lit(alpha) * F.col("vector_score") + F.lit(1 - alpha) * F.col("keyword_score"))
     return ranked(scored, top_k, ("query_id",))
 

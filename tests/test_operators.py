@@ -149,7 +149,9 @@ def test_plans_stay_native_and_top_k(spark):
     assert "TakeOrderedAndProject" in plan and "Python" not in plan
 
 
-def test_batch_equals_single(spark):
+@pytest.mark.parametrize("block", [5000, 1])
+def test_batch_equals_single(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
     rows = candidates(spark, ["red fox runs", "fox", "blue sky", "fox fox red", "sky red"])
     asked = spark.createDataFrame([(1, "red fox red"), (2, "sky"), (3, "none of these")], "query_id long, query string")
     batch = retrieve.retrieve_batch(rows, asked, top_k=2, policy="raw_only").orderBy("query_id", "rank").collect()
