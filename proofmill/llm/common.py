@@ -48,6 +48,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the system: workers live on after a task, idle ones
+    beside the next stage's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Workspace:
     """Written tables of one operator call, under the shared folder.
 

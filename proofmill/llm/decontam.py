@@ -31,7 +31,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import bounded_batches
+from proofmill.llm.common import bounded_batches, release
 
 QUESTION, ANSWER, SHINGLE, MIN_WORDS = 0.8, 0.8, 5, 5
 K1, B, BLOCK = 1.2, 0.75, 16
@@ -327,6 +327,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     part = batch.slice(k, 256)
                     leaked = {d for d, _ in leaks_in(indexes, part.column(text))}
                     yield part.take(pa.array([d for d in range(part.num_rows) if d not in leaked], pa.int64()))
+            release()
 
         out = out.mapInArrow(run, out.schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -25,7 +25,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import bounded_batches
+from proofmill.llm.common import bounded_batches, release
 
 SAMPLE_PER_LANG, SAMPLE_TEXT, SAMPLE_BYTES, MAX_LANGS = 500, 1 << 16, 64 << 20, 200
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
@@ -238,6 +238,8 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 found += predictor.batch(texts[k : k + 256].to_pylist())
             results = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *results], names=schema.names)
+        del predictor
+        release()
 
     return rows.mapInArrow(run, schema)
 

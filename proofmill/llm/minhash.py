@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import Workspace
+from proofmill.llm.common import Workspace, release
 from proofmill.llm.components import components
 from proofmill.llm.simhash import MIX, mix64, word_hashes
 
@@ -128,6 +128,7 @@ def _hash_rows(docs: DataFrame, percent: int) -> DataFrame:
                     ],
                     names=["doc_id", "n", "set_hash", "keys", "sketch"],
                 )
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash binary, keys array<long>, sketch binary")
 

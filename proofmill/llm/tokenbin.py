@@ -31,7 +31,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import Workspace, partitions
+from proofmill.llm.common import Workspace, partitions, release
 
 BLOCK, END_ID, LEVEL, MAGIC, VERSION = 1 << 16, 1, 1, b"PMTB", 1
 #: Words kept by a worker's cache; longer words than CACHE_CHARS are never kept.
@@ -245,6 +245,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, doc
                 ids, at = encoder.batch(part.column(1))
                 for d, i, j in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     writer.add(d, ids[i:j].tobytes() + end)
+        release()
         if writer:
             path, n, tokens = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": path, "n_docs": n, "n_tokens": tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
