@@ -28,13 +28,13 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import Workspace
+from proofmill.llm.common import Workspace, release
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
 SHALLOW, HOT = 16, 20_000
 #: Bytes hashed at once; a longer text is cut into pieces that overlap by LENGTH - 1.
-PIECE = 1 << 21
+PIECE = 1 << 19
 PIECE_BITS = 22
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -238,6 +238,7 @@ def _runs(rows: DataFrame) -> DataFrame:
                 for own, anchors, content, starts, sizes in text_runs(texts.slice(k, 512).to_pylist()):
                     arrays = [anchors.view(np.int64), content.view(np.int64), keys[k : k + 512][own], starts, sizes.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["anchor", "content", "key", "start", "size"])
+        release()
 
     return rows.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(run, "anchor long, content long, key long, start long, size int")
 
@@ -291,6 +292,7 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
                 size += len(row[4])
         if held:
             yield settle(held)
+        release()
 
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor")
     return dealt.select("anchor", "key", "start", "own", "bytes").mapInArrow(run, "key long, start long, end long")
