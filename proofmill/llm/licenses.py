@@ -1,7 +1,9 @@
 """License scans [native]: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are a text's lines; their words are ASCII letter and digit runs of the lower-cased
-line. A multinomial logistic regression over word 1- to 3-grams is trained on the driver on the
+Paragraphs are a text's lines and, as notices are wrapped, windows of two strides of words across
+the lines, one at each stride; a stride holds the longest template and a quarter more, so a wrapped
+notice lies whole inside a window. Words are ASCII letter and digit runs of the lower-cased text,
+so comment marks in front of lines do not part them. A multinomial logistic regression over word 1- to 3-grams is trained on the driver on the
 templates below (whole, cut, with words lost, amid corpus words) against paragraphs of a bounded
 hash-chosen sample of the corpus (SAMPLE_DOCS documents, for fitting only) and look-alike
 sentences. Its features are n-grams of the templates that are rare in the sample. A temperature
@@ -13,9 +15,10 @@ when a template of it has at least CONFIRM of its word pairs in the paragraph; t
 are chosen so that every such paragraph holds one, so one regular expression over the whole
 text finds the texts and paragraphs to score, and loses none.
 
-Result for each row: license (the family of the confirmed paragraph with the highest score;
+Result for each row: license (the family of the confirmed paragraph with the highest overlap,
+then score: a line of a wrapped notice can confirm a sibling family, its window does so better;
 `unknown` if a paragraph names a licence and none is confirmed; else `none`),
-template, score, overlap, n_paragraphs (those that hold a gate word). Defined cases: null or
+template, score, overlap, n_paragraphs (lines that hold a gate word). Defined cases: null or
 empty text is `none`; ties go to the family first by name; repeated rows stay; an empty table
 gives no rows and trains on the look-alikes alone.
 """
@@ -79,10 +82,37 @@ def words_of(text: str) -> list[str]:
     return re.findall(_WORD, text.lower(), flags=re.ASCII)
 
 
+STRIDE = max(len(words_of(t)) for _, t in TEMPLATES) * 5 // 4 + 1
+
+
+def windows(words: list) -> list[list]:
+    return [words[k : k + 2 * STRIDE] for k in range(0, max(1, len(words) - STRIDE), STRIDE)]
+
+
 def grams(words: list[str], most: int = 3) -> set[str]:
     return {" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1)}
 
 
+_TELLING = {*NAMES, "gnu", "copyright", "permission", "redistribution"}
+_SHOWN = [grams(words_of(t), 2) for _, t in TEMPLATES]
+
+
+def shows(words: list[str]) -> bool:
+    """Whether words hold a template's grams, so that they are no example of licence-free text."""
+    return bool(_TELLING & set(words)) and any(len(t & own) >= CONFIRM * len(t) for own in [grams(words, 2)] for t in _SHOWN)
+
+
+def licence_free(text: str) -> set[str]:
+    """A text's lines and windows without those that a window with a template touches: the
+    lines of a wrapped notice are parts of it, not examples of other text."""
+    lines = text.split("\n")
+    worded = [(w, k) for k, line in enumerate(lines) for w in words_of(line)]
+    cut = [({k for _, k in part}, [w for w, _ in part]) for part in windows(worded)]
+    noticed = set().union(*(at for at, words in cut if shows(words)))
+    out = {line for k, line in enumerate(lines) if line.strip() and k not in noticed}
+    return out | {" ".join(words) for at, words in cut if len(at) > 1 and not at & noticed}
+
+
 def train(paragraphs: list[str]) -> dict:
     """The classifier; `paragraphs` are corpus paragraphs, taken as licence-free unless a template's pairs show."""
     import numpy as np
@@ -90,9 +120,7 @@ def train(paragraphs: list[str]) -> dict:
     rng = np.random.default_rng(SEED)
     families = sorted({f for f, _ in TEMPLATES}) + ["unknown"]
     pairs = [(f, words_of(t)) for f, t in TEMPLATES]
-    shown = lambda w: any(len(grams(t, 2) & grams(w, 2)) >= CONFIRM * len(grams(t, 2)) for _, t in pairs)
-    telling = {*NAMES, "gnu", "copyright", "permission", "redistribution"}
-    sample = [w for w in (words_of(p) for p in paragraphs) if w and not (telling & set(w) and shown(w))]
+    sample = [w for w in (words_of(p) for p in paragraphs) if w and not shows(w)]
     filler = [w for words in sample for w in words] or ["the", "a", "of", "and"]
     examples: list[tuple[set[str], int]] = [(grams(w), len(families) - 1) for w in sample]
     examples += [(grams(words_of(t)), len(families) - 1) for t in LOOK_ALIKES for _ in range(5)]
@@ -175,7 +203,7 @@ def fit(docs: DataFrame) -> dict:
     count = rows.count()
     share = min(1.0, SAMPLE_DOCS / max(1, count))
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").collect()
-    lines = sorted({line for r in picked for line in r["text"].split("\n") if line.strip()})
+    lines = sorted({p for r in picked for p in licence_free(r["text"])})
     if len(lines) > NEGATIVES:
         import numpy as np
 
@@ -233,10 +261,17 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda p: F.rlike(p, F.lit(gate)))
     gated = F.when(F.rlike(text, F.lit(gate)), lines).otherwise(F.array().cast("array<string>"))
     worded = F.transform(F.col("_gated"), lambda p: F.regexp_extract_all(p, F.lit(f"({_WORD})"), F.lit(1)))
-    staged = _known_score(docs.withColumn("_gated", gated).withColumn("_words", worded), model)
+    wrapped = (F.size("_gated") > 0) & F.contains(F.col("text"), F.lit("\n"))
+    stream = F.when(wrapped, F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_stream") - STRIDE - 1), F.lit(STRIDE))
+    cut = F.transform(starts, lambda k: F.slice("_stream", k + 1, F.lit(2 * STRIDE)))
+    joined = F.filter(cut, lambda w: F.arrays_overlap(w, F.array(*[F.lit(g) for g in model["gate"]])))
+    units = docs.withColumn("_gated", gated).withColumn("_lines", worded).withColumn("_stream", stream).withColumn("_joined", joined)
+    staged = _known_score(units.withColumn("_words", F.concat("_lines", "_joined")).drop("_lines", "_stream", "_joined"), model)
     sure = F.filter(F.arrays_zip("_words", "_scored"), lambda p: p["_scored"]["score"] >= model["reject"])
-    compared = F.transform("_sure", lambda p: F.struct(p["_scored"]["score"].alias("score"), _confirm(p["_words"], p["_scored"]["family"]).alias("c"), p["_scored"]["family"].alias("family")))
-    best = F.array_max(F.filter("_confirmed", lambda p: p["c"]["overlap"] >= CONFIRM))
+    compared = F.transform("_sure", lambda p: F.struct(_confirm(p["_words"], p["_scored"]["family"]).alias("c"), p["_scored"]["score"].alias("score"), p["_scored"]["family"].alias("family")))
+    ranked = F.transform("_confirmed", lambda p: F.struct(p["c"]["overlap"].alias("overlap"), p["score"].alias("score"), p["c"].alias("c"), p["family"].alias("family")))
+    best = F.array_max(F.filter(ranked, lambda p: p["overlap"] >= CONFIRM))
     staged = staged.withColumn("_sure", sure).withColumn("_confirmed", compared).withColumn("_best", best)
     names_one = F.exists("_words", lambda w: F.arrays_overlap(w, F.array(*[F.lit(x) for x in NAMES])))
     return staged.withColumns(
