@@ -13,7 +13,7 @@ from proofmill.llm import decontam, langid, minhash, mixing, tokenbin
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected (no letter, or a score below the calibrated bound)."""
+    """Drops documents whose language is rejected (no letter, or a score or a strength below its calibrated bound)."""
     return langid.keep_identified(docs)
 
 

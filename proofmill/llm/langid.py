@@ -8,7 +8,12 @@ SAMPLE_PER_LANG for each of at most MAX_LANGS languages, none over SAMPLE_TEXT b
 SAMPLE_BYTES in all (these bounds are for fitting only). A fifth of the sample is held back: on it a temperature
 calibrates the scores, and the rejection score is MARGIN times the score that no more than
 REJECT of its rightly predicted texts, snippets of a few words among them, stay under (never
-over 0.5): texts in two of the languages are kept, texts like none of them are not.
+over 0.5). A text like none of the languages still has a largest score, so its strength counts
+too: the mean over its features of how far a feature's logits lie apart, which stays high where
+languages mix. The least strength, for texts of fewer than LONG features and for others, is the
+one that GARBAGE of generated texts (random letters, other scripts, base64, hexadecimal) stay
+under, and no more than STRONG times what REJECT of the held-back texts stay under. Short
+garbage can be as strong as short clean texts and is then kept.
 
 Prediction reads whole texts. As embedding and layer are linear, a feature has fixed logits,
 a word the sum of its features', a text the mean; workers cache words within a bound.
@@ -32,6 +37,9 @@ BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
 #: Small samples are passed over more often, up to this many steps.
 LEAST_STEPS = 800
 REJECT, MARGIN = 0.001, 0.6
+GARBAGE, STRONG, LONG = 0.95, 0.9, 100
+#: First and last letter of scripts for generated texts.
+SCRIPTS = [(0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x3042, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 FOLDS, HELD_OUT = 4, 2
 
@@ -80,13 +88,32 @@ def _rows(examples: list[list[bytes]]):
     return np.concatenate(indices), np.concatenate(shares).astype(np.float32), np.array(offsets)
 
 
+def garbage(texts: list[bytes], seed: int) -> list[list[bytes]]:
+    """Words of generated texts in no language: of the texts' letters, of a script's, encoded bytes."""
+    import base64
+
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    letters = [sorted({c for t in texts for c in t.decode("utf-8", "replace").lower() if c.isalpha()}) or ["a"]]
+    letters += [[chr(c) for c in range(a, z + 1)] for a, z in SCRIPTS]
+    drawn = lambda own: "".join(own[int(i)] for i in rng.integers(0, len(own), int(rng.integers(2, 10)))).encode()
+    out = []
+    for k in range(200):
+        for size in (int(rng.integers(1, 5)), int(rng.integers(5, 60))):
+            script = letters[1 + k % len(SCRIPTS)]
+            out += [[drawn(letters[0]) for _ in range(size)], [drawn(script) for _ in range(size)]]
+            out += [[base64.b64encode(rng.bytes(size * 6))], [rng.bytes(size * 4).hex().encode()]]
+    return out
+
+
 def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
     """samples: (key, lang, text); the key decides what is held back for calibration."""
     import numpy as np
 
     langs = sorted({lang for _, lang, _ in samples})
     if not langs:
-        return {"langs": [], "logits": np.zeros((BUCKETS, 0), np.float32), "temperature": 1.0, "reject": 0.0}
+        return {"langs": [], "logits": np.zeros((BUCKETS, 0), np.float32), "apart": np.zeros(BUCKETS, np.float32), "temperature": 1.0, "reject": 0.0, "least": (0.0, 0.0)}
     rng = np.random.default_rng(seed)
     parts = {False: ([], []), True: ([], [])}
     for key, lang, text in sorted(samples):
@@ -125,7 +152,8 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
                 bias -= rate * p.mean(0)
                 np.add.at(emb, ids, -rate * 4 * share[:, None] * back[row])
     logits = emb @ layer
-    model = {"langs": langs, "logits": logits.astype(np.float32), "bias": bias, "temperature": 1.0, "reject": 0.0}
+    model = {"langs": langs, "logits": logits.astype(np.float32), "bias": bias, "temperature": 1.0, "reject": 0.0, "least": (0.0, 0.0)}
+    model["apart"] = np.abs(logits - logits.mean(1, keepdims=True)).max(1).astype(np.float32)
     if kept:
         indices, shares, offsets = _rows(kept)
         z = np.zeros((len(kept), len(langs)), np.float32)
@@ -143,9 +171,25 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
         right = np.sort(p.max(1)[p.argmax(1) == y])
         if len(right):
             model["reject"] = float(min(0.5, right[int(REJECT * len(right))] * MARGIN))
+        clean = [words for words, good in zip(kept, p.argmax(1) == y, strict=True) if good]
+        model["least"] = least_strength(model["apart"], clean, garbage([text for _, _, text in sorted(samples)], seed + 1))
     return model
 
 
+def least_strength(apart, clean: list[list[bytes]], noise: list[list[bytes]]) -> tuple[float, float]:
+    """The least strength of short and of long texts."""
+    import numpy as np
+
+    def split(examples):
+        found = [apart[features(words)[0]] for words in examples]
+        return [np.sort([f.mean() for f in found if len(f) and (len(f) >= LONG) == long]) for long in (False, True)]
+
+    return tuple(
+        float(min(good[int(REJECT * len(good))] * STRONG, bad[int(GARBAGE * len(bad))])) if len(good) and len(bad) else 0.0
+        for good, bad in zip(split(clean), split(noise), strict=True)
+    )
+
+
 def fit(docs: DataFrame) -> dict:
     """Train on the labelled rows outside the held-out fold."""
     usable = docs.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)
@@ -170,15 +214,16 @@ class Predictor:
         import numpy as np
 
         self.cache: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 14, len(self.model["langs"]) + 1))
+        self.table = np.zeros((1 << 14, len(self.model["langs"]) + 2))
 
     def sums(self, words: list[bytes]):
-        """A row for each word: its features' summed logits, and their number."""
+        """A row for each word: its features' summed logits and strengths, and their number."""
         import numpy as np
 
         buckets, at = features(words)
         logits = self.model["logits"]
-        return np.stack([np.bincount(at, weights=logits[buckets, k], minlength=len(words)) for k in range(logits.shape[1])] + [np.bincount(at, minlength=len(words))], axis=1)
+        weighed = [*(logits[buckets, k] for k in range(logits.shape[1])), self.model["apart"][buckets]]
+        return np.stack([np.bincount(at, weights=w, minlength=len(words)) for w in weighed] + [np.bincount(at, minlength=len(words))], axis=1)
 
     def batch(self, texts: list[bytes | None]) -> list[tuple[str, float, bool]]:
         import numpy as np
@@ -207,11 +252,12 @@ class Predictor:
             total = total + self.sums([w for w in words if w not in cache]).sum(0)
         if not total[-1]:
             return "und", 0.0, False
-        z = (total[:-1] / total[-1] + self.model["bias"]) / self.model["temperature"]
+        z = (total[:-2] / total[-1] + self.model["bias"]) / self.model["temperature"]
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
-        return self.model["langs"][best], float(min(1.0, p[best])), bool(p[best] >= self.model["reject"])
+        strong = total[-2] / total[-1] >= self.model["least"][bool(total[-1] >= LONG)]
+        return self.model["langs"][best], float(min(1.0, p[best])), bool(p[best] >= self.model["reject"] and strong)
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
