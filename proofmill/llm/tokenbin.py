@@ -14,7 +14,8 @@ bases; readers take one shard per task and hold one block at a time.
 
 Tokens: words (runs between ASCII white space) are encoded through a bounded cache. That
 equals encoding the whole text, as the vocabulary lower-cases, drops white space, and its
-pre-tokenizer and normalizer never look across it.
+pre-tokenizer and normalizer never look across it. Words that hold `<|` are not lower-cased
+first, as special tokens are matched by case before the normalizer.
 
 Defined cases: null or empty text has only the end id; null doc_id sorts first; rows that
 repeat a doc_id stay and are ordered by text (null first); an empty table gives no rows.
@@ -88,7 +89,7 @@ class WordEncoder:
                 into[w] = np.array(self._ids(w.decode()), dtype="<u4").tobytes()
 
     def look_up(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct lower-cased words."""
+        """The ids of distinct words, lower-cased but for those that hold `<|`."""
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
@@ -109,12 +110,18 @@ class WordEncoder:
         import numpy as np
         import pyarrow.compute as pc
 
-        texts = pc.ascii_lower(pc.fill_null(texts, ""))
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token can be cut
+        given = pc.fill_null(texts, "")
+        texts = pc.ascii_lower(given)
+        special = pc.any(pc.match_substring(given, "<|")).as_py()
+        if not special:  # no special token can be cut
             texts = pc.replace_substring_regex(texts, MARKS, r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
-        words = split.values.dictionary_encode()
+        words = split.values
+        if special:  # special tokens are matched by case, so their words stay as given
+            own = pc.ascii_split_whitespace(given).values
+            words = pc.if_else(pc.match_substring(own, "<|"), own, words)
+        words = words.dictionary_encode()
         codes = words.indices.to_numpy()
         ids = self.look_up([w.encode() for w in words.dictionary.to_pylist()])
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
