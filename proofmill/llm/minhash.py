@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import Workspace, release
+from proofmill.llm.common import Workspace, partitions, release
 from proofmill.llm.components import components
 from proofmill.llm.simhash import MIX, mix64, word_hashes
 
@@ -289,17 +289,29 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def drop_near(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id inside a group are one document; the first by text stays.
-    A row without doc_id stays unless its group has a document with one.
+    Where doc_ids repeat or are missing, rows are told apart by a key of their own: of a group's
+    rows with a doc_id the first by doc_id and text stays, and of its rows without one the first
+    by text, so rows of different texts that share a doc_id all stay unless they are near copies.
+    Rows without a shingle are in no group; those that repeat a doc_id are one document.
     """
     space = Workspace(docs.sparkSession, "minhash-drop")
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        return _drop_near_rows(space, docs, percent)
     groups = space.save(near_groups(docs, percent), "groups")
-    gone = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    gone = groups.where("not kept").select("doc_id")
     few = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.limit(1).count():
-        twice = out.join(repeated, "doc_id", "left_semi")
-        first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_r")).select("_r.*")
-        out = out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
-    return out
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _drop_near_rows(space: Workspace, docs: DataFrame, percent: int) -> DataFrame:
+    """drop_near by row: keys in the order of (doc_id, text), written so that they stay the same."""
+    by_id = F.col("doc_id").asc_nulls_last()
+    dealt = docs.repartitionByRange(partitions(docs), by_id, F.substring("text", 1, 64)).sortWithinPartitions(by_id, "text")
+    keyed = space.save(dealt.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = keyed.select(F.col("doc_id").alias("_id"), "_row")
+    groups = near_groups(keyed.select(F.col("_row").alias("doc_id"), "text"), percent).withColumnRenamed("doc_id", "_row")
+    placed = space.save(groups.select("_row", "component_id", "n_shingles").join(own, "_row"), "placed")
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("_id")), F.when(wordless & F.col("_id").isNull(), F.col("_row")), F.col("_id").isNull()]
+    kept = placed.groupBy(*[g.alias(f"_g{k}") for k, g in enumerate(group)]).agg(F.min("_row").alias("_row")).select("_row")
+    return keyed.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
