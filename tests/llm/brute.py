@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 
@@ -50,3 +51,35 @@ def repeats(docs, size=200):
         runs = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out[d] = (len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def item_words(text):
+    spaced = re.sub(r"([฀-໿က-႟ក-៿ぁ-ゖァ-ヺ一-鿿])", r" \1 ", (text or "").lower())
+    return re.findall(r"[^\W_]+", spaced)
+
+
+def leaks(docs, items):
+    """(doc_id, item_id) of every window of every text against every item, by plain sets."""
+    parted = []
+    for i, t in items:
+        sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", (t or "").strip()) if s]
+        q, a = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (t, "")
+        q, a = item_words(q), item_words(a)
+        if q or a:
+            parted.append((i, *((q, a) if q else (a, q))))
+    size = lambda q, a: max(64, 1 << (len(q) + len(a) - 1).bit_length())
+    found = set()
+    for c in {size(q, a) for _, q, a in parted}:
+        mine = [(i, q, a) for i, q, a in parted if size(q, a) == c]
+        stride = max(len(q) + len(a) for _, q, a in mine) * 5 // 4 + 1
+        for d, t in docs:
+            words = item_words(t)
+            for k in range(0, max(1, len(words)), stride):
+                window = words[k : k + 2 * stride]
+                for i, q, a in mine:
+                    n = min(5, len(q))
+                    want = {tuple(q[x : x + n]) for x in range(len(q) - n + 1)}
+                    have = {tuple(window[x : x + n]) for x in range(len(window) - n + 1)}
+                    if 5 * len(want & have) >= 4 * len(want) and 5 * len(set(a) & set(window)) >= 4 * len(set(a)):
+                        found.add((d, i))
+    return found

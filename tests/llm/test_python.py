@@ -170,11 +170,12 @@ def test_wand_equals_full_scoring():
     word = lambda n: f"t{int(rng.zipf(1.4)) % n}"
     items = [(k, " ".join(word(80) for _ in range(int(rng.integers(8, 40)))) + ". " + " ".join(word(80) for _ in range(5))) for k in range(150)]
     index = decontam.build(items)[0]
+    numbers = {w: t for t, w in enumerate(index.words.to_pylist())}
     for _ in range(200):
-        terms = sorted({index.terms[w] for w in (word(80) for _ in range(int(rng.integers(1, 60)))) if w in index.terms})
+        terms = sorted({numbers[w] for w in (word(80) for _ in range(int(rng.integers(1, 60)))) if w in numbers})
         scores = {}
         for t in terms:
-            for i, s in zip(*index.lists[t][:2], strict=True):
+            for i, s in zip(*index.postings(t)[:2], strict=True):
                 scores[i] = scores.get(i, 0.0) + s
         got = dict(index.search(terms))
         assert {i for i, s in scores.items() if s >= 1 + 1e-9} <= set(got) <= {i for i, s in scores.items() if s >= 1 - 1e-9}
