@@ -117,11 +117,16 @@ def word_count(c):
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small(df: DataFrame, most_rows: int, most_bytes: int = 8 << 20):
-    """The rows of df as a list if they are at most this many and this large, else None."""
-    texts = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t == "string"]
+def fits(df: DataFrame, most_rows: int, most_bytes: int = 8 << 20) -> bool:
+    """Whether df has at most this many rows and bytes of text, so that it may be broadcast."""
     total = F.lit(0)
-    for t in texts:
-        total = total + t
+    for c, t in df.dtypes:
+        if t == "string":
+            total = total + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()
-    return df.collect() if n <= most_rows and size <= most_bytes else None
+    return n <= most_rows and size <= most_bytes
+
+
+def small(df: DataFrame, most_rows: int, most_bytes: int = 8 << 20):
+    """The rows of df as a list if they are at most this many and this large, else None."""
+    return df.collect() if fits(df, most_rows, most_bytes) else None

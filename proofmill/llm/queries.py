@@ -100,19 +100,19 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN is_full THEN (2 * source_size)::DOUBLE ELSE w * ((pool - full_cap) / nullif(open_w, 0)) END AS target FROM leveled
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0 END AS rate FROM plan
-), halves AS (
-  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, floor(r.rate)::BIGINT AS times, r.rate - floor(r.rate) AS fraction,
-    ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS a,
-    ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '')), 9, 8))::BIGINT AS b
+), joined AS (
+  SELECT s.doc_id, s.source, s.size, r.source_size, r.target, floor(r.rate)::BIGINT AS times, r.rate - floor(r.rate) AS fraction
   FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
-), tried AS (
-  SELECT source, k AS seed, abs(max(times * source_size) + sum(CASE WHEN (a + k * b) % 4294967296 < fraction * 4294967296.0::DOUBLE THEN size ELSE 0 END) - max(target)) AS off
-  FROM halves, range(32) AS t(k) GROUP BY source, k
-), best AS (
-  SELECT source, arg_min(seed, struct_pack(off := off, seed := seed)) AS seed FROM tried GROUP BY source
+), ranked AS (
+  SELECT source, doc_id, any_value(fraction) AS fraction,
+    row_number() OVER (PARTITION BY source ORDER BY max(size) DESC, doc_id ASC NULLS FIRST) AS r,
+    ('0x' || substr(md5('11/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM joined WHERE size * 4096 > source_size GROUP BY source, doc_id
+), long AS (
+  SELECT source, doc_id, (floor(r * fraction + u) - floor((r - 1) * fraction + u))::BIGINT AS together FROM ranked
 ), copies AS (
-  SELECT h.*, times + CASE WHEN (h.a + c.seed * h.b) % 4294967296 < fraction * 4294967296.0::DOUBLE THEN 1 ELSE 0 END AS copies
-  FROM halves h JOIN best c ON h.source IS NOT DISTINCT FROM c.source
+  SELECT j.*, times + coalesce(l.together, CASE WHEN ('0x' || substr(md5('11/' || coalesce(j.source, '') || '/' || coalesce(j.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < j.fraction THEN 1 ELSE 0 END) AS copies
+  FROM joined j LEFT JOIN long l ON j.source IS NOT DISTINCT FROM l.source AND j.doc_id IS NOT DISTINCT FROM l.doc_id
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copies
 """

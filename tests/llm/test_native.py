@@ -67,6 +67,26 @@ def test_mix_targets_caps_and_copies(spark):
     assert mixing.mix_report(docs.where("false")).count() == 0 and mixing.mix_documents(docs.where("false")).count() == 0
 
 
+def test_mix_of_very_long_documents(spark):
+    rows = [(k, "w " * (3000 if k < 9 else 40_000 if k == 9 else 5), "a") for k in range(2000)] + [(k, "w " * (200 + k % 7), "b") for k in range(2000, 2400)] + [(k, "w " * 4, None) for k in range(2400, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for seed in range(2):
+        report = {r["doc_id"]: r for r in mixing.mix_report(docs, seed=seed).collect()}
+        for own, most in (("a", 40_000), ("b", 206), (None, 1200)):
+            mine = [report[i] for i, _, s in rows if s == own]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= most + 0.02 * mine[0]["target"]
+
+
+def test_mix_draws_with_the_fractions_probability(spark):
+    docs = spark.createDataFrame([(k, "w " * (k % 9 + 1), "a" if k < 60 else "b") for k in range(160)], "doc_id long, text string, source string")
+    taken = [{r["doc_id"]: r["copies"] for r in mixing.mix_report(docs, seed=seed).collect()} for seed in range(8)]
+    report = {r["doc_id"]: r for r in mixing.mix_report(docs).collect()}
+    for group in (range(60), range(60, 160)):
+        rate = report[group[0]]["target"] / report[group[0]]["source_size"]
+        means = [sum(t[i] for t in taken) / len(taken) for i in group]
+        assert abs(sum(means) / len(means) - rate) < 0.08 and max(abs(m - rate) for m in means) < 0.8
+
+
 def plain_judge(url, rules):
     import re
 
