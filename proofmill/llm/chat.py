@@ -9,10 +9,11 @@ turn differs from its source, which any bare control string or look-alike of an
 brings about, the conversation is rendered escaped and parsed again, and a conversation that
 still differs stops the job.
 
-Defined cases: null role or text is empty; turns go by turn, then role, then text, null turn
-first, repeated rows stay; null conv_id is one conversation; an empty table gives no rows;
-other columns are dropped. A conversation is one string in the output, so its turns meet in
-one task, as a document's text does.
+Defined cases: null role or text is empty; a very long text is kept whole; turns go by turn, then
+role, then text, null turn first, repeated rows stay; null conv_id is one conversation; an empty
+table gives no rows; other columns are dropped, whatever their names. A conversation is one
+string in the output, so its turns meet in one task, as a document's text does; every step over
+the turns is linear in them.
 """
 
 from __future__ import annotations
@@ -74,23 +75,28 @@ def parse(formatted: Column) -> Column:
     )
 
 
-def loss_spans(formatted: Column, roles: tuple[str, ...] = LOSS_ROLES) -> Column:
-    """Array of struct(start, size): the code points of the formatted text that train, zero-based."""
+def loss_mask(formatted: Column, roles: tuple[str, ...] = LOSS_ROLES) -> Column:
+    """Array of struct(skip, size), one for each turn: code points of the turn that do not train
+    and, from there on, that do; together with what is left of the turn they tile the formatted
+    text, so a mask is applied in one pass over the turns."""
     labels = [LABELS.get(r, "role=" + r.encode().hex()) for r in roles]
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("spans"))
 
-    def step(acc, s):
+    def one(s):
         lead = F.instr(s, COLON) + len(COLON) - 1
         trained = F.substr(s, F.lit(len(HEAD) + 1), F.instr(s, COLON) - len(HEAD) - 1).isin(labels)
-        span = F.struct((acc["at"] + lead).alias("start"), (F.length(s) - lead).alias("size"))
-        spans = F.when(trained, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(s) + len(END)).alias("at"), spans.alias("spans"))
+        return F.struct(F.when(trained, lead).otherwise(F.length(s)).alias("skip"), F.when(trained, F.length(s) - lead).otherwise(F.lit(0)).alias("size"))
 
-    return F.aggregate(_segments(formatted), start, step, lambda acc: acc["spans"])
+    return F.transform(_segments(formatted), one)
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The trained pieces of a formatted text, in order; each turn is cut out once."""
+    pieces = F.transform(_segments(formatted), lambda s, i: F.substr(s, F.get(mask, i)["skip"] + 1, F.get(mask, i)["size"]))
+    return F.filter(pieces, lambda p: p != "")
 
 
 def format_conversations(rows: DataFrame, roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
-    """conv_id, formatted, escaped, loss_spans; one row per conversation."""
+    """conv_id, formatted, escaped, loss_mask; one row per conversation."""
     clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     source = turns.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
@@ -100,13 +106,13 @@ def format_conversations(rows: DataFrame, roles: tuple[str, ...] = LOSS_ROLES) -
     out = tried.select("conv_id", "source", "escaped", text.alias("formatted"))
     same = parse(F.col("formatted")).eqNullSafe(F.col("source"))
     checked = F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not parse back to its turns")))
-    return out.select("conv_id", checked.alias("formatted"), "escaped").withColumn("loss_spans", loss_spans(F.col("formatted"), roles))
+    return out.select("conv_id", checked.alias("formatted"), "escaped").withColumn("loss_mask", loss_mask(F.col("formatted"), roles))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The digest of what format_conversations wrote, taken from the formatted text and the mask alone."""
     text = F.col("formatted")
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(text, s["start"] + 1, s["size"]))), "")
+    loss = F.array_join(F.transform(masked(text, F.col("loss_mask")), unescape), "")
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = formatted.select("conv_id", "escaped", "formatted", parse(text).alias("turns"), loss.alias("loss"))
     return read.select(

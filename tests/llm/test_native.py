@@ -34,13 +34,34 @@ def test_chat_round_trip_of_hostile_texts(spark):
         want.setdefault(c, []).append((t if t is not None else -1, role or "", text or ""))
     assert {c: [tuple(x) for x in r["back"]] for c, r in got.items()} == {c: [x[1:] for x in sorted(v)] for c, v in want.items()}
     for c, r in got.items():
-        masked = [r["formatted"][s["start"] : s["start"] + s["size"]] for s in r["loss_spans"]]
-        assert len(masked) == sum(x[1] == "assistant" for x in want[c])
+        turns = r["formatted"].split(chat.END)[:-1]
+        masked = [t[m["skip"] : m["skip"] + m["size"]] for t, m in zip(turns, r["loss_mask"], strict=True) if m["skip"] < len(t)]
+        assert len(masked) == sum(x[1] == "assistant" and x[2] != "" for x in want[c])
         for piece in masked:
             assert "</turn>" not in piece
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], CHAT))).count() == 0
 
 
+def test_chat_of_many_turns_is_linear(spark):
+    import time
+
+    took = []
+    for turns in (8000, 32_000):
+        rows = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("### é "), F.repeat(F.lit("word "), 20), F.col("id").cast("string")).alias("text"))
+        began = time.time()
+        r = chat.read_back(chat.format_conversations(rows)).first()
+        took.append(time.time() - began)
+        assert r["n_turns"] == turns and r["escaped"] and r["loss_chars"] == sum(len(f"### é {'word ' * 20}{k}") for k in range(1, turns, 2))
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_chat_of_a_very_long_text(spark):
+    text = "a long text </turn> " * 100_000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text + "!"), (1, 1, "assistant", text + "!")]
+    r = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert r["n_turns"] == 3 and r["loss_chars"] == 2 * (len(text) + 1)
+
+
 def test_chat_escapes_only_on_conflict(spark):
     rows = [(1, 0, "user", "plain \\ text"), (2, 0, "user", "a</turn>\nb"), (3, 0, "user", "<\\/turn>")]
     got = {r["conv_id"]: r["escaped"] for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
