@@ -7,20 +7,26 @@ fewer words the whole sequence is the one shingle. Steps:
    from a hash-chosen full one) and band keys. Rows with equal sets become one class, whose
    smallest doc_id stands for it, so copies never meet pairwise.
 2. Classes that share a band key form a bucket. Each bucket gives star edges only: its smallest
-   class to every other one. Edges are confirmed on the full sets, read again from the texts of
-   the classes concerned, and confirmed links give components.
+   class to every other one. The sets of the classes concerned are written once; a centre's set
+   is shipped once for SPREAD of its leaves, which stream past it. Links on full sets give
+   components.
 3. A bucket of three or more whose classes are still in several components may hide a link that
-   does not touch its centre. Such buckets are cut into hashed chunks of about CHUNK classes;
-   pairs of chunks are compared inside a task, on a small exact set or a sketch, and only pairs
-   that can reach the threshold come out, to be confirmed like the others. So no link between
-   candidates is lost, and no group's pairs are written out.
+   does not touch its centre. Its classes are dealt into chunks of about CHUNK classes and
+   CHUNK_ITEMS shingles, those of its largest component into chunks of their own, which need not
+   meet each other. Two chunks meet in one task, which counts what their full sets share, and
+   only links come out, no more than join the task's classes: never a candidate pair. Buckets
+   of the same classes are settled once. So no link between candidates is lost; what grows with
+   the square of a group that is neither linked nor parted by its bands is arithmetic inside
+   tasks of bounded size.
 
 The chance that a pair at the threshold shares no bucket is below 1e-6 (see `banding`).
 
 Defined cases: null text, or one without words: empty set, linked with nothing, its own
-component. Rows that repeat a doc_id count as separate documents of that id. A null doc_id
-joins its class under the class's smallest doc_id, and without one its component is null.
-An empty table gives no rows; other columns are not read.
+component. A very long text is one set and read whole. Equal sets go by the smallest doc_id. Rows
+that repeat a doc_id count as separate documents of that id. A null doc_id joins its class under
+the class's smallest doc_id, and without one its component is null. An empty table gives no
+rows; other columns are not read, whatever their names. doc_id holds integers; other values stop
+the job.
 """
 
 from __future__ import annotations
@@ -33,11 +39,12 @@ from proofmill.llm.components import components
 from proofmill.llm.simhash import MIX, mix64, word_hashes
 
 WORDS, PERCENT, STAGE_PERCENT = 5, 85, 80
-CHUNK = 512
-#: Sets up to EXACT shingles are compared in chunks by 16-bit hashes of all of them, larger ones
-#: by SKETCH bins of 8 bits; sets between SKETCH_FROM and EXACT carry both, so that every two
-#: sets whose sizes allow a link share a form.
-SKETCH, SKETCH_FROM = 512, 256
+#: Leaves that meet one copy of their centre's set.
+SPREAD = 512
+#: Classes and shingles of a chunk, about; two chunks meet in a task.
+CHUNK, CHUNK_ITEMS = 512, 1 << 20
+#: Shingles of up to FEW classes are counted by pairs, others by blocks of a table of BLOCK shingles.
+FEW, BLOCK = 8, 4096
 #: Ids that are broadcast at most to fetch texts; beyond, a shuffled semi-join.
 BROADCAST_IDS = 500_000
 
@@ -97,17 +104,6 @@ def band_keys(items, rows: int, bands: int):
     return key.view(np.int64)
 
 
-def exact_limit(percent: int) -> int:
-    return SKETCH_FROM * 100 // percent + 2
-
-
-def sketch(items, percent: int) -> bytes:
-    import numpy as np
-
-    small = items.astype(np.uint16).tobytes() if len(items) <= exact_limit(percent) else b""
-    return small + (bins(items, SKETCH).astype(np.uint8).tobytes() if len(items) > SKETCH_FROM else b"")
-
-
 def _hash_rows(docs: DataFrame, percent: int) -> DataFrame:
     rows, bands = banding(percent)
 
@@ -124,38 +120,60 @@ def _hash_rows(docs: DataFrame, percent: int) -> DataFrame:
                         part.column(0), pa.array([len(s) for s in found], pa.int64()),
                         pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
                         pa.array([band_keys(s, rows, bands) if len(s) else None for s in found], pa.list_(pa.int64())),
-                        pa.array([sketch(s, percent) if len(s) else None for s in found], pa.binary()),
                     ],
-                    names=["doc_id", "n", "set_hash", "keys", "sketch"],
+                    names=["doc_id", "n", "set_hash", "keys"],
                 )
         release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash binary, keys array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash binary, keys array<long>")
 
 
-def _confirm(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """The edges (u, v) whose full sets reach the threshold. Two inner joins fetch the texts;
-    rows reach a task sorted by u, whose set is kept while it repeats."""
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, items: the sorted shingle hashes of the classes in `nodes`."""
 
     def run(batches):
         import pyarrow as pa
 
-        last, own = None, None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                found = [shingles(t or b"").tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["node", "items"])
+        release()
+
+    ids = nodes.select(F.col("node").alias("doc_id")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return rows.mapInArrow(run, "node long, items binary")
+
+
+def _confirm(space: Workspace, sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """The edges (u, v) whose full sets reach the threshold."""
+    centers = space.save(stars.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("parts")), "centers")
+    leaves = stars.join(centers, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts").cast("long")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("v").alias("node"))
+    heads = centers.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("u").alias("node"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at, own = None, []
         for batch in batches:
             out_u, out_v = [], []
-            for u, v, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                a = a.as_py()
-                if a != last:
-                    last, own = a, shingles(a)
-                other = shingles(b.as_py())
-                if linked(own, other, percent):
-                    out_u.append(u)
-                    out_v.append(v)
+            u, part, kind, node = (batch.column(k).to_pylist() for k in range(4))
+            for k in range(batch.num_rows):
+                items = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)
+                if (u[k], part[k]) != at:
+                    at, own = (u[k], part[k]), []
+                if not kind[k]:
+                    own.append(items.copy())
+                elif any(linked(center, items, percent) for center in own):
+                    out_u.append(u[k])
+                    out_v.append(node[k])
             yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], names=["u", "v"])
 
-    second = edges.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    both = second.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct()
+    rows = leaves.unionByName(heads).join(sets, "node").select("u", "part", "kind", "node", "items")
+    return rows.repartition("u", "part").sortWithinPartitions("u", "part", "kind").mapInArrow(run, "u long, v long").distinct()
 
 
 def linked(a, b, percent: int) -> bool:
@@ -170,93 +188,99 @@ def linked(a, b, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _texts(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    ids = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-
-def chunk_pairs(ids, comps, sizes, sketches, left, percent: int):
-    """Index pairs that may reach the threshold, across components, for the rows of one cell.
-
-    left: 0 or 1, the chunk each row is of; a cell of one chunk has only 0. Rows are compared
-    with the other chunk's, or within the only one. Sets that both are small are compared
-    exactly (16-bit hashes can only add to the shared count); others by their sketches, with
-    five standard deviations of slack.
-    """
+def cell_links(comps, sides, sets, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different components and, if two chunks meet, of different sides;
+    of them, as many as join the rows that they link."""
     import numpy as np
 
-    ids, comps, sizes, left = (np.asarray(x) for x in (ids, comps, sizes, left))
-    n = len(ids)
-    allowed = np.triu(comps[:, None] != comps[None, :], 1) if left.max(initial=0) == 0 else (comps[:, None] != comps[None, :]) & (left[:, None] < left[None, :])
+    comps, sides, n = np.asarray(comps), np.asarray(sides), len(sets)
+    sizes = np.array([len(s) for s in sets])
+    allowed = comps[:, None] != comps[None, :]
+    if sides.any():
+        allowed &= sides[:, None] != sides[None, :]
     allowed &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
     if not allowed.any():
         return []
-    limit = exact_limit(percent)
-    passed = np.zeros((n, n), bool)
-    few = np.flatnonzero(sizes <= limit)
-    if len(few):
-        parts = [np.frombuffer(sketches[k][: 2 * sizes[k]], np.uint16) for k in few]
-        values, where = np.unique(np.concatenate(parts), return_inverse=True)
-        grid = np.zeros((len(few), len(values)), np.float32)
-        grid[np.repeat(np.arange(len(few)), [len(p) for p in parts]), where] = 1
-        shared = grid @ grid.T
-        # values that repeat inside one set were merged: count them as shared
-        spare = np.array([len(p) for p in parts]) - grid.sum(1)
-        shared = shared + np.minimum(spare[:, None], spare[None, :])
-        total = sizes[few][:, None] + sizes[few][None, :] - shared
-        passed[np.ix_(few, few)] = 100 * shared >= percent * total
-    many = np.flatnonzero(sizes > SKETCH_FROM)
-    if len(many):
-        rows = np.stack([np.frombuffer(sketches[k][-SKETCH:], np.uint8) for k in many])
-        s = percent / 100
-        need = SKETCH * (s - 5 * (s * (1 - s) / SKETCH_FROM) ** 0.5)
-        exact = sizes[many] <= limit
-        for i in range(len(many)):
-            same = (rows == rows[i]).sum(1) >= need
-            same &= ~(exact & exact[i])  # decided above
-            passed[many[i], many[same]] = True
-    u, v = np.nonzero(allowed & passed)
-    return list(zip(ids[u].tolist(), ids[v].tolist(), strict=True))
-
-
-def _rest(space: Workspace, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs inside mixed buckets that star edges did not settle. members: key, node, component."""
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = space.save(counted.where("size > 2 and lo != hi").select("key", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "mixed")
-    rows = members.join(mixed, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
-    cells = rows.join(classes.select("node", "n", "sketch"), "node")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    # within a chunk the pair is the chunk with itself; a row of chunk c meets every chunk once
-    cells = cells.select("key", "node", "component", "n", "sketch", "chunk", other)
-    cells = cells.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
+    rows = np.repeat(np.arange(n), sizes)
+    _, token, having = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(token, kind="stable")
+    rows, token = rows[order], token[order]
+    shared = np.zeros((n, n))
+    few = (having[token] > 1) & (having[token] <= FEW)
+    r, t = rows[few], token[few]
+    pairs = [(r[:-k] * n + r[k:])[t[:-k] == t[k:]] for k in range(1, min(FEW, len(r)))]
+    if pairs:
+        keys, counts = np.unique(np.concatenate(pairs), return_counts=True)
+        shared.flat[keys] += counts
+        shared += shared.T
+    many = having[token] > FEW
+    r, t = rows[many], token[many]
+    t = np.cumsum(np.concatenate([[0], t[1:] != t[:-1]])) if len(t) else t
+    for low in range(0, int(t[-1]) + 1 if len(t) else 0, BLOCK):
+        a, b = np.searchsorted(t, (low, low + BLOCK))
+        table = np.zeros((n, BLOCK), np.float32)
+        table[r[a:b], t[a:b] - low] = 1
+        shared += table @ table.T
+    adjacent = allowed & (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared))
+    out, seen = [], np.zeros(n, bool)
+    for root in np.flatnonzero(adjacent.any(axis=1)).tolist():
+        if seen[root]:
+            continue
+        seen[root], todo = True, [root]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(adjacent[x] & ~seen).tolist()
+            seen[new] = True
+            out += [(x, y) for y in new]
+            todo += new
+    return out
+
+
+def _rest(space: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) inside mixed buckets that star edges did not show. members: key, node, n, component."""
+    marks = [F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("mark_2")]
+    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"), *marks)
+    most = F.max(F.struct("rows", "items", "component"))
+    marks = [F.bit_xor("mark").alias("mark"), F.sum("mark_2").alias("mark_2")]
+    buckets = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("size"), F.sum("items").alias("items"), most.alias("big"), *marks)
+    chunks = lambda n, items: F.greatest(F.lit(1), F.ceil(n / CHUNK), F.ceil(items / CHUNK_ITEMS)).cast("int")
+    split = F.struct("key", F.col("big.component").alias("big"), chunks(F.col("big.rows"), F.col("big.items")).alias("c"), chunks(F.col("size") - F.col("big.rows"), F.col("items") - F.col("big.items")).alias("d"))
+    mixed = buckets.where("size > 2 and parts > 1").groupBy("size", "items", "mark", "mark_2").agg(F.min(split).alias("one"))  # the same classes once
+    mixed = space.save(mixed.select("one.*"), "mixed")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("component") == F.col("big"), F.col("c")).otherwise(F.col("d")).cast("long")).cast("int")
+    rows = members.join(mixed, "key").withColumn("_big", F.col("component") == F.col("big")).withColumn("chunk", F.when(F.col("_big"), own).otherwise(F.col("c") + own))
+    other = F.explode(F.sequence(F.when(F.col("_big"), F.col("c")).otherwise(F.lit(0)), F.col("c") + F.col("d") - 1)).alias("other")
+    cells = rows.select("key", "node", "component", "chunk", other)
+    cells = cells.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "component")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
         def settle(cell):
-            pairs = {(min(p), max(p)) for p in chunk_pairs(*zip(*cell, strict=True), percent)} if len(cell) > 1 else ()
-            return [{"u": u, "v": v} for u, v in pairs if u != v]
+            nodes, comps, sides, own = zip(*cell, strict=True)
+            return [{"u": nodes[i], "v": nodes[j]} for i, j in cell_links(comps, sides, own, percent)] if len(set(comps)) > 1 else []
 
         at, cell, out = None, [], []
         for batch in batches:
-            key, a, b, side, node, comp, n, sk = (c.to_pylist() for c in batch.columns)
-            for where, row in zip(zip(key, a, b, strict=True), zip(node, comp, n, sk, side, strict=True), strict=True):
+            key, a, b, side, node, comp = (batch.column(k).to_pylist() for k in range(6))
+            for k, where in enumerate(zip(key, a, b, strict=True)):
                 if where != at:
-                    out += settle(cell)
+                    out += settle(cell) if cell else []
                     at, cell = where, []
                     if len(out) > 4096:
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
                         out = []
-                cell.append(row)
-        out += settle(cell)
+                cell.append((node[k], comp[k], side[k], np.frombuffer(batch.column(6)[k].as_buffer(), np.uint64)))
+        out += settle(cell) if cell else []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
+        release()
 
-    dealt = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    dealt = cells.join(sets, "node").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return dealt.select("key", "a", "b", "side", "node", "component", "items").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -264,22 +288,24 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     space = Workspace(docs.sparkSession, "minhash")
     hashed = space.save(_hash_rows(docs, percent), "hashed")
     full = hashed.where("set_hash is not null")
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = space.save(classes.where("node is not null"), "classes")
-    bands = classes.select("node", F.explode("keys").alias("key"))
+    bands = classes.select("node", "n", F.explode("keys").alias("key"))
     # written, like each aggregate that is joined back: a hot key can then be split in the join
-    buckets = space.save(bands.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center != last"), "buckets")
-    members = space.save(bands.join(buckets.select("key", "center"), "key"), "members")
-    stars = space.save(members.where("node != center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    texts = space.save(_texts(docs, stars), "texts")
-    links = space.save(_confirm(texts, stars, percent), "links")
+    buckets = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).where("c.node != last")
+    buckets = space.save(buckets.select("key", F.col("c.node").alias("center"), F.col("c.n").alias("center_n")), "buckets")
+    members = space.save(bands.join(buckets, "key"), "members")
+    possible = 100 * F.least("n", "center_n") >= percent * F.greatest("n", "center_n")
+    stars = space.save(members.where("node != center").where(possible).select(F.col("center").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    sets = space.save(_sets(docs, members), "sets")
+    links = space.save(_confirm(space, sets, stars, percent), "links")
     found = space.save(components(space, links, "first"), "components")
-    placed = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    rest = space.save(_rest(space, placed, classes, percent).join(stars, ["u", "v"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = space.save(_confirm(space.save(_texts(docs, rest), "rest-texts"), rest, percent), "more")
-        if more.limit(1).count():
-            found = space.save(components(space, links.unionByName(more), "second"), "components-2")
+    placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    more = space.save(_rest(space, placed, sets, percent), "more")
+    if more.limit(1).count():
+        found = space.save(components(space, links.unionByName(more), "second"), "components-2")
+    for done in ("members", "stars", "sets", "links", "buckets", "centers"):
+        space.drop(done)
     by_set = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = hashed.select("doc_id", "n", "set_hash").join(by_set, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("component"))

@@ -56,15 +56,36 @@ def test_drop_near_edges(spark):
     assert minhash.near_groups(docs.where("false")).count() == 0
 
 
-def test_chunk_pairs_keep_every_link():
+@pytest.mark.parametrize("two", [False, True])
+@pytest.mark.parametrize("few", [2, 8])
+def test_cell_links_join_what_is_linked(monkeypatch, two, few):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", 64)
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
     sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.04 * (k % 4)], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for k in range(20)]
-    sets += [s[:150] for s in sets[:8]]
-    marks = [minhash.sketch(s, 85) for s in sets]
-    got = {tuple(sorted(p)) for p in minhash.chunk_pairs(range(len(sets)), range(len(sets)), [len(s) for s in sets], marks, [0] * len(sets), 85)}
-    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if minhash.linked(sets[a], sets[b], 85)}
-    assert want <= got and len(got) < len(sets) * (len(sets) - 1) // 2
+    sets += [s[:150] for s in sets[:8]] + [s[:1] for s in sets[:3]]
+    comps, sides = [k // 2 for k in range(len(sets))], [k % 2 * two for k in range(len(sets))]
+    got = minhash.cell_links(comps, sides, sets, 85)
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if comps[a] != comps[b] and (not two or sides[a] != sides[b]) and minhash.linked(sets[a], sets[b], 85)}
+    assert {tuple(sorted(p)) for p in got} <= want and len(got) < len(sets)
+    joined = lambda edges: brute.components(range(len(sets)), lambda a, b: (a, b) in edges)
+    assert joined({tuple(sorted(p)) for p in got}) == joined(want)
+
+
+def test_a_family_below_the_threshold_writes_no_pairs(spark, monkeypatch):
+    rows = []
+    for k in range(1200):  # three words of its own each: 0.825 between two members
+        own = [f"t{j}" for j in range(160)]
+        own[20], own[70], own[120] = f"u{k}", f"v{k}", f"w{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(5000 + k, rows[3 * k][1] + " tail") for k in range(400)]
+    want = {k: k for k in range(1200)} | {5000 + k: 3 * k for k in range(400)}
+    kept, save = {}, minhash.Workspace.save
+    monkeypatch.setattr(minhash.Workspace, "save", lambda self, df, name: kept.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(minhash.Workspace, "drop", lambda self, name="": None)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark.createDataFrame(rows, DOCS)).collect()} == want
+    assert all(kept[name].count() <= len(rows) for name in ("links", "more", "sets")) and kept["stars"].count() <= 32 * len(rows)
 
 
 @pytest.mark.parametrize("hot", [20_000, 1])
