@@ -40,7 +40,7 @@ from proofmill.llm.simhash import MIX, mix64, word_hashes
 
 WORDS, PERCENT, STAGE_PERCENT = 5, 85, 80
 #: Leaves that meet one copy of their centre's set.
-SPREAD = 512
+SPREAD = 128
 #: Classes and shingles of a chunk, about; two chunks meet in a task.
 CHUNK, CHUNK_ITEMS = 512, 1 << 20
 #: Shingles of up to FEW classes are counted by pairs, others by blocks of a table of BLOCK shingles.
