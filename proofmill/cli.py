@@ -47,9 +47,9 @@ def _health(args) -> int:
     files = vault.note_files(spark, folder)
     files = files.where(files.file_path == str(Path(args.path).resolve())) if single else files
     hashes, problem = manifest.source_hashes(spark, Path(args.source_manifest).read_text(encoding="utf-8")) if args.source_manifest else (None, None)
-    issues = health.lint(files, hashes, directory=not single)
+    issues = health.lint(files, hashes, directory=not single, yaml=True)
     if problem:
-        issues = issues.unionByName(spark.createDataFrame([("source_manifest_unrecognized", "error", problem, args.source_manifest)], "code string, severity string, message string, file_path string"))
+        issues = issues.unionByName(health.unrecognized(spark, args.source_manifest, problem))
     found = json.loads(health.report_json(files, issues, args.path))
     if args.json:
         print(json.dumps(found, indent=2, ensure_ascii=False))

@@ -123,62 +123,66 @@ class Branding:
     manifest_name: str = "vault-manifest.json"
 
 
-def _int(text: str) -> int:
-    return int(text.strip())
-
-
-def _float(text: str) -> float:
-    return float(text.strip())
-
-
-def _bool(text: str) -> bool:
-    word = text.strip().lower()
-    if word in ("true", "1", "yes", "on"):
-        return True
-    if word in ("false", "0", "no", "off"):
-        return False
-    raise ValueError(text)
+#: What a setting may be.
+LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
+PROVIDERS = ("local", "ollama", "openai")
 
 
 @dataclass
 class Settings:
-    """Environment settings; a malformed value keeps the default and is recorded in `errors`."""
+    """Environment settings; a malformed number keeps the default and is recorded in `errors`."""
 
-    environment: str = "development"
-    log_level: str = "INFO"
     data_dir: str = "./data"
-    index_dir: str = "./index"
-    chunk_size: int = 512
-    chunk_overlap: int = 64
+    log_level: str = "INFO"
+    model_provider: str = "local"
+    embedding_model: str | None = None
+    reasoning_model: str | None = None
+    chunk_size: int = 1000
+    chunk_overlap: int = 200
     top_k: int = 5
-    alpha: float = 0.5
-    model_enabled: bool = False
-    model_name: str = ""
-    model_url: str = ""
+    hybrid_alpha: float = 0.5
+    min_confidence_threshold: float = 0.7
+    max_unsupported_claims: int = 0
     errors: list[str] = field(default_factory=list)
 
     @classmethod
     def from_env(cls, prefix: str = "PROOFMILL_", env: Mapping[str, str] | None = None) -> Settings:
         env, out = os.environ if env is None else env, cls()
-        readers = {int: _int, float: _float, bool: _bool, str: str}
+        said = {"min_confidence_threshold": "MIN_CONFIDENCE"}
         for f in fields(cls):
-            key = prefix + f.name.upper()
+            key = prefix + said.get(f.name, f.name.upper())
             if f.name == "errors" or key not in env:
                 continue
+            kind = type(getattr(out, f.name))
             try:
-                setattr(out, f.name, readers[type(getattr(out, f.name))](env[key]))
+                setattr(out, f.name, kind(env[key]) if kind in (int, float) else env[key])
             except ValueError:
-                out.errors.append(f"{key}: invalid value {env[key]!r}")
+                out.errors.append(f"Invalid {'integer' if kind is int else 'float'} for {key}")
+        out.log_level, out.model_provider = out.log_level.upper(), out.model_provider.lower()
         return out
 
     def validate(self) -> list[str]:
-        found = list(self.errors)
-        if self.chunk_size <= 0:
-            found.append("chunk_size must be positive")
-        if not 0 <= self.chunk_overlap < max(1, self.chunk_size):
-            found.append("chunk_overlap must be non-negative and less than chunk_size")
-        if self.top_k < 1:
-            found.append("top_k must be >= 1")
-        if not 0.0 <= self.alpha <= 1.0:
-            found.append("alpha must be between 0.0 and 1.0")
-        return found
+        share = lambda n: None if 0 <= getattr(self, n) <= 1 else f"{n} must be between 0 and 1: {getattr(self, n)}"
+        least = lambda n, x, word: None if getattr(self, n) >= x else f"{n} must be {word}: {getattr(self, n)}"
+        found = [
+            None if self.log_level in LOG_LEVELS else f"Invalid log_level: {self.log_level}",
+            None if self.model_provider in PROVIDERS else f"Invalid model_provider: {self.model_provider}",
+            least("chunk_size", 1, "positive"), least("chunk_overlap", 0, "non-negative"),
+            None if self.chunk_overlap < self.chunk_size else "chunk_overlap must be less than chunk_size",
+            least("top_k", 1, "positive"), share("hybrid_alpha"), share("min_confidence_threshold"),
+            least("max_unsupported_claims", 0, "non-negative"),
+        ]
+        return self.errors + [x for x in found if x]
+
+
+_SETTINGS: list[Settings] = []
+
+
+def get_settings() -> Settings:
+    """The settings of this process, read from the environment once."""
+    return _SETTINGS[0] if _SETTINGS else reload_settings()
+
+
+def reload_settings() -> Settings:
+    _SETTINGS[:] = [Settings.from_env()]
+    return _SETTINGS[0]

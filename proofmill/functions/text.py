@@ -44,6 +44,16 @@ def staged(df, **columns: Column):
     return df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def fold(c: Column) -> Column:
+    """Case folded: equal for texts that differ in case only, `ß` and `ss` among them."""
+    many = {x: x.casefold() for x in map(chr, range(0x80, 0x10000)) if len(x.casefold()) > 1}  # characters that fold to several
+    table = F.create_map(*[F.lit(s) for kv in many.items() for s in kv])
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    wide = F.when(F.rlike(c, F.lit(f"[{''.join(many)}]")), spelled).otherwise(c)
+    kept = F.translate(wide, "\u0131", "\ue131")  # dotless i has no case partner
+    return F.translate(F.lower(F.upper(kept)), "\u03c2\ue131", "\u03c3\u0131")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 

@@ -49,9 +49,42 @@ def _scalar(raw: Column) -> Column:
     )
 
 
-def parse(files: DataFrame) -> DataFrame:
+def _foreign(raw: Column) -> Column:
+    """Front matter in another YAML grammar, as struct(frontmatter, source_documents); null where
+    it is not YAML or no mapping. Python, batch by batch, for the few texts that need it."""
+    entry = f"array<struct<{','.join(f'{k}:string' for k in _SOURCE)}>>"
+
+    @F.pandas_udf("string")
+    def read(batch):
+        import pandas as pd
+        import yaml
+
+        def said(v):
+            return None if v is None else str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else json.dumps(v, default=str) if isinstance(v, (dict, list)) else str(v)
+
+        def one(text):
+            if text is None:
+                return None
+            try:
+                found = yaml.safe_load(text)
+            except yaml.YAMLError:
+                return None
+            if not isinstance(found, dict):
+                return None
+            listed = found.get("source_documents")
+            docs = [{k: said(d.get(k)) for k in _SOURCE} for d in listed if isinstance(d, dict)] if isinstance(listed, list) else []
+            return json.dumps({"frontmatter": {str(k): said(v) for k, v in found.items()}, "source_documents": docs})
+
+        return pd.Series([one(t) for t in batch])
+
+    return F.from_json(read(raw), f"struct<frontmatter:map<string,string>,source_documents:{entry}>")
+
+
+def parse(files: DataFrame, yaml: bool = False) -> DataFrame:
     """file_path, content -> front matter map, source entries, body sections.
 
+    With `yaml`, front matter outside the grammar below is read by PyYAML instead of being bad.
+
     The grammar is the one notes are written in: `key: scalar` lines, and lists of flat mappings
     under a key. `fm_state` is none, open (no closing line), bad (another grammar) or ok.
     """
@@ -73,6 +106,9 @@ def parse(files: DataFrame) -> DataFrame:
     listed = F.regexp_extract(F.concat(F.lit("\n"), F.array_join("_lines", "\n"), F.lit("\n")), r"\nsource_documents:[ ]*\n((?:[ -][^\n]*\n)*)", 1)
     items = F.filter(F.split(F.concat(F.lit("\n"), listed), r"\n *- "), lambda x: F.trim(x) != "")
     out = some(fm_state=F.when((F.col("_state") == "ok") & bad, F.lit("bad")).otherwise(F.col("_state")), _tops=tops, _items=items)
+    if yaml:
+        out = some(_yaml=_foreign(F.when(F.col("fm_state") == "bad", F.col("_raw"))))
+        out = out.withColumn("fm_state", F.when(F.col("_yaml").isNotNull(), F.lit("yaml")).otherwise(F.col("fm_state")))
     later = lambda i: F.slice(F.col("_tops"), i + 2, F.size("_tops"))
     last = F.filter("_tops", lambda p, i: ~F.exists(later(i), lambda q: q["k"] == p["k"]))
     own = lambda x, k: F.trim(F.regexp_extract(F.concat(F.lit("\n"), x), rf"\n *{k}:[ ]*([^\n]*)", 1)).alias(k)
@@ -81,8 +117,13 @@ def parse(files: DataFrame) -> DataFrame:
     docs = F.transform("_items", lambda d: F.struct(*[_scalar(d[k]).alias(k) for k in _SOURCE]))
     ok = F.col("fm_state") == "ok"
     none = F.array().cast("array<struct<" + ",".join(f"{k}:string" for k in _SOURCE) + ">>")
+    if yaml:
+        read = F.col("fm_state") == "yaml"
+        pairs, docs = F.when(read, F.col("_yaml.frontmatter")).otherwise(pairs), F.when(read, F.col("_yaml.source_documents")).otherwise(docs)
+        ok = ok | read
     out = some(frontmatter=F.when(ok, pairs).otherwise(F.create_map().cast("map<string,string>")), source_documents=F.when(ok, docs).otherwise(none), sections=_sections(F.col("body")))
-    return out.drop("_lead", "_rest", "_close", "_state", "_raw", "_lines", "_tops", "_items")
+    out = out.withColumn("fm_state", F.when(F.col("fm_state") == "yaml", F.lit("ok")).otherwise(F.col("fm_state")))
+    return out.drop("_lead", "_rest", "_close", "_state", "_raw", "_lines", "_tops", "_items", "_yaml")
 
 
 def _sections(body: Column) -> Column:
@@ -230,14 +271,19 @@ def cross_issues(parsed: DataFrame) -> DataFrame:
     return _exploded(_cross(parsed.select("file_path", "fm_state", _note_id().alias("note_id"), none.alias("issues"))))
 
 
-def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool = True, brand: Branding = Branding()) -> DataFrame:  # noqa: B008  frozen
+def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool = True, brand: Branding = Branding(), yaml: bool = False) -> DataFrame:  # noqa: B008  frozen
     """code, severity, message, file_path of every issue; one pass over the files, two with a manifest."""
-    parsed = parse(files)
+    parsed = parse(files, yaml)
     rows = file_issues(parsed, brand).select("file_path", "fm_state", _note_id().alias("note_id"), "issues")
     found = _exploded(_cross(rows) if directory else rows)
     return found.unionByName(drift_issues(parsed, manifest)) if manifest is not None else found
 
 
+def unrecognized(spark, path: str, problem: str) -> DataFrame:
+    """The issue of a source manifest that cannot be read."""
+    return spark.createDataFrame([("source_manifest_unrecognized", "error", problem, path)], "code string, severity string, message string, file_path string")
+
+
 def report(files: DataFrame, issues: DataFrame) -> DataFrame:
     """One row: files_scanned, error_count, warning_count, passed."""
     counts = issues.agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))

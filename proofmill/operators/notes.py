@@ -82,10 +82,17 @@ def _opt(name: str, value: Column, indent: str) -> Column:
 
 
 def iso_utc(c: Column) -> Column:
-    """An ISO time in UTC with `+00:00`; naive means UTC, microseconds only if not zero."""
-    at = F.to_timestamp(c)
-    whole, micro = "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    return F.concat(F.when(F.date_format(at, "SSSSSS") == "000000", F.date_format(at, whole)).otherwise(F.date_format(at, micro)), F.lit("+00:00"))
+    """An ISO time in UTC with `+00:00`; naive means UTC, microseconds only if not zero. Another
+    text stops the job. Holds for any time zone of the session."""
+    zoned = F.when(F.rlike(c, F.lit(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")), c).otherwise(F.when(F.rlike(c, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.concat(c, F.lit("T00:00:00Z"))).otherwise(F.concat(c, F.lit("Z"))))
+    at = F.unix_micros(F.try_to_timestamp(zoned))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(at / 86_400_000_000).cast("int"))
+    inside = F.pmod(at, F.lit(86_400_000_000).cast("long"))
+    two = lambda unit, most: F.lpad((F.floor(inside / unit) % most).cast("string"), 2, "0")
+    micro = inside % 1_000_000
+    tail = F.when(micro == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micro.cast("string"), 6, "0")))
+    said = F.concat(day.cast("string"), F.lit("T"), two(3_600_000_000, 24), F.lit(":"), two(60_000_000, 60), F.lit(":"), two(1_000_000, 60), tail, F.lit("+00:00"))
+    return F.when(c.isNotNull() & at.isNull(), F.raise_error(F.concat(F.lit("not an ISO time: "), c))).otherwise(said)
 
 
 def _frontmatter(m: Column) -> Column:
@@ -100,7 +107,9 @@ def _frontmatter(m: Column) -> Column:
 
 
 def render(notes: DataFrame, brand: Branding = Branding()) -> DataFrame:  # noqa: B008  frozen
-    """Adds `markdown` and `file_name`."""
+    """Adds `markdown` and `file_name`; times are written in UTC."""
+    at = iso_utc(F.col("metadata.generated_at"))
+    notes = text.staged(notes, metadata=F.when(F.col("metadata").isNotNull(), F.col("metadata").withField("generated_at", at)))
     m = F.col("metadata")
     staged = text.staged(notes, _refs=merged_refs(F.col("claims"), F.col("source_evidence")))
     staged = text.staged(staged, _labels=display_labels(F.transform("_refs", lambda r: r["label"])))

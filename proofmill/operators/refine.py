@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,7 +137,8 @@ def prompt(raw: Column, version: str = PROMPT_VERSION) -> Column:
 
 def clean_chunks(chunks: DataFrame) -> DataFrame:
     """Adds cleaned_text and cleaned_text_hash."""
-    return text.staged(chunks, cleaned_text=refine(F.col("raw_text"))).withColumn("cleaned_text_hash", ids.sha(F.col("cleaned_text")))
+    refined = chunks.withColumn("cleaned_text", refine(F.col("raw_text")))  # a projection, so that who reads ids only is spared it
+    return refined.withColumn("cleaned_text_hash", ids.sha(F.col("cleaned_text")))
 
 
 def refine_chunks(chunks: DataFrame, version: str = PROMPT_VERSION) -> DataFrame:
@@ -158,26 +160,33 @@ Model = Callable[[Iterator[str]], Iterator[str]]
 def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str = "", version: str = PROMPT_VERSION) -> DataFrame:
     """refine_chunks, then each chunk whose model reply passes JSON check and guardrails takes it.
 
-    `model` maps prompts to JSON replies and runs in Arrow batches on the executors; None is an
-    unavailable adapter. A reply that fails keeps the rule-based text and says why.
+    `model` maps prompts to JSON replies and gets the prompts of an Arrow batch at once on the
+    executors; None, or one whose `available()` says no when the plan is made, is an unavailable
+    adapter. A reply that fails keeps the rule-based text and says why; after it, the model goes on
+    with the rest of the batch.
     """
     base = refine_chunks(chunks, version)
-    if model is None:
+    if model is None or not getattr(model, "available", lambda: True)():
         return base.withColumn("refinement", F.col("refinement").withField("fallback_reason", F.lit("adapter_unavailable")))
 
     @F.pandas_udf("string")
     def ask(batch):
         import pandas as pd
 
-        def one(p):
+        prompts, replies = list(batch), []
+        while len(replies) < len(prompts):
             try:
-                return next(iter(model(iter([p]))))
+                before = len(replies)
+                replies.extend(islice(model(iter(prompts[before:])), len(prompts) - before))
+                if len(replies) == before:
+                    raise ValueError("no reply")
             except Exception as e:  # noqa: BLE001  a failing model call falls back, it never fails the job
-                return json.dumps({"error": str(e)})
+                replies.append(json.dumps({"error": str(e)}))
+        return pd.Series(replies)
 
-        return pd.Series([one(p) for p in batch])
-
-    asked = base.withColumn("_reply", strip_fence(ask(prompt(F.col("raw_text"), version))))
+    # not deterministic: no second reference may call the model again
+    asked = base.withColumn("_reply", ask.asNondeterministic()(prompt(F.col("raw_text"), version)))
+    asked = asked.withColumn("_reply", strip_fence(F.col("_reply")))
     asked = asked.withColumns({"_problem": json_problem(F.col("_reply")), "_text": F.get_json_object("_reply", "$.cleaned_text")})
     judged = asked.withColumn("_g", guardrails(F.col("raw_text"), F.coalesce("_text", F.lit(""))))
     good = F.col("_problem").isNull() & F.col("_g.passed")
@@ -224,3 +233,21 @@ def document_rollup(chunks: DataFrame) -> DataFrame:
             "warnings": F.array_sort(F.array_union("warnings", "reasons")),
         }
     ).drop("reasons")
+
+
+def result_json(chunks: DataFrame) -> DataFrame:
+    """document_id, json: a document's refinement as one JSON text, chunks in order.
+
+    A document is one JSON object, so its chunks meet in one task.
+    """
+    chunk = F.struct("chunk_index", "chunk_id", "raw_text", "cleaned_text", "start_offset", "end_offset", "raw_text_hash", "metadata")
+    in_order = F.array_sort(F.collect_list(chunk), lambda a, b: a["chunk_index"] - b["chunk_index"])
+    gathered = chunks.groupBy("document_id").agg(in_order.alias("chunks"), F.min_by("refinement", "chunk_index").alias("_r"))
+    rolled = document_rollup(chunks)
+    meta = F.struct(
+        "refinement_method", F.col("_r.prompt_version").alias("prompt_version"), "model_name", "warnings", F.col("_r.no_new_facts_checked").alias("no_new_facts_checked"),
+        F.col("total_raw_chars").alias("raw_text_length"), F.col("total_cleaned_chars").alias("cleaned_text_length"),
+        (F.col("model_attempts") > 0).alias("model_refinement_attempted"), ((F.col("model_attempts") > 0) & (F.col("model_fallbacks") == 0)).alias("model_refinement_accepted"), "fallback_reason",
+    ).alias("metadata")
+    whole = F.struct("document_id", "chunks", meta, "total_chunks", "total_raw_chars", "total_cleaned_chars")
+    return gathered.join(rolled, "document_id").select("document_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))

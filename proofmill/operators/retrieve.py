@@ -2,7 +2,10 @@
 
 Each branch is a top-(2 * top_k) of its own (TakeOrderedAndProject for one query, a grouped
 limit for a batch) before the merge, which is part of the semantics: a chunk outside one list
-scores 0 there. Texts ride along only through those bounded lists.
+scores 0 there. Retrieval of one query goes in two phases: the first ranks chunk ids, so the
+vector branch never refines a text; the second fetches the texts of the ranked rows, at most
+top_k for each weight, from their documents alone. Up to LOCAL_ROWS of them become a local
+relation, so what is built on a result does not compute the retrieval again.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from proofmill.functions import ids, text
 KEYS = ("document_id", "chunk_id")
 #: Queries of a batch that meet the corpus at once on the vector side.
 QUERY_BLOCK = 5000
+LOCAL_ROWS = 2000
+#: What a branch contributes beside its score.
+BRANCH = ("matched_fields", "retrieval_source", "source_retrievers", "score_policy")
 CANDIDATE = (*KEYS, "chunk_index", "source_path", "source_type", "raw_text", "cleaned_text", "raw_text_hash", "cleaned_text_hash", "metadata")
 
 
@@ -87,11 +93,10 @@ def embedding_hits(vectors: DataFrame, query: list[float], limit: int, key: str
 
 
 def merge(keyword: DataFrame, vector: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
-    """Full outer join of two short lists on the chunk; a row for each alpha."""
+    """Full outer join of two short lists on the chunk, without texts; a row for each alpha."""
     keys = list(KEYS)
-    rest = [c for c in keyword.columns if c not in keys]
-    side = lambda df, s: df.select(*keys, F.struct(*rest).alias(s))
-    both = side(keyword, "k").join(side(vector, "v"), keys, "full_outer")
+    side = lambda df, s, score: df.select(*keys, F.struct(score, *BRANCH).alias(s))
+    both = side(keyword, "k", "keyword_score").join(side(vector, "v", "vector_score"), keys, "full_outer")
     k, v = F.col("k"), F.col("v")
     two = k.isNotNull() & v.isNotNull()
     pick = lambda c: F.when(k.isNotNull(), k[c]).otherwise(v[c])
@@ -99,7 +104,7 @@ def merge(keyword: DataFrame, vector: DataFrame, alphas: tuple[float, ...]) -> D
     none = F.array().cast("array<string>")
     scores = [F.struct(F.lit(a).alias("alpha"), (F.lit(a) * vec + F.lit(1 - a) * kw).alias("hybrid_score")) for a in alphas]
     return both.select(
-        *keys, *[pick(c).alias(c) for c in CANDIDATE if c not in KEYS], kw.alias("keyword_score"), vec.alias("vector_score"), F.inline(F.array(*scores)),
+        *keys, kw.alias("keyword_score"), vec.alias("vector_score"), F.inline(F.array(*scores)),
         F.when(two, F.lit("hybrid")).otherwise(pick("score_policy")).alias("score_policy"),
         F.array_sort(F.array_union(F.coalesce(k["matched_fields"], none), F.coalesce(v["matched_fields"], none))).alias("matched_fields"),
         F.when(two, F.lit("hybrid")).otherwise(pick("retrieval_source")).alias("retrieval_source"),
@@ -107,6 +112,17 @@ def merge(keyword: DataFrame, vector: DataFrame, alphas: tuple[float, ...]) -> D
     )
 
 
+def _local(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def with_texts(corpus: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with the other candidate columns of their chunks. The semi-join on the document goes
+    below the chunking, so only the rows' documents are chunked and refined."""
+    near = corpus.select(*CANDIDATE).join(F.broadcast(rows.select("document_id").distinct()), "document_id", "left_semi")
+    return near.join(F.broadcast(rows), list(KEYS))
+
+
 def ranked(merged: DataFrame, top_k: int, by: tuple[str, ...] = ()) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.desc("hybrid_score"), F.desc("keyword_score"), F.desc("vector_score"), *KEYS)
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -120,14 +136,33 @@ def retrieve(corpus: DataFrame, request: RetrievalRequest, policy: str = DUAL_CO
     """
     request.check()
     effective, limit = request.text_policy or policy, 2 * request.top_k
-    merged = merge(keyword(corpus, request, effective, limit), vector(corpus, request, effective, limit), alphas or (request.alpha,))
+    weights = alphas or (request.alpha,)
+    merged = merge(keyword(corpus, request, effective, limit), vector(corpus, request, effective, limit), weights)
     total = merged.withColumn("total_candidates", F.count(F.lit(1)).over(Window.partitionBy("alpha")))
     filters = request.filters.describe() if request.filters else []
     audit = {
         "query": F.lit(request.query), "query_hash": F.lit(ids.text_hash(request.query)), "retrieval_run_id": F.lit(request.retrieval_run_id or f"run_{ids.text_hash(request.query)[:16]}"),
         "text_policy": F.lit(effective), "applied_filters": F.array(*[F.lit(f) for f in filters]).cast("array<string>"),
     }
-    return ranked(total, request.top_k, ("alpha",)).withColumns(audit)
+    best = ranked(total, request.top_k, ("alpha",))
+    if request.top_k * len(weights) > LOCAL_ROWS:
+        return with_texts(corpus, best).withColumns(audit)
+    return _local(with_texts(corpus, _local(best))).withColumns(audit)
+
+
+class HybridPipeline:
+    """A corpus with its retrievers and a default text policy; a request's own policy wins."""
+
+    def __init__(self, corpus: DataFrame, policy: str = DUAL_CONTEXT, keyword: Retriever = keyword_hits, vector: Retriever = vector_hits):
+        self.corpus, self.policy, self.keyword, self.vector = corpus, policy, keyword, vector
+
+    def retrieve(self, request: RetrievalRequest, alphas: tuple[float, ...] = ()) -> DataFrame:
+        return retrieve(self.corpus, request, self.policy, self.keyword, self.vector, alphas)
+
+
+def create_pipeline(corpus: DataFrame, text_policy: str | None = None) -> HybridPipeline:
+    """A pipeline of the built-in retrievers."""
+    return HybridPipeline(corpus, text_policy or DUAL_CONTEXT)
 
 
 def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha: float = 0.5, policy: str = DUAL_CONTEXT) -> DataFrame:

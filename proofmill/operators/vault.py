@@ -77,7 +77,7 @@ def plan(files: DataFrame, existing: DataFrame | None = None, config: VaultConfi
     else:
         rows = rows.withColumn("health_errors", F.lit(0).cast("long"))
     sick = F.col("health_errors") > 0
-    claim = Window.partitionBy(F.lower("relative_destination")).orderBy("relative_source")
+    claim = Window.partitionBy(text.fold(F.col("relative_destination"))).orderBy("relative_source")
     rows = rows.withColumn("_first", F.first("relative_source").over(claim))
     collision = ~sick & (F.col("_first") != F.col("relative_source"))
     reason = F.when(sick, F.concat(F.lit("Health preflight failed with "), F.col("health_errors").cast("string"), F.lit(" error(s)"))).when(

@@ -14,8 +14,8 @@ from proofmill.functions import ids
 
 #: Directories that a listing never enters.
 IGNORED = (
-    ".git", ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".ruff_cache", ".mypy_cache", "node_modules",
-    "dist", "build", ".idea", ".vscode", "data", "documents", "storage", "uploads",
+    ".git", "__pycache__", ".pytest_cache", ".venv", "venv", "node_modules", "data", "storage", "uploads",
+    "documents", "indexes", "vector_store", "vector-db", "chroma", "qdrant_storage", "lancedb",
 )
 
 
@@ -83,7 +83,7 @@ def ingest(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     listed = list_files(root) if os.path.isdir(root) else [(root, "ingest" if Path(root).suffix.lower() in (".txt", ".md", ".markdown") else "skipped")]
     names = {str(Path(p).resolve()): normalize(p) for p, d in listed if d == "ingest"}
     keys = spark.createDataFrame(list(names.items()) or [("", "")], "full string, named string")
-    loaded = load_files(spark, list(names)).join(F.broadcast(keys), F.col("source_path") == F.col("full")).withColumn("source_path", F.col("named")).drop("full", "named")
+    loaded = load_files(spark, list(names)).join(keys, F.col("source_path") == F.col("full")).withColumn("source_path", F.col("named")).drop("full", "named")
     known = manifest.select("source_path", F.col("content_hash").alias("_known"))
     status = F.coalesce("failure", F.when(F.col("_known").isNull(), F.lit("new")).when(F.col("_known") == F.col("content_hash"), F.lit("unchanged")).otherwise(F.lit("changed")))
     done = loaded.join(known, "source_path", "left").withColumn("status", status).drop("_known", "failure")

@@ -18,8 +18,13 @@ def diff(docs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def upsert(manifest: DataFrame, docs: DataFrame) -> DataFrame:
-    """The manifest after ingesting docs: every seen path is renewed, others stay."""
-    fresh = docs.select("source_path", "content_hash", "size_bytes", "modified_time", "last_ingested").dropDuplicates(["source_path"])
+    """The manifest after ingesting docs: every seen path is renewed, others stay.
+
+    Of rows that share a path the one ingested last wins, then the one modified last, then by hash.
+    """
+    newest = F.max(F.struct("last_ingested", "modified_time", "content_hash", "size_bytes")).alias("n")
+    names = ("content_hash", "size_bytes", "modified_time", "last_ingested")
+    fresh = docs.groupBy("source_path").agg(newest).select("source_path", *[F.col(f"n.{c}").alias(c) for c in names])
     return manifest.join(fresh.select("source_path"), "source_path", "left_anti").select(*fresh.columns).unionByName(fresh)
 
 
@@ -36,7 +41,7 @@ def summary(statuses: DataFrame) -> DataFrame:
 def to_json(manifest: DataFrame) -> str:
     """The manifest file's text; a manifest is collected because the file is one JSON object."""
     rows = [r.asDict() for r in manifest.orderBy("source_path").collect()]
-    return json.dumps({"version": "1.0", "entries": rows}, indent=2)
+    return json.dumps({"version": "1.0", "entries": rows}, indent=2, ensure_ascii=False)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

@@ -295,8 +295,9 @@ def test_write_notes_is_not_destructive(spark, tmp_path, sf_dir):
 
 
 def test_settings():
-    s = Settings.from_env(env={"PROOFMILL_TOP_K": "x", "PROOFMILL_ALPHA": "2", "PROOFMILL_MODEL_ENABLED": "yes"})
-    assert s.top_k == 5 and s.model_enabled and len(s.validate()) == 2
+    s = Settings.from_env(env={"PROOFMILL_TOP_K": "x", "PROOFMILL_HYBRID_ALPHA": "2", "PROOFMILL_MODEL_PROVIDER": "Ollama"})
+    assert s.top_k == 5 and s.model_provider == "ollama" and s.validate() == ["Invalid integer for PROOFMILL_TOP_K", "hybrid_alpha must be between 0 and 1: 2.0"]
+    assert (s.chunk_size, s.chunk_overlap) == (1000, 200) and Settings.from_env(env={}).validate() == []
 
 
 def test_http_model(spark):
@@ -330,3 +331,40 @@ def test_http_model(spark):
     assert not HttpModel(url, "m", probe_timeout=1).available()
     with pytest.raises(ModelUnavailable):
         list(HttpModel(url, "m")(iter(["x"])))
+
+
+def test_public_names_resolve():
+    import proofmill
+
+    assert all(getattr(proofmill, n) is not None for n in proofmill.__all__) and "retrieve" in proofmill.__all__
+    assert callable(proofmill.create_pipeline)
+
+
+def test_foreign_front_matter_is_read(spark):
+    from proofmill.operators import health
+
+    foreign = "---\nnote_id: n1\ntags: [a, b]\naliases:\n  - x\n  - y\nnested:\n  deep:\n    - 1\nsource_documents:\n- document_id: d1\n  source_path: p\nsummary: |\n  two\n  lines\n---\n# T\n"
+    files = spark.createDataFrame([("a.md", foreign), ("b.md", "---\nx: [broken\n---\n"), ("c.md", "---\nnote_id: \"c\"\n---\n")], "file_path string, content string")
+    got = {r["file_path"]: r for r in health.parse(files, yaml=True).collect()}
+    assert [got[k]["fm_state"] for k in ("a.md", "b.md", "c.md")] == ["ok", "bad", "ok"]
+    assert got["a.md"]["frontmatter"]["note_id"] == "n1" and got["a.md"]["frontmatter"]["summary"] == "two\nlines" and got["a.md"]["source_documents"][0]["document_id"] == "d1"
+    assert got["c.md"]["frontmatter"]["note_id"] == "c"
+
+
+def test_case_folds(spark):
+    from pyspark.sql import functions as F
+
+    from proofmill.functions import text
+
+    words = ["Straße", "STRASSE", "ΣΑΣ", "σας", "ı", "I", "i", "Ǆ", "ﬁ", "FI", "É", "é"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(text.fold(F.col("w"))).collect()]
+    assert all((got[a] == got[b]) == (words[a].casefold() == words[b].casefold()) for a in range(len(words)) for b in range(len(words)))
+
+
+def test_later_rows_of_a_path_win(spark):
+    from proofmill.sources import manifest
+
+    known = spark.createDataFrame([("p", "h0", 1, "m", "2024-01-01")], manifest.ENTRY)
+    runs = [("p", "h2", 2, "m", "2024-01-03"), ("p", "h1", 1, "m", "2024-01-02"), ("q", "h3", 3, "m", "2024-01-02")]
+    got = sorted(tuple(r) for r in manifest.upsert(known, spark.createDataFrame(runs, manifest.ENTRY).repartition(3)).collect())
+    assert got == [runs[0], runs[2]]
