@@ -2,23 +2,31 @@
 
 Texts are UTF-8 bytes; strings never cross texts, are judged on the input, and overlapping
 occurrences in one text count. Sorting every suffix of the corpus together would move each byte
-LENGTH times, so suffixes are first dealt out exactly:
+LENGTH times, so suffixes are first dealt out exactly, and equal pieces are collapsed:
 
-1. A window of LENGTH bytes is anchored at its smallest GRAM-byte hash, so equal windows have
+1. Byte-equal whole texts are one class with a count: every byte of such a text from LENGTH
+   bytes on goes, and one text stands for the class in what follows.
+2. A window of LENGTH bytes is anchored at its smallest GRAM-byte hash, so equal windows have
    equal anchors. Neighbouring window starts with one anchor form a run (about 1 row for 85
-   bytes). Runs whose anchor hash is nowhere else hold no repeat.
-2. Among the rest, runs with equal anchor and equal bytes are repeats of each other, whole.
-3. What is left is the suffixes of runs that share an anchor but differ. The suffixes of one
-   anchor meet in one task with their bytes and are put in order by deep-shallow sorting: a
-   multikey quicksort on 8-byte characters to SHALLOW bytes, then blind tries for the groups
-   with longer common prefixes. Suffixes that agree to LENGTH bytes are repeats.
-   An anchor with more than HOT differing runs is not gathered: its suffixes are counted by
-   128-bit hashes, pre-aggregated, and joined back.
+   bytes). Equal runs of a batch of texts are repeats: their spans come out at once and one of
+   them goes on, so neither a passage that very many texts share nor a text of one repeated
+   character makes many rows. Equal runs of different batches are collapsed with counts next.
+3. Runs whose anchor hash is nowhere else hold no repeat, and where an anchor has one kind of run
+   there is nothing to order. The suffixes of an anchor's differing runs meet in one task with
+   their bytes and are put in order by deep-shallow sorting: a multikey quicksort on 8-byte
+   characters to SHALLOW bytes, then blind tries, which order the groups with longer common
+   prefixes. Neighbours in that order that agree to LENGTH bytes are repeats.
+4. An anchor with more than HOT kinds of runs is not gathered: each of its runs is cut where the
+   distance to the anchor reaches a multiple of CUTS[0], and such a shorter run is dealt by the
+   bytes that all its windows share, which again keeps equal windows together. Steps 2 and 3 are
+   repeated on them, then with the next of CUTS. With cuts of one window a group holds equal
+   windows only, so this ends.
 
 Result of `repeated_spans`: byte spans to remove. `remove_repeats` applies them.
-Defined cases: null text is empty; texts under LENGTH bytes have no window; equal texts remove
-each other whole from LENGTH bytes on; rows that repeat a doc_id, and rows without one, are
-texts of their own; an empty table gives no rows; other columns are not read.
+Defined cases: null text is empty; texts under LENGTH bytes have no window; a very long text is
+read whole, in pieces that overlap; equal texts remove each other whole from LENGTH bytes on; rows
+that repeat a doc_id, and rows without one, are texts of their own; an empty table gives no rows;
+other columns are not read, whatever their names. doc_id holds integers; other values stop the job.
 """
 
 from __future__ import annotations
@@ -32,7 +40,10 @@ from proofmill.llm.common import Workspace, release
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
-SHALLOW, HOT = 16, 20_000
+SHALLOW, HOT, CUTS = 16, 20_000, (24, 4, 1)
+#: Copies of whole texts whose keys are broadcast at most; beyond, a shuffled join.
+BROADCAST_IDS = 500_000
+RUN = "anchor long, content long, key long, start long, size int, lead int, weight int"
 #: Bytes hashed at once; a longer text is cut into pieces that overlap by LENGTH - 1.
 PIECE = 1 << 19
 PIECE_BITS = 22
@@ -107,7 +118,8 @@ def pieces(texts: list[bytes]):
 
 
 def text_runs(texts: list[bytes]):
-    """(text number, anchor hash, hash of the run's bytes, start, size) arrays for a list of texts."""
+    """(text number, anchor hash, hash of the run's bytes, start, size, distance from the start to
+    the anchor) arrays for a list of texts."""
     import numpy as np
     from xxhash import xxh3_64_intdigest
 
@@ -116,12 +128,33 @@ def text_runs(texts: list[bytes]):
         if len(joined) < LENGTH:
             continue
         ends = np.cumsum([len(p) for _, _, p in batch])
-        anchors, starts, sizes, _ = anchor_runs(np.frombuffer(joined, np.uint8), ends)
+        anchors, starts, sizes, at = anchor_runs(np.frombuffer(joined, np.uint8), ends)
         view = memoryview(joined)
         content = np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), (starts + sizes + LENGTH - 1).tolist(), strict=True)], dtype=np.uint64)
         piece = np.searchsorted(ends, starts, side="right")
         shift = np.array([at for _, at, _ in batch]) - (ends - np.array([len(p) for _, _, p in batch]))
-        yield np.array([k for k, _, _ in batch])[piece], anchors, content, starts + shift[piece], sizes
+        yield np.array([k for k, _, _ in batch])[piece], anchors, content, starts + shift[piece], sizes, at - starts
+
+
+def collapsed(owner, anchors, content, starts, sizes):
+    """(runs to keep, their weights, spans of the equal ones as (owner, start, end) arrays).
+
+    Of equal runs the first is kept, with weight 2: it is a repeat and needs no span any more.
+    """
+    import numpy as np
+
+    order = np.lexsort((content, anchors))
+    differ = (anchors[order][1:] != anchors[order][:-1]) | (content[order][1:] != content[order][:-1])
+    kind = np.cumsum(np.concatenate([[False], differ]))
+    many = np.bincount(kind)[kind] > 1
+    equal = np.sort(order[many])
+    equal = equal[np.lexsort((starts[equal], owner[equal]))]
+    lows, highs, own = starts[equal], starts[equal] + sizes[equal] + LENGTH - 1, owner[equal]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (lows[1:] > highs[:-1])]) if len(equal) else np.zeros(0, bool)
+    last = np.concatenate([new[1:], [True]]) if len(equal) else new
+    first = order[np.concatenate([[True], differ])]
+    weights = np.where(many[np.concatenate([[True], differ])], 2, 1)
+    return first, weights, (own[new], lows[new], highs[last])
 
 
 def multikey(data, starts, groups):
@@ -148,45 +181,43 @@ def multikey(data, starts, groups):
     return order, ties
 
 
-def blind_trie(data, starts, ties):
-    """Class of each suffix: equal for suffixes of one tie that agree to LENGTH bytes.
+def blind_tries(data, starts, order, ties):
+    """Order the suffixes of each tie on to LENGTH bytes; returns (order, ties) as multikey does.
 
-    A round is one level of all the groups' tries: a group's first suffix is its leader, and a
-    node keeps only where the others leave it (length, byte). Those that leave at the same node
-    go on as a group of their own, from that depth.
+    A round is one level of all ties' tries. A tie's first suffix is its leader, and of a node
+    only the place where the others leave it (depth, byte) is kept: those below the leader come
+    in order of depth, those above it in the reverse, equal ones beside it. What leaves at the
+    same node goes on as a tie of its own.
     """
     import numpy as np
 
     size = LENGTH - SHALLOW
     rows = np.lib.stride_tricks.as_strided(data[SHALLOW:], (max(0, len(data) - LENGTH + 1), size), (1, 1))
-    group = ties.astype(np.int64).copy()
-    final = np.full(len(starts), -1, np.int64)
-    todo, named = np.arange(len(starts)), 0
-    while len(todo):
-        todo = todo[np.argsort(group[todo], kind="stable")]
-        g = group[todo]
-        head = np.concatenate([[True], g[1:] != g[:-1]])
-        leader = np.flatnonzero(head)[np.cumsum(head) - 1]
-        final[todo[head]] = named + np.arange(head.sum())
-        rest = np.flatnonzero(~head)
-        left, nodes = [], []
-        for k in range(0, len(rest), 1 << 15):
-            r = rest[k : k + (1 << 15)]
-            own, lead = rows[starts[todo[r]]], rows[starts[todo[leader[r]]]]
-            differ = own != lead
+    settled, middle = np.zeros(len(order), bool), size * 256
+    while True:
+        spots = np.flatnonzero((np.bincount(ties, minlength=1)[ties] > 1) & ~settled)
+        if not len(spots):
+            return order, ties
+        group = ties[spots]
+        leader = spots[np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))]
+        lead = leader[np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))]
+        key = np.empty(len(spots), np.int64)
+        for k in range(0, len(spots), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            own, first = rows[starts[order[spots[part]]]], rows[starts[order[lead[part]]]]
+            differ = own != first
             at = differ.argmax(axis=1)
-            same = ~differ[np.arange(len(r)), at]
-            final[todo[r[same]]] = final[todo[leader[r[same]]]]
-            r2 = r[~same]
-            left.append(r2)
-            nodes.append(leader[r2] * (size * 256) + at[~same] * 256 + own[~same, at[~same]])
-        named += int(head.sum())
-        if not left:
-            break
-        kept, node = np.concatenate(left), np.concatenate(nodes)
-        todo = todo[kept]
-        group[todo] = node
-    return final
+            n = np.arange(len(at))
+            mine, its = own[n, at].astype(np.int64), first[n, at].astype(np.int64)
+            key[part] = np.where(mine < its, at * 256 + mine, np.where(mine > its, middle + 1 + (size - 1 - at) * 256 + mine, middle))
+        inner = np.lexsort((key, group))
+        order[spots] = order[spots][inner]
+        key = key[inner]
+        settled[spots] = key == middle
+        full = np.zeros(len(order), np.int64)
+        full[spots] = key
+        parted = np.concatenate([[False], (ties[1:] != ties[:-1]) | (full[1:] != full[:-1])])
+        ties = np.cumsum(parted)
 
 
 def repeats_in(contexts: list[bytes], groups):
@@ -199,13 +230,10 @@ def repeats_in(contexts: list[bytes], groups):
     begins = np.cumsum([0, *map(len, contexts[:-1])])
     firsts = np.cumsum(sizes) - sizes
     starts = np.repeat(begins - firsts, sizes) + np.arange(sizes.sum())
-    order, ties = multikey(data, starts, np.repeat(np.asarray(groups), sizes))
-    counts = np.bincount(ties)
-    many = np.flatnonzero(counts[ties] > 1)
-    classes = blind_trie(data, starts[order[many]], ties[many])
+    order, ties = blind_tries(data, starts, *multikey(data, starts, np.repeat(np.asarray(groups), sizes)))
+    agree = ties[1:] == ties[:-1]  # neighbours with a common prefix of LENGTH bytes
     flags = np.zeros(len(starts), bool)
-    if len(classes):
-        flags[order[many]] = np.bincount(classes)[classes] > 1
+    flags[order] = np.concatenate([[False], agree]) | np.concatenate([agree, [False]])
     return [flags[f : f + n] for f, n in zip(firsts.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -226,44 +254,100 @@ def keyed(space: Workspace, docs: DataFrame, doc_id: str = "doc_id") -> DataFram
     return space.save(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "keyed")
 
 
+def _batch(keys, found, weight=None):
+    """RUN rows of a batch, and its spans as rows without an anchor (start, and the end as content)."""
+    import numpy as np
+    import pyarrow as pa
+
+    owner, anchors, content, starts, sizes, leads = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep, weights, (own, lows, highs) = collapsed(owner, anchors, content, starts, sizes)
+    if weight is not None:
+        weights = np.maximum(weights, weight[owner[keep]])
+    none = np.zeros(len(own), np.int64)
+    join = lambda a, b, kind: pa.array(np.concatenate([a, b]), kind)
+    arrays = [
+        pa.array(np.concatenate([anchors[keep].view(np.int64), none]), pa.int64(), mask=np.arange(len(keep) + len(own)) >= len(keep)),
+        join(content[keep].view(np.int64), highs, pa.int64()), join(keys[owner[keep]], keys[own], pa.int64()), join(starts[keep], lows, pa.int64()),
+        join(sizes[keep], none, pa.int32()), join(leads[keep], none, pa.int32()), join(weights, none, pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in RUN.split(", ")])
+
+
 def _runs(rows: DataFrame) -> DataFrame:
+    """rows: key, text, weight (2 for a text that stands for several)."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).cast(pa.binary())
-            for k in range(0, len(keys), 512):
-                for own, anchors, content, starts, sizes in text_runs(texts.slice(k, 512).to_pylist()):
-                    arrays = [anchors.view(np.int64), content.view(np.int64), keys[k : k + 512][own], starts, sizes.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["anchor", "content", "key", "start", "size"])
+            keys, weight = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            found = list(text_runs(batch.column(1).cast(pa.binary()).to_pylist()))
+            if found:
+                yield _batch(keys, found, np.asarray(weight))
         release()
 
-    return rows.select("key", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(run, "anchor long, content long, key long, start long, size int")
+    return rows.select("key", "text", "weight").where(F.octet_length("text") >= LENGTH).mapInArrow(run, RUN)
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted runs: anchor, key, start, own, bytes. One join on the text's key."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "size", "own")).alias("runs"))
+    """The bytes of the wanted runs: anchor, key, start, lead, own, bytes. One join on the text's key."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "size", "lead", "own")).alias("runs"))
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["anchor", "key", "start", "own", "bytes"]
+        names, kinds = ["anchor", "key", "start", "lead", "own", "bytes"], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = [[], [], [], [], []]
+                out = [[] for _ in names]
                 for key, text, runs in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
                     for r in runs:
-                        row = (r["anchor"], key, r["start"], r["own"], text[r["start"] : r["start"] + r["size"] + LENGTH - 1])
+                        row = (r["anchor"], key, r["start"], r["lead"], r["own"], text[r["start"] : r["start"] + r["size"] + LENGTH - 1])
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     joined = rows.select("key", "text").join(lists, "key").select("key", "text", "runs")
-    return joined.mapInArrow(run, "anchor long, key long, start long, own boolean, bytes binary")
+    return joined.mapInArrow(run, "anchor long, key long, start long, lead int, own boolean, bytes binary")
+
+
+def shorter_runs(anchor: int, context: bytes, lead: int, cut: int):
+    """(group, hash of the bytes, first window, windows, lead) of a run's parts: the windows whose
+    distances to the anchor lie between the same multiples of `cut`, dealt by the bytes that all
+    windows at such distances share."""
+    from xxhash import xxh3_64_intdigest
+
+    size = len(context) - LENGTH + 1
+    at = 0
+    while at < size:
+        block = (lead - at) // cut  # distances block * cut to block * cut + cut - 1
+        last = min(size - 1, lead - block * cut)
+        low, high = lead - block * cut, lead - (block * cut + cut - 1) + LENGTH  # from the latest start to the earliest end
+        group = xxh3_64_intdigest(context[low:high], seed=(anchor * 31 + block) & 0xFFFFFFFFFFFFFFFF)
+        yield group, xxh3_64_intdigest(context[at : last + LENGTH]), at, last - at + 1, lead - at
+        at = last + 1
+
+
+def _shorter(contexts: DataFrame, cut: int) -> DataFrame:
+    """RUN rows of the parts of hot anchors' runs."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                anchor, key, start, lead, own, data = (part.column(c).to_pylist() for c in range(6))
+                rows = [(n, *r) for n in range(part.num_rows) for r in shorter_runs(anchor[n], data[n], lead[n], cut)]
+                owner, groups, content, at, sizes, leads = (np.array(x) for x in zip(*rows, strict=True))
+                starts, weight = np.array(start)[owner] + at, np.where(own, 1, 2)
+                # equal parts of one text differ in their start only, so a row is a text of its own here
+                yield _batch(np.array(key), [(owner, groups.astype(np.uint64), content.astype(np.uint64), starts, sizes, leads)], weight)
+        release()
+
+    return contexts.mapInArrow(run, RUN)
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
@@ -298,43 +382,50 @@ def _sorted_spans(contexts: DataFrame) -> DataFrame:
     return dealt.select("anchor", "key", "start", "own", "bytes").mapInArrow(run, "key long, start long, end long")
 
 
-def _counted_spans(space: Workspace, contexts: DataFrame) -> DataFrame:
-    """The same for anchors that too many differing runs share: a row for each suffix, by hash."""
+def _level(space: Workspace, rows: DataFrame, runs: DataFrame, hot: int, name: str):
+    """(spans of one level as written tables, the contexts of its hot anchors or None)."""
+    keep = lambda df, what: space.save(df, f"{name}-{what}")
+    spans = [runs.where("anchor is null").select("key", "start", F.col("content").alias("end"))]
+    runs = runs.where("anchor is not null")
+    # written, so that the joins have an exchange on both sides and a hot anchor can be split
+    shared = keep(runs.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor"), "shared")
+    met = keep(runs.join(shared, "anchor"), "met")
+    kinds = met.groupBy("anchor", "content").agg(F.sum("weight").alias("n"), F.min(F.struct("key", "start", "size", "lead")).alias("one"))
+    kinds = keep(kinds.select("anchor", "content", "n", "one.*"), "kinds")
+    whole = met.where("weight = 1").join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"])
+    spans.append(keep(whole.select("key", "start", (F.col("start") + F.col("size") + LENGTH - 1).alias("end")), "whole"))
+    mixed = keep(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "mixed")
+    space.drop(f"{name}-shared")
+    space.drop(f"{name}-met")
+    wanted = kinds.join(mixed.select("anchor", "kinds"), "anchor").select("anchor", "key", "start", "size", "lead", (F.col("n") == 1).alias("own"), (F.col("kinds") > hot).alias("hot"))
+    wanted = keep(wanted, "wanted")
+    space.drop(f"{name}-kinds")
+    contexts = keep(_contexts(rows, wanted.where("not hot")), "contexts")
+    spans.append(keep(_sorted_spans(contexts), "sorted"))
+    space.drop(f"{name}-contexts")
+    if not mixed.where(F.col("kinds") > hot).limit(1).count():
+        return spans, None
+    return spans, keep(_contexts(rows, wanted.where("hot")), "hot")
 
-    def run(batches):
-        import pyarrow as pa
-        from xxhash import xxh3_128_digest
 
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [(xxh3_128_digest(c[i : i + LENGTH]), key, start + i, own) for key, start, own, c in zip(*(part.column(n).to_pylist() for n in ("key", "start", "own", "bytes")), strict=True) for i in range(len(c) - LENGTH + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["suffix", "key", "start", "own"])
-
-    suffixes = space.save(contexts.mapInArrow(run, "suffix binary, key long, start long, own boolean"), "hot-suffixes")
-    twice = space.save(suffixes.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("suffix"), "hot-twice")
-    return suffixes.where("own").join(twice, "suffix").select("key", "start", (F.col("start") + LENGTH).alias("end"))
+def repeated_spans(space: Workspace, rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """key, start, end: the bytes to remove, overlapping spans not yet merged. rows: key, text, weight."""
+    runs, out = space.save(_runs(rows), "runs"), None
+    for n, cut in enumerate((*CUTS, 0)):
+        spans, left = _level(space, rows, runs, hot, f"level-{n}")
+        for s in spans:
+            out = s if out is None else out.unionByName(s)
+        if left is None:
+            return out
+        runs = space.save(_shorter(left, cut), f"runs-{n + 1}")
+    raise RuntimeError("groups of equal windows did not settle")
 
 
-def repeated_spans(space: Workspace, rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """key, start, end: the bytes to remove, overlapping spans not yet merged. rows: key, text."""
-    runs = space.save(_runs(rows), "runs")
-    # written, so that the join has an exchange on both sides and a hot anchor can be split
-    shared = space.save(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared")
-    met = space.save(runs.join(shared, "anchor"), "met")
-    space.drop("runs")
-    kinds = met.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one"))
-    kinds = space.save(kinds.select("anchor", "content", "n", "one.*"), "kinds")
-    whole = met.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"])
-    whole = whole.select("key", "start", (F.col("start") + F.col("size") + LENGTH - 1).alias("end"))
-    mixed = space.save(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1"), "mixed")
-    wanted = kinds.join(mixed.select("anchor", "kinds"), "anchor").select("anchor", "key", "start", "size", (F.col("n") == 1).alias("own"), (F.col("kinds") > hot).alias("hot"))
-    wanted = space.save(wanted, "wanted")
-    contexts = space.save(_contexts(rows, wanted.where("not hot")), "contexts")
-    spans = whole.unionByName(_sorted_spans(contexts))
-    if wanted.where("hot").limit(1).count():
-        spans = spans.unionByName(_counted_spans(space, space.save(_contexts(rows, wanted.where("hot")), "hot-contexts")))
-    return spans
+def whole_copies(space: Workspace, rows: DataFrame) -> DataFrame:
+    """key, first, n_bytes of every text that is byte-equal to another; `first` stands for its class."""
+    marked = space.save(rows.where(F.octet_length("text") >= LENGTH).select("key", F.md5("text").alias("mark"), F.octet_length("text").alias("n_bytes")), "marks")
+    classes = space.save(marked.groupBy("mark").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "least"), "classes")
+    return space.save(marked.join(classes, "mark").select("key", (F.col("key") == F.col("least")).alias("first"), "n_bytes"), "copies")
 
 
 def cut(text: bytes, starts, ends) -> tuple[bytes, int, int]:
@@ -355,7 +446,12 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, digest: bool = False) -> Dat
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes), or with `digest` kept_sha256."""
     space = Workspace(docs.sparkSession, "suffix")
     rows = keyed(space, docs)
-    spans = space.save(repeated_spans(space, rows, hot), "spans")
+    copies = whole_copies(space, rows)
+    few = copies.count() <= BROADCAST_IDS
+    marked = rows.join(F.broadcast(copies.select("key", "first")) if few else copies.select("key", "first"), "key", "left")
+    classes = marked.where("first is null or first").select("key", "text", F.when(F.col("first"), F.lit(2)).otherwise(F.lit(1)).alias("weight"))
+    gone = copies.select("key", F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end"))
+    spans = space.save(repeated_spans(space, classes, hot).unionByName(gone), "spans")
     lists = spans.groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     last = ("kept_sha256", "string") if digest else ("kept", "binary")
 

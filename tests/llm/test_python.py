@@ -110,7 +110,7 @@ def test_suffix_of_repeated_and_missing_ids(spark):
 
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     text = np.random.default_rng(1).integers(97, 123, 5000).astype(np.uint8).tobytes()
-    starts = lambda: sorted({(s + k, int(a)) for _, anchors, _, ss, zs in suffix.text_runs([text]) for a, s, z in zip(anchors.tolist(), ss.tolist(), zs.tolist(), strict=True) for k in range(z)})
+    starts = lambda: sorted({(s + k, int(a)) for _, anchors, _, ss, zs, _ in suffix.text_runs([text]) for a, s, z in zip(anchors.tolist(), ss.tolist(), zs.tolist(), strict=True) for k in range(z)})
     whole = starts()
     monkeypatch.setattr(suffix, "PIECE", 700)
     assert starts() == whole and len(whole) == len(text) - 199
@@ -124,11 +124,29 @@ def test_deep_shallow_orders_suffixes():
     order, ties = suffix.multikey(text, starts, np.zeros(len(starts), np.int64))
     heads = [text[s : s + suffix.SHALLOW].tobytes() for s in starts[order]]
     assert heads == sorted(heads) and all((heads[k] == heads[k - 1]) == (ties[k] == ties[k - 1]) for k in range(1, len(heads)))
-    classes = suffix.blind_trie(text, starts[order], ties)
-    names = {}
-    for c, s in zip(classes.tolist(), starts[order].tolist(), strict=True):
-        names.setdefault(text[s : s + suffix.LENGTH].tobytes(), set()).add(c)
-    assert all(len(v) == 1 for v in names.values()) and len({min(v) for v in names.values()}) == len(names)
+    order, ties = suffix.blind_tries(text, starts, order, ties)
+    whole = [text[s : s + suffix.LENGTH].tobytes() for s in starts[order]]
+    assert whole == sorted(whole) and all((whole[k] == whole[k - 1]) == (ties[k] == ties[k - 1]) for k in range(1, len(whole)))
+
+
+def test_hot_anchors_are_cut_until_they_fit(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6))
+    core, rows = " ".join(word() for _ in range(60)), []
+    for k in range(60):  # one passage between ever other words, cut at both ends
+        a, b = int(rng.integers(0, 130)), int(rng.integers(0, 130))
+        rows.append((k, " ".join([word() for _ in range(30)]) + core[a : len(core) - b] + " ".join([word() for _ in range(30)])))
+    rows += [(100, "a" * 5000), (101, "ab" * 700), (102, core), (103, core)]
+    want = brute.repeats(rows)
+    for hot in (20_000, 3):
+        done = suffix.remove_repeats(spark.createDataFrame(rows, DOCS), hot, digest=True)
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in done.collect()} == want
+
+
+def test_repeated_characters_make_few_runs():
+    found = [np.concatenate(x) for x in zip(*suffix.text_runs([b"x" * 50_000, b"xy" * 20_000]), strict=True)]
+    keep, weights, (own, lows, highs) = suffix.collapsed(*found[:5])
+    assert len(keep) < 10 and own.tolist() == [0, 1] and max(lows) <= 2 and min(highs - [50_000, 40_000]) >= -2 and 2 in weights
 
 
 def test_language_held_out(spark):
