@@ -17,10 +17,12 @@ text finds the texts and paragraphs to score, and loses none.
 
 Result for each row: license (the family of the confirmed paragraph with the highest overlap,
 then score: a line of a wrapped notice can confirm a sibling family, its window does so better;
+a template of at most SHORT pairs, as that of an SPDX line is, must be there whole;
 `unknown` if a paragraph names a licence and none is confirmed; else `none`),
 template, score, overlap, n_paragraphs (lines that hold a gate word). Defined cases: null or
-empty text is `none`; ties go to the family first by name; repeated rows stay; an empty table
-gives no rows and trains on the look-alikes alone.
+empty text is `none`; a very long text is scanned whole; ties go to the greater overlap, score and
+then template text; repeated rows stay; extra columns are kept, those named like a result column are
+replaced; an empty table gives no rows and trains on the look-alikes alone.
 """
 
 from __future__ import annotations
@@ -59,11 +61,24 @@ TEMPLATES = [
     ("lgpl", "Licensed under the GNU Lesser General Public License, version 2.1"),
     ("mit", "Released under the MIT License"),
     ("mit", "Licensed under the MIT License"),
+    ("mit", "under the terms of the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("mpl-2.0", "Licensed under the Mozilla Public License, version 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("epl-2.0", "Licensed under the Eclipse Public License, version 2.0"),
 ]
+#: SPDX identifiers, by family; a line that names one is a notice of its own.
+SPDX = [
+    ("agpl-3.0", "AGPL-3.0-only"), ("agpl-3.0", "AGPL-3.0-or-later"), ("apache-2.0", "Apache-2.0"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"),
+    ("cc-by", "CC-BY-4.0"), ("cc-by-nc", "CC-BY-NC-4.0"), ("cc-by-sa", "CC-BY-SA-4.0"), ("cc0", "CC0-1.0"), ("epl-2.0", "EPL-2.0"),
+    ("gpl-2.0", "GPL-2.0-only"), ("gpl-2.0", "GPL-2.0-or-later"), ("gpl-3.0", "GPL-3.0-only"), ("gpl-3.0", "GPL-3.0-or-later"), ("isc", "ISC"),
+    ("lgpl", "LGPL-2.1-only"), ("lgpl", "LGPL-2.1-or-later"), ("lgpl", "LGPL-3.0-or-later"), ("mit", "MIT"), ("mpl-2.0", "MPL-2.0"), ("unlicense", "Unlicense"),
+]
+TEMPLATES += [(family, f"SPDX-License-Identifier: {name}") for family, name in SPDX]
+#: Templates of up to SHORT word pairs are confirmed by all of them only.
+SHORT = 3
 #: Sentences that name licence words and grant nothing known.
 LOOK_ALIKES = [
     "He renewed his driving license last week", "The license plate was stolen", "All rights reserved", "Copyright 2020 by the authors",
@@ -248,10 +263,13 @@ def _known_score(docs: DataFrame, model: dict) -> DataFrame:
 def _confirm(words: Column, family: Column) -> Column:
     """struct(overlap, template): the family's template with the largest share of its pairs in the paragraph."""
     rows = [{"family": f, "template": t, "pairs": sorted(g for g in grams(words_of(t), 2) if " " in g)} for f, t in TEMPLATES]
-    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,template:string,pairs:array<string>>>")
+    rows = [r | {"least": 1.0 if len(r["pairs"]) <= SHORT else CONFIRM} for r in rows]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,template:string,least:double,pairs:array<string>>>")
     own = _grams(words, 2)
     mine = F.filter(table, lambda r: r["family"] == family)
-    return F.array_max(F.transform(mine, lambda r: F.struct((F.size(F.array_intersect(r["pairs"], own)) / F.size(r["pairs"])).alias("overlap"), r["template"].alias("template"))))
+    share = lambda r: F.size(F.array_intersect(r["pairs"], own)) / F.size(r["pairs"])
+    found = F.transform(mine, lambda r: F.struct(share(r).alias("overlap"), r["template"].alias("template"), r["least"].alias("least")))
+    return F.array_max(F.filter(found, lambda c: c["overlap"] >= c["least"]))
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
@@ -271,7 +289,7 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     sure = F.filter(F.arrays_zip("_words", "_scored"), lambda p: p["_scored"]["score"] >= model["reject"])
     compared = F.transform("_sure", lambda p: F.struct(_confirm(p["_words"], p["_scored"]["family"]).alias("c"), p["_scored"]["score"].alias("score"), p["_scored"]["family"].alias("family")))
     ranked = F.transform("_confirmed", lambda p: F.struct(p["c"]["overlap"].alias("overlap"), p["score"].alias("score"), p["c"].alias("c"), p["family"].alias("family")))
-    best = F.array_max(F.filter(ranked, lambda p: p["overlap"] >= CONFIRM))
+    best = F.array_max(F.filter(ranked, lambda p: p["overlap"].isNotNull()))
     staged = staged.withColumn("_sure", sure).withColumn("_confirmed", compared).withColumn("_best", best)
     names_one = F.exists("_words", lambda w: F.arrays_overlap(w, F.array(*[F.lit(x) for x in NAMES])))
     return staged.withColumns(
