@@ -20,7 +20,10 @@ a word the sum of its features', a text the mean; workers cache words within a b
 
 Defined cases: null text or text without a letter: `und`, score 0, rejected. Null doc_id or
 null lang never trains; null doc_id is not held out. Without any labelled row all is `und`.
-Ties go to the language first by code point. Repeated rows stay; extra columns are kept out.
+Ties go to the language first by code point. A very long text is read whole (it is not in the
+fitting sample, which is bounded). Repeated rows stay, rows that repeat a doc_id are each
+predicted; an empty table gives no rows; extra columns, also of the result's names, are not read
+by identify and kept by keep_identified.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Neighbours in doc_id order come from one range partitioning: a task streams its
 and keeps the row before; the rows at range ends are paired afterwards from a written table.
 
 Defined cases: null text is empty; null doc_id sorts first; rows that repeat a doc_id go by
-text (null first); a lone document is its own next; an empty table gives no rows.
+text (null first); a lone document is its own next; a very long text is voted on whole, in
+chunks of terms; a bit whose votes tie is 0; an empty table gives no rows; other columns are not
+read, whatever their names. doc_id holds integers; other values stop the job.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ pre-tokenizer and normalizer never look across it. Words that hold `<|` are not
 first, as special tokens are matched by case before the normalizer.
 
 Defined cases: null or empty text has only the end id; null doc_id sorts first; rows that
-repeat a doc_id stay and are ordered by text (null first); an empty table gives no rows.
+repeat a doc_id stay and are ordered by text (null first); a very long text is encoded whole and
+lies in as many blocks as it takes; an empty table gives no rows; other columns are not read,
+whatever their names. doc_id holds integers; other values stop the job. A tokenizer whose words
+cannot be encoded one by one is refused.
 """
 
 from __future__ import annotations
@@ -49,6 +52,10 @@ def default_tokenizer() -> str:
 MARKS = r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-/:-@\[-`{-~]+(?:[ \n]|$))"
 
 
+#: Texts that a tokenizer must encode as it encodes their words.
+PROBES = ("the quick  brown\tfox, isn't it?", "a\n\nb 12 3.5 (x) É ß", " lead and trail ")
+
+
 class WordEncoder:
     """bytes of a text -> little-endian u32 ids.
 
@@ -62,6 +69,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
+        for text in PROBES:
+            parts = [i for w in text.split() for i in self._ids(w)]
+            if parts != self._ids(text):
+                raise ValueError("the tokenizer looks across white space, so words cannot be encoded one by one")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True

@@ -9,7 +9,9 @@ url fetch candidate rules; only those run their regular expression; the longest
 
 Defined cases: null url or no `://`: empty host and path, which no rule with a host fits.
 Null rules are ignored; of rules repeated with other verdicts `block` < `allow` by text
-order loses. Empty tables give empty results. Rules without a token run on every url.
+order loses. Empty tables give empty results. Rules without a token run on every url. A very
+long url is read whole; repeated page rows stay, each judged; extra columns are kept, those named
+like a result column are replaced.
 """
 
 from __future__ import annotations

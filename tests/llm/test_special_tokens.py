@@ -16,3 +16,12 @@ def test_ids_equal_whole_texts(rows):
         encoder = tokenbin.WordEncoder(f.read())
     ids, at = encoder.batch(pa.array(rows, pa.string()))
     assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+
+def test_a_tokenizer_across_white_space_is_refused():
+    from tokenizers import models
+
+
+    whole = Tokenizer(models.BPE(vocab={c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz ")}, merges=[]))
+    with pytest.raises(ValueError, match="white space"):
+        tokenbin.WordEncoder(whole.to_str())
