@@ -17,8 +17,6 @@ QUERY, OTHER = "the heat of ention, and the 2 eses", "leur dans le monde entier
 BUDGET = EvidenceBudget(max_items=9, max_raw_chars=6000, max_cleaned_chars=5600, max_context_chars=9000)
 S = SparkSession
 QUERIES: dict = {}
-#: Whole-table runs of queries whose twins hold a subset of the rows; they have no twin.
-WHOLE: dict = {}
 
 
 def query(f):
@@ -26,11 +24,6 @@ def query(f):
     return f
 
 
-def whole(f):
-    WHOLE[f.__name__] = f
-    return f
-
-
 def _corpus(spark: S, sf_dir: str) -> DataFrame:
     return corpus(table_documents(spark, sf_dir))
 
@@ -64,8 +57,11 @@ def ingest_summary(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def manifest_upsert(spark: S, sf_dir: str) -> DataFrame:
-    now = table_documents(spark, sf_dir).where("source_type = 'md'").withColumns({"modified_time": F.lit("now"), "last_ingested": F.lit("now")})
-    return manifest.upsert(fixtures.previous_manifest(spark, sf_dir), now).select("source_path", "content_hash", "size_bytes", "last_ingested")
+    """Every document ingested again, beside entries of files that are no longer there."""
+    known = fixtures.previous_manifest(spark, sf_dir)
+    known = known.unionByName(known.withColumn("source_path", F.concat(F.lit("removed/"), "source_path")))
+    now = table_documents(spark, sf_dir).withColumns({"modified_time": F.lit("now"), "last_ingested": F.lit("now")})
+    return manifest.upsert(known, now).select("source_path", "content_hash", "size_bytes", "last_ingested")
 
 
 @query
@@ -126,56 +122,23 @@ def _altered(spark: S, sf_dir: str) -> DataFrame:
     return fixtures.raw_documents(spark, sf_dir).select("doc_id", body.alias("raw"), fixtures.altered(body, F.col("doc_id")).alias("cleaned"))
 
 
-def _altered_ascii(spark: S, sf_dir: str) -> DataFrame:
-    """Documents of ASCII text only, for the twins: DuckDB's \\b is ASCII. The rest run in the queries named _all."""
-    rows = fixtures.raw_documents(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
-    return rows.select("doc_id", F.col("text").alias("raw"), fixtures.altered(F.col("text"), F.col("doc_id")).alias("cleaned"))
-
-
-def _safeguard(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("f", refine.check_facts(F.col("raw"), F.col("cleaned")))
-    return rows.select("doc_id", F.array_join("f.added_words", ",").alias("added_words"), F.array_join("f.added_numbers", ",").alias("added_numbers"), F.round("f.length_expansion", 6).alias("length_expansion"), "f.empty_cleaned", "f.excessive_changes")
-
-
-def _guardrail_results(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("g", refine.guardrails(F.col("raw"), F.col("cleaned")))
-    kinds = F.transform("g.violations", lambda v: F.regexp_extract(v, "^([a-z_]+)", 1))
-    return rows.select("doc_id", "g.passed", F.array_join(kinds, ",").alias("violations"))
-
-
-def _critical_tokens(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("t", F.array_sort(text.critical_set(F.col("raw"))))
-    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
-
-
 @query
 def safeguard(spark: S, sf_dir: str) -> DataFrame:
-    return _safeguard(_altered_ascii(spark, sf_dir))
+    rows = _altered(spark, sf_dir).withColumn("f", refine.check_facts(F.col("raw"), F.col("cleaned")))
+    return rows.select("doc_id", F.array_join("f.added_words", ",").alias("added_words"), F.array_join("f.added_numbers", ",").alias("added_numbers"), F.round("f.length_expansion", 6).alias("length_expansion"), "f.empty_cleaned", "f.excessive_changes")
 
 
 @query
 def guardrail_results(spark: S, sf_dir: str) -> DataFrame:
-    return _guardrail_results(_altered_ascii(spark, sf_dir))
+    rows = _altered(spark, sf_dir).withColumn("g", refine.guardrails(F.col("raw"), F.col("cleaned")))
+    kinds = F.transform("g.violations", lambda v: F.regexp_extract(v, "^([a-z_]+)", 1))
+    return rows.select("doc_id", "g.passed", F.array_join(kinds, ",").alias("violations"))
 
 
 @query
 def critical_tokens(spark: S, sf_dir: str) -> DataFrame:
-    return _critical_tokens(_altered_ascii(spark, sf_dir))
-
-
-@whole
-def safeguard_all(spark: S, sf_dir: str) -> DataFrame:
-    return _safeguard(_altered(spark, sf_dir))
-
-
-@whole
-def guardrail_results_all(spark: S, sf_dir: str) -> DataFrame:
-    return _guardrail_results(_altered(spark, sf_dir))
-
-
-@whole
-def critical_tokens_all(spark: S, sf_dir: str) -> DataFrame:
-    return _critical_tokens(_altered(spark, sf_dir))
+    rows = _altered(spark, sf_dir).withColumn("t", F.array_sort(text.critical_set(F.col("raw"))))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @query

@@ -161,21 +161,38 @@ def packed(name: str, source: str, budget: EvidenceBudget | None, raw: bool, cle
 
 PACK_COLUMNS = "pack_id, sha256(context) AS context_hash, length(context)::INT AS context_chars, total_input_results, total_selected_items, total_excluded_items"
 
-ALTERED = """altered AS (
-  SELECT doc_id, text AS raw, CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN text || ' zzunheard newword' WHEN 2 THEN text || ' 987654321'
-    WHEN 3 THEN regexp_replace(text, '[0-9]', '', 'g') WHEN 4 THEN substr(text, 1, (length(text) // 2)::INT) ELSE '' END AS cleaned
-  FROM documents WHERE octet_length(encode(text)) = length(text)
+TEXT = "coalesce(text, '')"
+ALTERED = f"""altered AS (
+  SELECT doc_id, {TEXT} AS raw, CASE doc_id % 6 WHEN 0 THEN {TEXT} WHEN 1 THEN {TEXT} || ' zzunheard newword' WHEN 2 THEN {TEXT} || ' 987654321'
+    WHEN 3 THEN regexp_replace({TEXT}, '[0-9]', '', 'g') WHEN 4 THEN substr({TEXT}, 1, (length({TEXT}) // 2)::INT) ELSE '' END AS cleaned
+  FROM documents
 )"""
-WORDS = "list_distinct(regexp_extract_all(lower({c}), '\\b[a-zA-Z]+\\b'))"
-NUMBERS = "list_distinct(regexp_extract_all({c}, '\\b\\d+\\.?\\d*\\b'))"
+
+
+def bounded(c: str) -> str:
+    """c with every letter and mark beyond ASCII as `_`: DuckDB's `\\b` is ASCII, and no wanted match holds either."""
+    for kind in ("L", "M"):
+        c = f"regexp_replace({c}, '[^\\x00-\\x7F\\P{{{kind}}}]', '_', 'g')"
+    return c
+
+
+def words(c: str) -> str:
+    return f"list_distinct(regexp_extract_all({bounded(f'lower({c})')}, '\\b[a-zA-Z]+\\b'))"
+
+
+def numbers(c: str) -> str:
+    return f"list_distinct(regexp_extract_all({bounded(c)}, '\\b\\d+\\.?\\d*\\b'))"
+
+
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-CRITICAL = "list_distinct(" + " || ".join(
-    f"regexp_extract_all({{c}}, '{p}')"
-    for p in (
-        r"\b\d+\.?\d*\b", r"\b\d{{4}}-\d{{2}}-\d{{2}}\b", r"\b\d+\.\d+\.\d+\b", r"\b\d{{1,2}}:\d{{2}}(?::\d{{2}})?\b",
-        r"\b[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\b", r"\b[a-z]+-[a-z]+-\d+-[a-z]+\b",
-    )
-) + ")"
+CRITICAL = (
+    r"\b\d+\.?\d*\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d+\.\d+\.\d+\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b",
+    r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", r"\b[a-z]+-[a-z]+-\d+-[a-z]+\b",
+)
+
+
+def critical(c: str) -> str:
+    return "list_distinct(" + " || ".join(f"regexp_extract_all({bounded(c)}, '{p}')" for p in CRITICAL) + ")"
 
 
 def minus(a: str, b: str) -> str:
@@ -183,14 +200,14 @@ def minus(a: str, b: str) -> str:
 
 
 def added(least: int) -> str:
-    new = minus(minus(WORDS.format(c="cleaned"), WORDS.format(c="raw")), STOP)
+    new = minus(minus(words("cleaned"), words("raw")), STOP)
     return f"list_sort(list_filter({new}, lambda x: length(x) >= {least}))"
 
 
-NEW_NUMBERS = "list_sort(" + minus(NUMBERS.format(c="cleaned"), NUMBERS.format(c="raw")) + ")"
+NEW_NUMBERS = "list_sort(" + minus(numbers("cleaned"), numbers("raw")) + ")"
 GROWN = "(CASE WHEN length(raw) > 0 AND length(cleaned) > length(raw) THEN (length(cleaned) - length(raw))::DOUBLE / length(raw) * 100 ELSE 0 END)"
 SHRUNK = "(CASE WHEN length(raw) > 0 THEN (length(raw) - length(cleaned))::DOUBLE / length(raw) * 100 ELSE 0 END)"
-LOST = minus(CRITICAL.format(c="raw"), CRITICAL.format(c="cleaned"))
+LOST = minus(critical("raw"), critical("cleaned"))
 
 # --- notes: the same rows and faults, written out by hand ---
 HEADING = Branding().metadata_heading
@@ -242,7 +259,8 @@ SQL = {
     "document_ids": f"WITH {DOCS} SELECT document_id, source_path, source_type, content_hash, size_bytes FROM docs",
     "manifest_diff": f"WITH {DOCS} SELECT document_id, source_path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'changed' ELSE 'unchanged' END AS status FROM docs",
     "ingest_summary": "SELECT count(*) AS total_files, count(*) FILTER (WHERE doc_id % 10 = 0) AS new_files, count(*) FILTER (WHERE doc_id % 10 = 1) AS changed_files, count(*) FILTER (WHERE doc_id % 10 > 1) AS unchanged_files, 0::BIGINT AS skipped_files, 0::BIGINT AS error_files FROM documents",
-    "manifest_upsert": f"WITH {DOCS} SELECT source_path, CASE WHEN source_type = 'txt' AND doc_id % 10 = 1 THEN sha256(content_hash) ELSE content_hash END AS content_hash, size_bytes, CASE WHEN source_type = 'md' THEN 'now' ELSE '2024-01-01T00:00:00+00:00' END AS last_ingested FROM docs WHERE source_type = 'md' OR doc_id % 10 <> 0",
+    "manifest_upsert": f"""WITH {DOCS} SELECT source_path, content_hash, size_bytes, 'now' AS last_ingested FROM docs
+      UNION ALL SELECT 'removed/' || source_path, CASE WHEN doc_id % 10 = 1 THEN sha256(content_hash) ELSE content_hash END, size_bytes, '2024-01-01T00:00:00+00:00' FROM docs WHERE doc_id % 10 <> 0""",
     "content_duplicates": f"WITH {DOCS} SELECT document_id, content_hash AS raw_text_hash, row_number() OVER (PARTITION BY content_hash ORDER BY document_id) = 1 AS kept FROM docs",
     "chunks_default": f"WITH RECURSIVE {DOCS}, {chunks()} SELECT chunk_id, document_id, chunk_index, start_offset, end_offset, raw_text_hash FROM chunks",
     "chunks_overlap": f"WITH RECURSIVE {DOCS}, {chunks(size=400, overlap=60)} SELECT chunk_id, document_id, chunk_index, start_offset, end_offset, raw_text_hash FROM chunks",
@@ -256,7 +274,7 @@ SQL = {
       CASE WHEN raw <> '' AND len({NEW_NUMBERS}) > 0 THEN 'added_numbers' END, CASE WHEN raw <> '' AND len({added(4)}) > 0 THEN 'added_words' END, CASE WHEN len({LOST}) > 0 THEN 'critical_token_loss' END,
       CASE WHEN {GROWN} > 20 THEN 'excessive_expansion' END, CASE WHEN {GROWN} <= 20 AND {SHRUNK} > 30 THEN 'excessive_compression' END], lambda x: x IS NOT NULL) END AS found FROM altered)
       SELECT doc_id, len(found) = 0 AS passed, array_to_string(found, ',') AS violations FROM v""",
-    "critical_tokens": f"WITH {ALTERED}, t AS (SELECT doc_id, list_sort({CRITICAL.format(c='raw')}) AS t FROM altered) SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM t",
+    "critical_tokens": f"WITH {ALTERED}, t AS (SELECT doc_id, list_sort({critical('raw')}) AS t FROM altered) SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM t",
     "model_replies": "SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'Invalid JSON' WHEN 2 THEN 'Not a JSON object' WHEN 3 THEN 'Missing ''cleaned_text'' field' WHEN 4 THEN 'cleaned_text is not a string' END AS problem FROM conversations",
     "tokenize_stats": f"WITH {DOCS}, t AS (SELECT document_id, regexp_extract_all(lower(raw_text), {TOKENS}) AS t FROM docs) SELECT document_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, len(list_filter(t, lambda x: x = 'the'))::INT AS n_the FROM t",
     "term_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {TOKENS})) AS token FROM documents) GROUP BY token",
