@@ -161,13 +161,6 @@ def packed(name: str, source: str, budget: EvidenceBudget | None, raw: bool, cle
 
 PACK_COLUMNS = "pack_id, sha256(context) AS context_hash, length(context)::INT AS context_chars, total_input_results, total_selected_items, total_excluded_items"
 
-TEXT = "coalesce(text, '')"
-ALTERED = f"""altered AS (
-  SELECT doc_id, {TEXT} AS raw, CASE doc_id % 6 WHEN 0 THEN {TEXT} WHEN 1 THEN {TEXT} || ' zzunheard newword' WHEN 2 THEN {TEXT} || ' 987654321'
-    WHEN 3 THEN regexp_replace({TEXT}, '[0-9]', '', 'g') WHEN 4 THEN substr({TEXT}, 1, (length({TEXT}) // 2)::INT) ELSE '' END AS cleaned
-  FROM documents
-)"""
-
 
 def bounded(c: str) -> str:
     """c with every letter and mark beyond ASCII as `_`: DuckDB's `\\b` is ASCII, and no wanted match holds either."""
@@ -195,19 +188,30 @@ def critical(c: str) -> str:
     return "list_distinct(" + " || ".join(f"regexp_extract_all({bounded(c)}, '{p}')" for p in CRITICAL) + ")"
 
 
+TEXT = "coalesce(text, '')"
+ALTERED = f"""texts AS (
+  SELECT doc_id, {TEXT} AS raw, CASE doc_id % 6 WHEN 0 THEN {TEXT} WHEN 1 THEN {TEXT} || ' zzunheard newword' WHEN 2 THEN {TEXT} || ' 987654321'
+    WHEN 3 THEN regexp_replace({TEXT}, '[0-9]', '', 'g') WHEN 4 THEN substr({TEXT}, 1, (length({TEXT}) // 2)::INT) ELSE '' END AS cleaned
+  FROM documents
+), altered AS MATERIALIZED (
+  SELECT *, {words('raw')} AS words_raw, {words('cleaned')} AS words_cleaned, {numbers('raw')} AS numbers_raw, {numbers('cleaned')} AS numbers_cleaned,
+    {critical('raw')} AS critical_raw, {critical('cleaned')} AS critical_cleaned FROM texts
+)"""
+
+
 def minus(a: str, b: str) -> str:
     return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
 
 
 def added(least: int) -> str:
-    new = minus(minus(words("cleaned"), words("raw")), STOP)
+    new = minus(minus("words_cleaned", "words_raw"), STOP)
     return f"list_sort(list_filter({new}, lambda x: length(x) >= {least}))"
 
 
-NEW_NUMBERS = "list_sort(" + minus(numbers("cleaned"), numbers("raw")) + ")"
+NEW_NUMBERS = "list_sort(" + minus("numbers_cleaned", "numbers_raw") + ")"
 GROWN = "(CASE WHEN length(raw) > 0 AND length(cleaned) > length(raw) THEN (length(cleaned) - length(raw))::DOUBLE / length(raw) * 100 ELSE 0 END)"
 SHRUNK = "(CASE WHEN length(raw) > 0 THEN (length(raw) - length(cleaned))::DOUBLE / length(raw) * 100 ELSE 0 END)"
-LOST = minus(critical("raw"), critical("cleaned"))
+LOST = minus("critical_raw", "critical_cleaned")
 
 # --- notes: the same rows and faults, written out by hand ---
 HEADING = Branding().metadata_heading
@@ -274,7 +278,7 @@ SQL = {
       CASE WHEN raw <> '' AND len({NEW_NUMBERS}) > 0 THEN 'added_numbers' END, CASE WHEN raw <> '' AND len({added(4)}) > 0 THEN 'added_words' END, CASE WHEN len({LOST}) > 0 THEN 'critical_token_loss' END,
       CASE WHEN {GROWN} > 20 THEN 'excessive_expansion' END, CASE WHEN {GROWN} <= 20 AND {SHRUNK} > 30 THEN 'excessive_compression' END], lambda x: x IS NOT NULL) END AS found FROM altered)
       SELECT doc_id, len(found) = 0 AS passed, array_to_string(found, ',') AS violations FROM v""",
-    "critical_tokens": f"WITH {ALTERED}, t AS (SELECT doc_id, list_sort({critical('raw')}) AS t FROM altered) SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM t",
+    "critical_tokens": f"WITH {ALTERED}, t AS (SELECT doc_id, list_sort(critical_raw) AS t FROM altered) SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM t",
     "model_replies": "SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'Invalid JSON' WHEN 2 THEN 'Not a JSON object' WHEN 3 THEN 'Missing ''cleaned_text'' field' WHEN 4 THEN 'cleaned_text is not a string' END AS problem FROM conversations",
     "tokenize_stats": f"WITH {DOCS}, t AS (SELECT document_id, regexp_extract_all(lower(raw_text), {TOKENS}) AS t FROM docs) SELECT document_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct, len(list_filter(t, lambda x: x = 'the'))::INT AS n_the FROM t",
     "term_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), {TOKENS})) AS token FROM documents) GROUP BY token",
