@@ -189,11 +189,12 @@ def test_fingerprints_equal_plain_loop(spark, sf_dir):
 def test_near_fingerprints_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     base = [int.from_bytes(rng.bytes(16)) for _ in range(12)]
-    prints = sorted({b ^ sum(1 << int(x) for x in rng.integers(0, 128, n)) for b in base for n in (0, 1, 2, 3, 4, 5)})
+    prints = sorted({b ^ sum(1 << int(x) for x in rng.integers(0, 128, n)) for b in base for n in (0, 1, 2, 3, 4, 5, 7, 9)})
     names = [f"{p:032x}" for p in prints]
     df = spark.createDataFrame([(n,) for n in names], "fingerprint string")
-    for radius in (3, 5):
-        got = sorted((r["query"], r["match"], r["distance"]) for r in simhash.near_fingerprints(df, df.limit(40), radius).collect())
+    assert [simhash.agreeing(n) for n in (0, 1 << 22, 1 << 23, 1 << 30, 1 << 31)] == [1, 1, 2, 2, 3]
+    for radius, shared in ((3, None), (5, 1), (5, 2), (7, 1), (7, 3)):
+        got = sorted((r["query"], r["match"], r["distance"]) for r in simhash.near_fingerprints(df, df.limit(40), radius, shared).collect())
         asked = {r["fingerprint"] for r in df.limit(40).collect()}
         assert got == sorted((a, b, (int(a, 16) ^ int(b, 16)).bit_count()) for a in asked for b in names if a != b and (int(a, 16) ^ int(b, 16)).bit_count() <= radius)
 
