@@ -17,6 +17,8 @@ from proofmill.functions import ids
 from proofmill.functions import text as text_functions
 
 LOOK_BACK = 50
+#: Lengths that are summed at once; keeps the work per text near linear.
+BLOCK = 256
 
 
 def _pattern(config: ChunkConfig) -> str:
@@ -28,12 +30,20 @@ def _pattern(config: ChunkConfig) -> str:
     return rf"{whole}|[\s\S]{{{first},{last}}}(?=\n)|[\s\S]{{{first - 1},{last - 1}}}[.!?](?=[ \n])|[\s\S]{{{n}}}"
 
 
+def _before(lengths: Column) -> Column:
+    """For each length the sum of those before it, over blocks of BLOCK lengths and inside them."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(blocks, empty, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    return text_functions.let(starts, lambda known: F.transform(lengths, lambda _, i: F.get(known, F.floor(i / BLOCK).cast("int")) + total(F.slice(lengths, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))))
+
+
 def _by_pattern(text: Column, config: ChunkConfig) -> Column:
     """Array of struct(start, piece)."""
     pieces = F.regexp_extract_all(text, F.lit(_pattern(config)), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
-    add = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), p.alias("piece")))).alias("out"))
-    return F.aggregate(pieces, empty, add, lambda acc: acc["out"])
+    placed = lambda ps: F.zip_with(text_functions.let(F.transform(ps, F.length), _before), ps, lambda at, p: F.struct(at.alias("start"), p.alias("piece")))
+    return F.when(F.length(text) > 0, text_functions.let(pieces, placed)).otherwise(F.array().cast("array<struct<start:int,piece:string>>"))
 
 
 def _by_fold(text: Column, config: ChunkConfig) -> Column:

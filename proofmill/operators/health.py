@@ -128,37 +128,42 @@ def parse(files: DataFrame, yaml: bool = False) -> DataFrame:
 
 def _sections(body: Column) -> Column:
     """Array of struct(line, section, claims) for the stripped lines of a body; `claims` is set
-    for lines of the first claims section only."""
-    start = F.struct(F.lit("").alias("section"), F.lit(0).alias("state"), F.array().cast("array<struct<line:string,section:string,claims:boolean>>").alias("out"))
+    for lines of the first claims section only (and of others that follow it at once).
+
+    The body is split ahead of its headings, so the work is linear in it.
+    """
+    space = r"[\s\x1c-\x1f&&[^\n]]"
+    parts = F.transform(F.split(body, rf"(?U)\n(?={space}*## [^\n]*[^\s\x1c-\x1f])"), lambda p: F.transform(F.split(p, "\n"), text.strip))
+    headed = F.transform(parts, lambda p: F.struct(F.when(F.startswith(p[0], F.lit("## ")), p[0]).otherwise(F.lit("")).alias("head"), p.alias("lines")))
+
+    def marked(all_parts):
+        first = F.array_position(F.transform(all_parts, lambda p: p["head"]), F.lit("## Claims")).cast("int")
+        run = F.array_position(F.transform(F.slice(all_parts, F.greatest(first, F.lit(1)), F.size(all_parts)), lambda p: p["head"] != "## Claims"), F.lit(True)).cast("int")
+        of = lambda bounds: F.flatten(
+            F.transform(all_parts, lambda p, i: F.transform(p["lines"], lambda x: F.struct(x.alias("line"), p["head"].alias("section"), ((x != p["head"]) & (i + 1 >= bounds["first"]) & (i + 1 < bounds["past"])).alias("claims"))))
+        )
+        past = F.when(first == 0, F.lit(0)).when(run == 0, F.size(all_parts) + 1).otherwise(first + run - 1)
+        return text.let(F.struct(first.alias("first"), past.alias("past")), of)
+
+    return text.let(headed, marked)
 
-    def step(s, raw):
-        line = text.strip(raw)
-        head = F.startswith(line, F.lit("## "))
-        section = F.when(head, line).otherwise(s["section"])
-        opened = line == "## Claims"
-        state = F.when(opened & (s["state"] < 2), F.lit(1)).when(head & (s["state"] == 1), F.lit(2)).otherwise(s["state"])
-        row = F.struct(line.alias("line"), section.alias("section"), ((state == 1) & ~head).alias("claims"))
-        return F.struct(section.alias("section"), state.alias("state"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    return F.aggregate(F.split(body, "\n"), start, step, lambda s: s["out"])
+def _cut(lines: Column, pattern: str) -> Column:
+    """An array of lines as arrays of lines, cut ahead of each line that the pattern finds."""
+    joined = F.concat(F.lit("\n"), F.array_join(lines, "\n"))
+    return F.transform(F.split(joined, rf"\n(?={pattern})"), lambda p: F.split(p, "\n"))
 
 
 def _entries() -> Column:
-    """Evidence entries: struct(label, has_document, has_chunk)."""
-    lines = F.filter("sections", lambda s: (s["section"] == "## Evidence References") & (s["line"] != "## Evidence References"))
-    start = F.array().cast("array<struct<label:string,doc:boolean,chunk:boolean>>")
+    """Evidence entries: struct(label, doc, chunk); a field is there if the last line that names it holds a value."""
+    lines = F.transform(F.filter("sections", lambda s: (s["section"] == "## Evidence References") & (s["line"] != "## Evidence References")), lambda s: s["line"])
+    blocks = F.filter(_cut(lines, "### "), lambda b: F.startswith(b[0], F.lit("### ")))
 
-    def step(acc, s):
-        line, n = s["line"], F.size(acc)
-        new = F.concat(acc, F.array(F.struct(F.substr(line, F.lit(5)).alias("label"), F.lit(False).alias("doc"), F.lit(False).alias("chunk"))))
-        held = F.rlike(line, F.lit("`[^`]+`"))
-        last = F.element_at(acc, -1)
-        doc = F.when(F.contains(line, F.lit("**Document**:")), held).otherwise(last["doc"])
-        chunk = F.when(F.contains(line, F.lit("**Chunk**:")), held).otherwise(last["chunk"])
-        kept = F.concat(F.slice(acc, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["label"].alias("label"), doc.alias("doc"), chunk.alias("chunk"))))
-        return F.when(F.startswith(line, F.lit("### ")), new).when(n == 0, acc).otherwise(kept)
+    def held(block, name):
+        named = F.filter(F.slice(block, 2, F.size(block)), lambda x: F.contains(x, F.lit(f"**{name}**:")))
+        return F.coalesce(F.rlike(F.try_element_at(named, F.lit(-1)), F.lit("`[^`]+`")), F.lit(False))
 
-    return F.aggregate(lines, start, step)
+    return F.transform(blocks, lambda b: F.struct(F.substr(b[0], F.lit(5)).alias("label"), held(b, "Document").alias("doc"), held(b, "Chunk").alias("chunk")))
 
 
 def file_issues(parsed: DataFrame, brand: Branding = Branding()) -> DataFrame:  # noqa: B008  frozen
@@ -202,44 +207,52 @@ def file_issues(parsed: DataFrame, brand: Branding = Branding()) -> DataFrame:
     return text.staged(ready, issues=found).drop("_entries", "_labels")
 
 
-def source_entries(parsed: DataFrame) -> DataFrame:
-    """file_path, key, note_hash, info: the sources a note names, the last of a key in it."""
-    kept = F.filter("sections", lambda s: s["section"] == "## Evidence References")
-    start = F.struct(F.lit("").alias("doc"), F.array().cast("array<struct<key:string,hash:string,info:string>>").alias("out"))
+def _with_sources(parsed: DataFrame) -> DataFrame:
+    """Adds `sources`: struct(key, at, hash, info) of the sources a note names, the last of a key in it."""
+    lines = F.transform(F.filter("sections", lambda s: s["section"] == "## Evidence References"), lambda s: s["line"])
+    named = r"- \*\*Document\*\*: `([^`\n]+)`"
 
-    def step(s, x):
-        line = x["line"]
-        named = F.regexp_extract(line, r"^- \*\*Document\*\*: `([^`]+)`", 1)
-        hashed = F.regexp_extract(line, r"^- \*\*Source Raw Hash\*\*: `([^`]+)`", 1)
-        doc = F.when(F.startswith(line, F.lit("### ")), F.lit("")).when(named != "", named).otherwise(s["doc"])
-        row = F.struct(doc.alias("key"), hashed.alias("hash"), F.concat(F.lit("document_id='"), doc, F.lit("'")).alias("info"))
-        return F.struct(doc.alias("doc"), F.when((hashed != "") & (doc != ""), F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+    def hashed(block):
+        doc = F.regexp_extract(block[0], f"^{named}", 1)
+        hashes = F.filter(F.transform(block, lambda x: F.regexp_extract(x, r"^- \*\*Source Raw Hash\*\*: `([^`]+)`", 1)), lambda h: (h != "") & (doc != ""))
+        return F.transform(hashes, lambda h: F.struct(doc.alias("key"), h.alias("hash"), F.concat(F.lit("document_id='"), doc, F.lit("'")).alias("info")))
 
-    in_body = F.aggregate(kept, start, step, lambda s: s["out"])
+    in_body = F.flatten(F.transform(_cut(lines, f"### |{named}"), hashed))
 
     def top(d):
         some = lambda c: F.coalesce(c, F.lit("")) != ""
-        named = F.when(some(d["document_id"]), F.concat(F.lit("document_id='"), d["document_id"], F.lit("'")))
+        said = F.when(some(d["document_id"]), F.concat(F.lit("document_id='"), d["document_id"], F.lit("'")))
         key = F.when(some(d["source_path"]), d["source_path"]).otherwise(d["document_id"])
-        info = F.when(some(d["source_path"]), F.concat_ws(" ", F.concat(F.lit("source_path='"), d["source_path"], F.lit("'")), named)).otherwise(named)
+        info = F.when(some(d["source_path"]), F.concat_ws(" ", F.concat(F.lit("source_path='"), d["source_path"], F.lit("'")), said)).otherwise(said)
         return F.struct(key.alias("key"), F.when(some(d["content_hash"]), d["content_hash"]).otherwise(d["source_raw_hash"]).alias("hash"), info.alias("info"))
 
     in_front = F.filter(F.transform("source_documents", top), lambda e: (F.coalesce(e["hash"], F.lit("")) != "") & (F.coalesce(e["key"], F.lit("")) != ""))
-    ready = text.staged(parsed.where("fm_state = 'ok'"), _body=in_body, _front=in_front)
-    rows = ready.select("file_path", F.posexplode(F.concat("_body", "_front")).alias("at", "e"))
-    last = Window.partitionBy("file_path", "e.key").orderBy(F.desc("at"))
-    return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").select("file_path", "e.key", F.col("e.hash").alias("note_hash"), "e.info")
+    ok = F.col("fm_state") == "ok"
+    every = F.filter(F.concat(in_body, in_front), lambda e: ok)
+    ordered = F.array_sort(F.transform(every, lambda e, i: F.struct(e["key"].alias("key"), (-i).alias("at"), e["hash"].alias("hash"), e["info"].alias("info"))))
+    ready = text.staged(parsed, _sources=ordered)
+    last = F.filter("_sources", lambda e, i: (i == 0) | (F.get(F.col("_sources"), i - 1)["key"] != e["key"]))
+    return ready.withColumn("sources", last).drop("_sources")
+
+
+def source_entries(parsed: DataFrame) -> DataFrame:
+    """file_path, key, note_hash, info: the sources a note names, the last of a key in it."""
+    rows = _with_sources(parsed).select("file_path", F.explode("sources").alias("e"))
+    return rows.select("file_path", "e.key", F.col("e.hash").alias("note_hash"), "e.info")
+
+
+def _drift(content_hash: Column, note_hash: Column, info: Column) -> Column:
+    """The issue of a source under another hash than a manifest's, or null."""
+    lacks = _issue("source_hash_missing_expected", F.concat(F.lit("Source "), info, F.lit(" not found in provided source manifest")), "warning")
+    other = _issue("source_hash_mismatch", F.concat(F.lit("Source "), info, F.lit(" hash mismatch: note='"), note_hash, F.lit("', manifest='"), content_hash, F.lit("'")), "warning")
+    return F.when(content_hash.isNull(), lacks).when(content_hash != note_hash, other)
 
 
 def drift_issues(parsed: DataFrame, manifest: DataFrame) -> DataFrame:
     """Sources that a manifest (key, content_hash) lacks or knows with another hash; both warn."""
     joined = source_entries(parsed).join(manifest.select("key", "content_hash"), "key", "left")
-    lacks = F.col("content_hash").isNull()
-    said = F.when(lacks, F.concat(F.lit("Source "), F.col("info"), F.lit(" not found in provided source manifest"))).otherwise(
-        F.concat(F.lit("Source "), F.col("info"), F.lit(" hash mismatch: note='"), F.col("note_hash"), F.lit("', manifest='"), F.col("content_hash"), F.lit("'"))
-    )
-    code = F.when(lacks, F.lit("source_hash_missing_expected")).otherwise(F.lit("source_hash_mismatch"))
-    return joined.where(lacks | (F.col("content_hash") != F.col("note_hash"))).select(code.alias("code"), F.lit("warning").alias("severity"), said.alias("message"), "file_path")
+    found = joined.select("file_path", _drift(F.col("content_hash"), F.col("note_hash"), F.col("info")).alias("i")).where("i is not null")
+    return found.select("i.code", "i.severity", "i.message", "file_path")
 
 
 def _cross(rows: DataFrame) -> DataFrame:
@@ -253,7 +266,7 @@ def _cross(rows: DataFrame) -> DataFrame:
     first = F.min("file_path").over(Window.partitionBy(F.col("note_id").isNull(), F.coalesce("note_id", "file_path")))
     said = F.concat(F.lit("Duplicate note_id '"), F.col("note_id"), F.lit("' in '"), F.col("_first"), F.lit("' and '"), F.col("file_path"), F.lit("'"))
     doubled = F.when(F.col("note_id").isNotNull() & (F.col("_first") != F.col("file_path")), _issue("duplicate_note_id", said))
-    return rows.withColumn("_first", first).select("file_path", F.concat("issues", _issues(orphan, doubled)).alias("issues"))
+    return rows.withColumn("_first", first).withColumn("issues", F.concat("issues", _issues(orphan, doubled))).drop("_first", "fm_state", "note_id")
 
 
 def _note_id() -> Column:
@@ -272,11 +285,26 @@ def cross_issues(parsed: DataFrame) -> DataFrame:
 
 
 def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool = True, brand: Branding = Branding(), yaml: bool = False) -> DataFrame:  # noqa: B008  frozen
-    """code, severity, message, file_path of every issue; one pass over the files, two with a manifest."""
+    """code, severity, message, file_path of every issue; one pass over the files.
+
+    With a manifest, issues and named sources leave a file as rows of one kind; only sources have
+    a key to be joined, and issues are dealt by their path.
+    """
+    kept = ["file_path", "fm_state", _note_id().alias("note_id"), "issues"]
     parsed = parse(files, yaml)
-    rows = file_issues(parsed, brand).select("file_path", "fm_state", _note_id().alias("note_id"), "issues")
-    found = _exploded(_cross(rows) if directory else rows)
-    return found.unionByName(drift_issues(parsed, manifest)) if manifest is not None else found
+    if manifest is None:
+        rows = file_issues(parsed, brand).select(*kept)
+        return _exploded(_cross(rows) if directory else rows)
+    rows = _with_sources(file_issues(parsed, brand)).select(*kept, "sources")
+    rows = _cross(rows) if directory else rows
+    none = F.lit(None)
+    kind = "array<struct<i:struct<code:string,severity:string,message:string>,key:string,hash:string,info:string>>"
+    said = F.transform("issues", lambda i: F.struct(i.alias("i"), none.alias("key"), none.alias("hash"), none.alias("info"))).cast(kind)
+    named = F.transform("sources", lambda e: F.struct(none.alias("i"), e["key"].alias("key"), e["hash"].alias("hash"), e["info"].alias("info"))).cast(kind)
+    each = rows.select("file_path", F.inline(F.concat(said, named))).withColumn("_deal", F.coalesce("key", F.concat(F.lit("\0"), "file_path")))
+    joined = each.join(manifest.select(F.col("key").alias("_deal"), "content_hash"), "_deal", "left")
+    found = joined.select("file_path", F.coalesce("i", F.when(F.col("key").isNotNull(), _drift(F.col("content_hash"), F.col("hash"), F.col("info")))).alias("i")).where("i is not null")
+    return found.select("i.code", "i.severity", "i.message", "file_path")
 
 
 def unrecognized(spark, path: str, problem: str) -> DataFrame:

@@ -368,3 +368,30 @@ def test_later_rows_of_a_path_win(spark):
     runs = [("p", "h2", 2, "m", "2024-01-03"), ("p", "h1", 1, "m", "2024-01-02"), ("q", "h3", 3, "m", "2024-01-02")]
     got = sorted(tuple(r) for r in manifest.upsert(known, spark.createDataFrame(runs, manifest.ENTRY).repartition(3)).collect())
     assert got == [runs[0], runs[2]]
+
+
+def test_sections_entries_and_sources_of_odd_notes(spark):
+    body = "## Claims\n- a [E1]\n## Claims\n- b\n## Other\n## Claims\n- c\n##  \n ## Evidence References \n- **Document**: `d0`\n- **Source Raw Hash**: `h0`\n### E1\n- **Document**: `d1`\n- **Chunk**: none\n- **Source Raw Hash**: `h1`\n- **Source Raw Hash**: `h2`\n### E2\n- **Source Raw Hash**: `h3`"
+    files = spark.createDataFrame([("a", '---\nnote_id: "n"\n---\n' + body), ("b", None), ("c", "")], "file_path string, content string")
+    parsed = health.parse(files)
+    rows = parsed.where("file_path = 'a'").first()["sections"]
+    assert [s["line"] for s in rows if s["claims"]] == ["- a [E1]", "- b"]
+    assert {s["section"] for s in rows} == {"", "## Claims", "## Other", "## Evidence References"}
+    found = health.source_entries(parsed).orderBy("key").select("key", "note_hash").collect()
+    assert [tuple(r) for r in found] == [("d0", "h0"), ("d1", "h2")]
+    known = spark.createDataFrame([("d0", "h0"), ("d1", "h1")], "key string, content_hash string")
+    said = [tuple(r) for r in health.lint(files, known).select("file_path", "code").collect()]
+    assert ("a", "source_hash_mismatch") in said and ("a", "source_hash_missing_expected") not in said
+    assert said.count(("a", "evidence_missing_document_id")) == 1 and said.count(("a", "evidence_missing_chunk_id")) == 2
+    assert ("c", "orphan_note") in said and ("a", "citation_unresolved") not in said
+
+
+def test_work_on_a_long_note_is_linear(spark):
+    entry = "\n".join(f"### E{i}\n- **Document**: `d{i}`\n- **Chunk**: `c{i}`\n- **Source Raw Hash**: `h`" for i in range(20_000))
+    files = spark.createDataFrame([("a", '---\nnote_id: "n"\n---\n## Evidence References\n' + entry)], "file_path string, content string")
+    assert health.source_entries(health.parse(files)).count() == 20_000
+
+
+def test_starts_of_very_many_chunks(spark):
+    rows = chunk(spark.createDataFrame([("d", "abcdefghij" * 30_000)], "document_id string, raw_text string"), ChunkConfig(100, 0, False))
+    assert rows.where("start_offset = chunk_index * 100 and end_offset = start_offset + 100").count() == rows.count() == 3_000
