@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Workers get these functions by value, so executors need no copy of the repository.
@@ -130,3 +130,15 @@ def fits(df: DataFrame, most_rows: int, most_bytes: int = 8 << 20) -> bool:
 def small(df: DataFrame, most_rows: int, most_bytes: int = 8 << 20):
     """The rows of df as a list if they are at most this many and this large, else None."""
     return df.collect() if fits(df, most_rows, most_bytes) else None
+
+
+def ranked(space: Workspace, rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with `rank` (1, 2, 3 ...) in this order. They are dealt into sorted ranges and written; a
+    row's rank is its place in its range, after the sizes of the ranges before it."""
+    dealt = rows.repartitionByRange(partitions(rows), *order).sortWithinPartitions(*order)
+    kept = space.save(dealt.withColumn("_at", F.monotonically_increasing_id()), name)
+    placed = kept.withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(starts), "_range").withColumn("rank", F.col("_before") + F.col("_place") + 1).drop("_at", "_range", "_place", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import chat, decontam, langid, licenses, minhash, mixing, simhash, suffix, tokenbin, urlrules
+from proofmill.llm import audit, chat, decontam, langid, licenses, linededup, minhash, mixing, resample, simhash, suffix, tokenbin, urlrules
 from proofmill.llm.common import documents
 
 CONFLICT = r"\### Assistant: </turn> ok"
@@ -55,7 +55,19 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_suffix": op2_suffix, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op8_licenses": op8_licenses, "op9_tokens": op9_tokens, "op10_urls": op10_urls}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir))
+
+
+QUERIES = {"op1_chat": op1_chat, "op2_suffix": op2_suffix, "op3_language": op3_language, "op4_simhash": op4_simhash, "op5_decontam": op5_decontam, "op6_mix": op6_mix, "op7_minhash": op7_minhash, "op8_licenses": op8_licenses, "op9_tokens": op9_tokens, "op10_urls": op10_urls, "op11_resample": op11_resample, "op12_audit": op12_audit, "op13_lines": op13_lines}
 
 _OP1 = r"""
 WITH turns AS (
@@ -134,4 +146,64 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM hits WHERE rk = 1
 """
 
-ORACLE = {"op1_chat": _OP1, "op6_mix": _OP6, "op10_urls": _OP10}
+_OP12 = r"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS capitals,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), masks AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * capitals > 3 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask
+  FROM worded
+), flags AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE bad) AS n_bad
+  FROM masks LEFT JOIN flags USING (doc_id) GROUP BY part, mask
+), letters AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), done AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & (earlier | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & earlier <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(n_bad) FILTER (WHERE mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM done
+"""
+
+_OP13 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLE = {"op1_chat": _OP1, "op6_mix": _OP6, "op10_urls": _OP10, "op12_audit": _OP12, "op13_lines": _OP13}
