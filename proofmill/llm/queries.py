@@ -120,7 +120,7 @@ WITH sized AS (
   SELECT source, doc_id, any_value(fraction) AS fraction,
     row_number() OVER (PARTITION BY source ORDER BY max(size) DESC, doc_id ASC NULLS FIRST) AS r,
     ('0x' || substr(md5('11/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM joined WHERE size * 4096 > source_size GROUP BY source, doc_id
+  FROM joined WHERE size * 50 > source_size GROUP BY source, doc_id
 ), long AS (
   SELECT source, doc_id, (floor(r * fraction + u) - floor((r - 1) * fraction + u))::BIGINT AS together FROM ranked
 ), copies AS (

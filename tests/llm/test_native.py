@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,13 +100,41 @@ def test_mix_of_very_long_documents(spark):
 
 
 def test_mix_draws_with_the_fractions_probability(spark):
-    docs = spark.createDataFrame([(k, "w " * (k % 9 + 1), "a" if k < 60 else "b") for k in range(160)], "doc_id long, text string, source string")
-    taken = [{r["doc_id"]: r["copies"] for r in mixing.mix_report(docs, seed=seed).collect()} for seed in range(8)]
+    """Over SEEDS seeds every document's copies and all pairs' agreement are within 4 sigma."""
+    seeds, many = 200, 300
+    rows = [(k, "w " * (k % 3 + 1), "a" if k < 3 * many else "b" if k < 4 * many else "c") for k in range(5 * many)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(3 * mixing.LONG < r["source_size"] for r in mixing.mix_report(docs).collect())
     report = {r["doc_id"]: r for r in mixing.mix_report(docs).collect()}
-    for group in (range(60), range(60, 160)):
+    keyed = docs.select("doc_id", "source")
+    draws = keyed.select("doc_id", *[mixing.draw(seed, F.col("source"), F.col("doc_id")).alias(f"s{seed}") for seed in range(seeds)]).collect()
+    drawn = {r["doc_id"]: list(r)[1:] for r in draws}
+    for group in (range(3 * many), range(3 * many, 4 * many)):
         rate = report[group[0]]["target"] / report[group[0]]["source_size"]
-        means = [sum(t[i] for t in taken) / len(taken) for i in group]
-        assert abs(sum(means) / len(means) - rate) < 0.08 and max(abs(m - rate) for m in means) < 0.8
+        fraction = rate - int(rate)
+        assert 0.3 < fraction < 0.5
+        assert all(report[i]["copies"] == int(rate) + (drawn[i][mixing.SEED] < fraction) for i in group)
+        taken = np.array([[u < fraction for u in drawn[i]] for i in group])
+        sigma = np.sqrt(fraction * (1 - fraction))
+        assert abs(taken.mean() - fraction) <= 4 * sigma / np.sqrt(taken.size)
+        assert np.abs(taken.mean(1) - fraction).max() <= 4 * sigma / np.sqrt(seeds)
+        z = (taken - fraction) / sigma if sigma else taken * 0.0
+        near = (z[:-1] * z[1:]).mean(1)  # neighbours by id
+        assert np.abs(near).max() <= 4.5 / np.sqrt(seeds) and abs(near.mean()) <= 4 / np.sqrt(near.size * seeds)
+
+
+def test_mix_draws_do_not_depend_on_other_documents(spark):
+    rows = [(k, "w " * (k % 3 + 1), "a") for k in range(300)] + [(k, "w " * 3, "b") for k in range(300, 700)]
+    more = [*rows, (9000, "w", "c")]
+    seen = []
+    for r in (rows, rows[1:], more):
+        found = mixing.mix_report(spark.createDataFrame(r, "doc_id long, text string, source string")).collect()
+        seen.append({x["doc_id"]: (x["copies"], x["target"] / x["source_size"]) for x in found})
+    draws = {r["doc_id"]: r["u"] for r in spark.createDataFrame(rows, "doc_id long, text string, source string").select("doc_id", mixing.draw(mixing.SEED, F.col("source"), F.col("doc_id")).alias("u")).collect()}
+    for found in seen:  # a document's copies follow from its own number and its source's rate alone
+        assert all(copies == int(rate) + (draws[i] < rate - int(rate)) for i, (copies, rate) in found.items() if i != 9000)
+    moved = [i for i in seen[1] if seen[0][i][0] != seen[1][i][0]]
+    assert all(min(a, b) <= draws[i] <= max(a, b) for i in moved for a, b in [(seen[0][i][1] % 1, seen[1][i][1] % 1)])
 
 
 def plain_judge(url, rules):
