@@ -76,23 +76,36 @@ def text_features(docs: DataFrame) -> DataFrame:
 
 
 def bucket_counts(features: DataFrame):
-    """Occurrences of each bucket, copies counted, as one array: a task adds up its own first."""
+    """Occurrences of each bucket, copies counted, as one array. A task adds up its own, then
+    about the square root of the tasks' arrays meet in a task, and as many sums in the driver."""
     import numpy as np
 
-    def run(batches):
+    meet = max(1, math.isqrt(features.rdd.getNumPartitions()))
+    schema = "part int, counts binary"
+
+    def row(total):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % meet], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
+    def count(batches):
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for copies, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total += copies * np.bincount(np.frombuffer(packed.as_buffer(), "<u2"), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+        yield row(total)
+
+    def add(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for packed in batch.column(1):
+                total += np.frombuffer(packed.as_buffer(), np.int64)
+        if total.any():
+            yield row(total)
 
-    out = np.zeros(BUCKETS, np.int64)
-    for r in features.select("copies", "buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]  # at most BUCKETS rows
-    return out
+    sums = features.select("copies", "buckets").mapInArrow(count, schema).repartition(meet, "part").mapInArrow(add, schema)
+    return sum((np.frombuffer(r["counts"], np.int64) for r in sums.select("counts").collect()), np.zeros(BUCKETS, np.int64))
 
 
 def gains(corpus, target):
@@ -132,7 +145,7 @@ def noise(doc_id, seed: int):
 def text_weights(space: Workspace, docs: DataFrame, target: DataFrame) -> DataFrame:
     """key, n_words, n_features, weight of each distinct text of docs, against the target's texts."""
     features = space.save(text_features(docs), "features")
-    gain = gains(bucket_counts(features), bucket_counts(text_features(target)))
+    gain = gains(bucket_counts(features), bucket_counts(space.save(text_features(target), "target")))
     # written: the join then has an exchange on both sides, and a text of very many rows can be split
     return space.save(_weights(features, gain), "weights")
 
