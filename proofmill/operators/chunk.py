@@ -1,10 +1,11 @@
 """Deterministic chunks, row by row.
 
 A chunk ends at most chunk_size characters after its start, before the last newline of the 49
-positions ahead of that end, else before the blank that follows the last sentence end there.
-Without overlap and from 51 characters on, the cut cannot fall behind the chunk's start, so one
-regular expression yields all chunks of a text in one linear pass. Any other setting uses a fold
-that carries the position. No shuffle; empty text has no chunks.
+positions ahead of that end, else before the blank that follows the last sentence end there; the
+next one starts `overlap` characters ahead of that. Where no such cut can fall on the next start,
+one regular expression yields all chunks of a text in one linear pass: a look-ahead captures the
+chunk, and what is consumed ends `overlap` characters sooner. Tiny chunks use a fold that carries
+the position. No shuffle; empty text has no chunks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ BLOCK = 256
 
 
 def _pattern(config: ChunkConfig) -> str:
-    n = config.chunk_size
-    whole = rf"[\s\S]{{1,{n}}}\z"
-    if not config.split_on_newline:
-        return rf"{whole}|[\s\S]{{{n}}}"
-    first, last = n - LOOK_BACK + 1, n - 1
-    return rf"{whole}|[\s\S]{{{first},{last}}}(?=\n)|[\s\S]{{{first - 1},{last - 1}}}[.!?](?=[ \n])|[\s\S]{{{n}}}"
+    """Group 1 is a chunk; the match is its part before the next chunk's start."""
+    n, o = config.chunk_size, config.overlap
+    first, last = n - LOOK_BACK + 1, n - 1  # lengths that look back to a newline
+    pieces, steps = [rf".{{1,{n}}}\z"], [rf".{{1,{n}}}\z"]
+    if config.split_on_newline:
+        pieces += [rf".{{{first},{last}}}(?=\n)", rf".{{{first - 1},{last - 1}}}[.!?](?=[ \n])"]
+        steps += [rf".{{{first - o},{last - o}}}(?=.{{{o}}}\n)", rf".{{{first - o},{last - o}}}(?=.{{{o - 1}}}[.!?][ \n])"]
+    pieces.append(rf".{{{n}}}")
+    steps.append(rf".{{{n - o}}}")
+    return rf"(?s)({'|'.join(pieces)})" if not o else rf"(?s)(?=({'|'.join(pieces)}))(?:{'|'.join(steps)})"
 
 
 def _before(lengths: Column) -> Column:
@@ -41,8 +46,9 @@ def _before(lengths: Column) -> Column:
 
 def _by_pattern(text: Column, config: ChunkConfig) -> Column:
     """Array of struct(start, piece)."""
-    pieces = F.regexp_extract_all(text, F.lit(_pattern(config)), F.lit(0))
-    placed = lambda ps: F.zip_with(text_functions.let(F.transform(ps, F.length), _before), ps, lambda at, p: F.struct(at.alias("start"), p.alias("piece")))
+    pieces = F.regexp_extract_all(text, F.lit(_pattern(config)), F.lit(1))
+    steps = lambda ps: F.transform(ps, lambda p: F.length(p) - F.lit(config.overlap))
+    placed = lambda ps: F.zip_with(text_functions.let(steps(ps), _before), ps, lambda at, p: F.struct(at.alias("start"), p.alias("piece")))
     return F.when(F.length(text) > 0, text_functions.let(pieces, placed)).otherwise(F.array().cast("array<struct<start:int,piece:string>>"))
 
 
@@ -81,7 +87,7 @@ def _by_fold(text: Column, config: ChunkConfig) -> Column:
 def chunk_array(text: Column, config: ChunkConfig | None = None) -> Column:
     config = config or ChunkConfig()
     text = F.coalesce(text, F.lit(""))
-    simple = config.overlap == 0 and (config.chunk_size > LOOK_BACK or not config.split_on_newline)
+    simple = not config.split_on_newline or config.chunk_size - config.overlap > LOOK_BACK
     return _by_pattern(text, config) if simple else _by_fold(text, config)
 
 

@@ -395,3 +395,17 @@ def test_work_on_a_long_note_is_linear(spark):
 def test_starts_of_very_many_chunks(spark):
     rows = chunk(spark.createDataFrame([("d", "abcdefghij" * 30_000)], "document_id string, raw_text string"), ChunkConfig(100, 0, False))
     assert rows.where("start_offset = chunk_index * 100 and end_offset = start_offset + 100").count() == rows.count() == 3_000
+
+
+def test_overlapping_chunks_take_linear_time(spark):
+    import time
+
+    def seconds(pieces):
+        rows = chunk(spark.createDataFrame([("d", "abcdefg hi" * (34 * pieces))], "document_id string, raw_text string").coalesce(1), ChunkConfig(400, 60))
+        began = time.time()
+        assert rows.where("end_offset - start_offset between 1 and 400 and start_offset = chunk_index * 340").count() == rows.count() == pieces
+        return time.time() - began
+
+    seconds(1_000)
+    few, many = min(seconds(8_000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
+    assert many < 8 * few + 2
