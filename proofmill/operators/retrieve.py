@@ -1,11 +1,14 @@
 """Filtered keyword and placeholder-vector retrieval, hybrid merge, ranking, traces.
 
-Each branch is a top-(2 * top_k) of its own (TakeOrderedAndProject for one query, a grouped
-limit for a batch) before the merge, which is part of the semantics: a chunk outside one list
-scores 0 there. Retrieval of one query goes in two phases: the first ranks chunk ids, so the
-vector branch never refines a text; the second fetches the texts of the ranked rows, at most
-top_k for each weight, from their documents alone. Up to LOCAL_ROWS of them become a local
-relation, so what is built on a result does not compute the retrieval again.
+Each branch is a top-(2 * top_k) of its own before the merge, which is part of the semantics: a
+chunk outside one list scores 0 there. The built-in branches share one pass over the corpus: every
+chunk is cut once, scored for both lists, and a grouped limit keeps each list's best in every
+task before they meet. Other retrievers bring lists of their own, merged by an outer join.
+
+Retrieval of one query goes in two phases: the first ranks chunk ids; the second fetches the texts
+of the ranked rows, at most top_k for each weight, from their documents alone. Both are lazy;
+`local` makes a result of up to LOCAL_ROWS rows a local relation, so that what is built on it
+does not compute the retrieval again.
 """
 
 from __future__ import annotations
@@ -112,8 +115,46 @@ def merge(keyword: DataFrame, vector: DataFrame, alphas: tuple[float, ...]) -> D
     )
 
 
-def _local(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+def local(df: DataFrame) -> DataFrame:
+    """A short result as a local relation; one of more than LOCAL_ROWS rows stays as it is."""
+    rows = df.take(LOCAL_ROWS + 1)
+    return df if len(rows) > LOCAL_ROWS else df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def top_lists(scores: DataFrame, limit: int, *by: str) -> DataFrame:
+    """The `limit` best rows (score, KEYS) of each group; every task keeps only its own best."""
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), *KEYS)
+    return scores.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
+
+
+def built_in_lists(corpus: DataFrame, request: RetrievalRequest, policy: str, limit: int) -> DataFrame:
+    """The keyword and vector lists of one pass, by chunk: keyword_score, vector_score, null outside a list."""
+    wanted = query_tokens(request.query)
+    rows = apply_filter(corpus, request.filters)
+    vector = F.struct(F.lit("vector").alias("list"), text.hash_score(F.lit(request.query), F.col("chunk_id")).alias("score"))
+    if wanted:
+        low = text.staged(rows, _low=F.lower(text.search_text(policy, F.col("raw_text"), F.col("cleaned_text")))).select(*KEYS, "_low")
+        seen = text.staged(low, _p=text.found(F.col("_low"), text.query_pattern(wanted)))
+        score = F.when(F.size("_p") > 0, text.term_score(wanted, F.col("_p"), F.regexp_count("_low", F.lit("[a-z0-9]+"))))
+        scored = seen.select(*KEYS, F.inline(F.array(vector, F.struct(F.lit("keyword").alias("list"), score.alias("score")))))
+    else:
+        scored = rows.select(*KEYS, F.inline(F.array(vector)))
+    best = top_lists(scored.where(F.col("score").isNotNull()), limit, "list")
+    of = lambda name: F.max(F.when(F.col("list") == name, F.col("score"))).alias(f"{name}_score")
+    return best.groupBy(*KEYS).agg(of("keyword"), of("vector"))
+
+
+def merge_lists(lists: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
+    """What merge() makes of the built-in lists, but for matched_fields, which need the texts."""
+    k, v = F.col("keyword_score").isNotNull(), F.col("vector_score").isNotNull()
+    kw, vec = F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("vector_score", F.lit(0.0))
+    scores = [F.struct(F.lit(a).alias("alpha"), (F.lit(a) * vec + F.lit(1 - a) * kw).alias("hybrid_score")) for a in alphas]
+    names = F.filter(F.array(F.when(k, F.lit("keyword")), F.when(v, F.lit("vector_placeholder"))), lambda n: n.isNotNull())
+    return lists.select(
+        *KEYS, kw.alias("keyword_score"), vec.alias("vector_score"), F.inline(F.array(*scores)),
+        F.when(k & v, F.lit("hybrid")).when(k, F.lit("token_frequency")).otherwise(F.lit("deterministic_placeholder")).alias("score_policy"),
+        F.when(k & v, F.lit("hybrid")).otherwise(F.element_at(names, 1)).alias("retrieval_source"), names.alias("source_retrievers"),
+    )
 
 
 def with_texts(corpus: DataFrame, rows: DataFrame) -> DataFrame:
@@ -137,17 +178,23 @@ def retrieve(corpus: DataFrame, request: RetrievalRequest, policy: str = DUAL_CO
     request.check()
     effective, limit = request.text_policy or policy, 2 * request.top_k
     weights = alphas or (request.alpha,)
-    merged = merge(keyword(corpus, request, effective, limit), vector(corpus, request, effective, limit), weights)
+    built_in = keyword is keyword_hits and vector is vector_hits
+    if built_in:
+        merged = merge_lists(built_in_lists(corpus, request, effective, limit), weights)
+    else:
+        merged = merge(keyword(corpus, request, effective, limit), vector(corpus, request, effective, limit), weights)
     total = merged.withColumn("total_candidates", F.count(F.lit(1)).over(Window.partitionBy("alpha")))
     filters = request.filters.describe() if request.filters else []
     audit = {
         "query": F.lit(request.query), "query_hash": F.lit(ids.text_hash(request.query)), "retrieval_run_id": F.lit(request.retrieval_run_id or f"run_{ids.text_hash(request.query)[:16]}"),
         "text_policy": F.lit(effective), "applied_filters": F.array(*[F.lit(f) for f in filters]).cast("array<string>"),
     }
-    best = ranked(total, request.top_k, ("alpha",))
-    if request.top_k * len(weights) > LOCAL_ROWS:
-        return with_texts(corpus, best).withColumns(audit)
-    return _local(with_texts(corpus, _local(best))).withColumns(audit)
+    found = with_texts(corpus, ranked(total, request.top_k, ("alpha",)))
+    if built_in:
+        wanted = F.array(*[F.lit(t) for t in query_tokens(request.query)]).cast("array<string>")
+        fields = F.array_sort(matched_fields(effective, wanted))
+        found = found.withColumn("matched_fields", F.when(F.array_contains("source_retrievers", "keyword"), fields).otherwise(F.array().cast("array<string>")))
+    return found.withColumns(audit)
 
 
 class HybridPipeline:

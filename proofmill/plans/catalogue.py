@@ -33,7 +33,7 @@ def _request(q: str = QUERY, **more) -> RetrievalRequest:
 
 
 def _results(spark: S, sf_dir: str) -> DataFrame:
-    return retrieve.retrieve(_corpus(spark, sf_dir), _request())
+    return retrieve.local(retrieve.retrieve(_corpus(spark, sf_dir), _request()))
 
 
 def _round(*names: str):
