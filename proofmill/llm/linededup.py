@@ -22,8 +22,8 @@ line that a third of all documents hold is one row a task before it is shuffled,
 join, whose sides are both written and exchanged, its rows can be split.
 
 Defined cases: null or empty text is one empty line; a null doc_id ranks below all others and such
-a row is a document; rows that repeat a doc_id count as documents each and keep or lose the same
-keys; a key's repeats inside one text count once and go or stay together; a very long text or
+a row is a document; rows that repeat a doc_id with other texts count as documents each and keep or lose
+the same keys, rows that repeat both are one; a key's repeats inside one text count once and go or stay together; a very long text or
 line is read whole; an empty table gives no rows; extra columns are kept by drop_lines and not
 read by line_report, whatever their names; a column named like a working one is no input.
 """
@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofmill.functions.text import staged
 from proofmill.llm.common import Workspace, ascii_lower
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -43,10 +44,13 @@ LEAST_CHARS, LEAST_DOCS = 20, 3
 BATCHES, FANOUT = 4, 3
 _BLANK = " \t\n\x0b\f\r"
 _HASH = ["h1", "h2"]
+#: Characters beyond ASCII that lower() changes are among these; without them it changes A-Z only, and is faster.
+_OTHER_CASE = r"[[^\x00-\x7F]&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]"
 
 
 def line_key(line) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(_BLANK)))
+    cut = F.btrim(line, F.lit(_BLANK))
+    return F.when(F.rlike(cut, F.lit(_OTHER_CASE)), ascii_lower(cut)).otherwise(F.lower(cut))
 
 
 def _lines(text) -> Column:
@@ -54,19 +58,11 @@ def _lines(text) -> Column:
 
 
 def long_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, mark (a hash of the text), h1, h2, place, first: a row for each line that counts.
-
-    `first` is 1 for one of a key's lines in a text: sorted by hash, each run of equals has one first.
-    """
-    keys = F.transform(_lines(F.col("text")), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("place")))
-    counted = F.filter("_keys", lambda k: F.char_length(k["key"]) >= least_chars)
-    hashed = F.array_sort(F.transform("_keys", lambda k: F.struct(F.xxhash64(k["key"]).alias("h1"), F.xxhash64(F.lit(1), k["key"]).alias("h2"), k["place"].alias("place"))))
-    before = lambda i: F.get(F.col("_keys"), i - 1)
-    flagged = F.transform("_keys", lambda k, i: F.struct(k["h1"].alias("h1"), k["h2"].alias("h2"), k["place"].alias("place"), F.when((before(i)["h1"] == k["h1"]) & (before(i)["h2"] == k["h2"]), 0).otherwise(1).alias("first")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), keys.alias("_keys"))
-    for step in (counted, hashed, flagged):
-        rows = rows.withColumn("_keys", step)
-    return rows.select("doc_id", "mark", F.inline("_keys"))
+    """doc_id, mark (a hash of the text), h1, h2, place: a row for each line that counts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
+    key = line_key(F.col("line"))
+    counted = rows.where(F.char_length(F.btrim("line", F.lit(_BLANK))) >= least_chars)  # lower-casing keeps the length
+    return counted.select("doc_id", "mark", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), "place")
 
 
 @dataclass
@@ -98,7 +94,8 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Takes in a batch of long_lines()."""
-        own = lines.groupBy(*_HASH).agg(F.sum("first").cast("long").alias("n_docs"), F.max("doc_id").alias("last"))
+        held = lines.select(*_HASH, "doc_id", "mark").distinct()  # a text's repeats of a key are one
+        own = held.groupBy(*_HASH).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
         for name in self.names():
             run = self.spark.table(name).where(F.col("n_docs") >= self.least_docs).select(*_HASH, F.col("last").alias("_last"))
             settled = own["last"].isNull() | (run["_last"] >= own["last"])
@@ -161,9 +158,9 @@ def _cut(docs: DataFrame, places: DataFrame) -> DataFrame:
     """docs with _lines and _kept (the places that stay), joined by id and text hash."""
     own = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("places").alias("_places"))
     on = docs["doc_id"].cast("long").eqNullSafe(own["_id"]) & (F.xxhash64(docs["text"]) == own["_mark"])
-    cut = docs.join(own, on, "left").withColumn("_lines", _lines(docs["text"]))
+    cut = staged(docs.join(own, on, "left"), _lines=_lines(docs["text"]))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    return cut.withColumn("_kept", F.when(F.col("_places").isNull(), every).otherwise(F.array_except(every, "_places")))
+    return staged(cut, _kept=F.when(F.col("_places").isNull(), every).otherwise(F.array_except(every, "_places")))
 
 
 def _joined() -> Column:

@@ -139,13 +139,13 @@ def test_texts_of_one_fingerprint_are_told_apart():
 def plain_lines(docs):
     key = lambda line: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     held = {}
-    for n, (i, t, *_) in enumerate(docs):
+    for i, t in {d[:2] for d in docs}:
         for k in {key(x) for x in (t or "").split("\n")}:
-            held.setdefault(k, []).append((i is not None, i or 0, n))
+            held.setdefault(k, []).append((i is not None, i or 0))
     out = []
     for i, t, *_ in docs:
         lines = (t or "").split("\n")
-        gone = [len(k) >= 20 and len(held[k]) >= 3 and max(held[k])[:2] != (i is not None, i or 0) for k in map(key, lines)]
+        gone = [len(k) >= 20 and len(held[k]) >= 3 and max(held[k]) != (i is not None, i or 0) for k in map(key, lines)]
         kept = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
         out.append((i, len(lines), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
     return out
@@ -169,7 +169,7 @@ def test_lines_equal_the_plain_version(spark, docs, batches, fanout):
 
 def test_runs_take_batches_in_any_order_and_grow_by_what_is_new(spark, docs):
     lines = linededup.long_lines(docs).cache()
-    want = {(r["h1"], r["h2"]): r["last"] for r in lines.groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.max("doc_id").alias("last")).where("n >= 3").collect()}
+    want = {(r["h1"], r["h2"]): r["last"] for r in lines.groupBy("h1", "h2").agg(F.countDistinct(F.struct("doc_id", "mark")).alias("n"), F.max("doc_id").alias("last")).where("n >= 3").collect()}
     space = linededup.Workspace(spark, "runs")
     for ascending in (True, False):
         runs = linededup.LineRuns(spark, f"{space.path}/{ascending}", 2, fanout=2)
