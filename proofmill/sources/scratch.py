@@ -21,3 +21,10 @@ def folder(spark: SparkSession, name: str) -> str:
     made = tempfile.mkdtemp(prefix=f"proofmill-{name}-")
     atexit.register(shutil.rmtree, made, True)
     return f"{made}/files"
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path for tables, as a URI that driver and executors reach: below spark.checkpoint.dir
+    where that is set, else (local master only) a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}" if found else f"file://{folder(spark, name)}"
