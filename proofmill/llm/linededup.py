@@ -150,13 +150,14 @@ def lost_places(space: Workspace, docs: DataFrame, least_chars: int = LEAST_CHAR
         runs.add(lines.where(F.col("batch") == number))
     common = space.save(runs.common(), "common")
     runs.drop()
-    found = lines.join(common, _HASH).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    # both joins are exchanged at every size, so that they cost and split alike
+    found = lines.join(common.hint("merge"), _HASH).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     return space.save(found.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places")), "places")
 
 
 def _cut(docs: DataFrame, places: DataFrame) -> DataFrame:
     """docs with _lines and _kept (the places that stay), joined by id and text hash."""
-    own = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("places").alias("_places"))
+    own = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("places").alias("_places")).hint("shuffle_hash")
     on = docs["doc_id"].cast("long").eqNullSafe(own["_id"]) & (F.xxhash64(docs["text"]) == own["_mark"])
     cut = staged(docs.join(own, on, "left"), _lines=_lines(docs["text"]))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
