@@ -31,10 +31,11 @@ class Conflict(RuntimeError):
 
 
 class ChunkStore:
-    """Chunks (document_id, chunk_id and more) under one folder; a lookup reads one shard."""
+    """Chunks (document_id, chunk_id and more) under one folder; a lookup reads one shard. Rows of
+    other kinds can be kept under another `key` column."""
 
-    def __init__(self, spark: SparkSession, path: str, shards: int = 64):
-        self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
+    def __init__(self, spark: SparkSession, path: str, shards: int = 64, key: str = "document_id"):
+        self.spark, self.path, self.shards, self.key = spark, path.rstrip("/"), shards, key
 
     def _shard(self, c) -> F.Column:
         return F.pmod(F.crc32(c), F.lit(self.shards)).cast("int")
@@ -99,31 +100,31 @@ class ChunkStore:
 
     def _write(self, chunks: DataFrame) -> str:
         name = uuid.uuid4().hex
-        dealt = chunks.withColumn("shard", self._shard(F.col("document_id"))).repartitionByRange("shard", "document_id").sortWithinPartitions("shard", "document_id")
+        dealt = chunks.withColumn("shard", self._shard(F.col(self.key))).repartitionByRange("shard", self.key).sortWithinPartitions("shard", self.key)
         dealt.write.partitionBy("shard").parquet(f"{self.path}/data/commit={name}")
         return name
 
     def _bury(self, ids: DataFrame) -> str:
         name = uuid.uuid4().hex
-        ids.select("document_id").distinct().write.parquet(f"{self.path}/gone/commit={name}")
+        ids.select(self.key).distinct().write.parquet(f"{self.path}/gone/commit={name}")
         return name
 
     def store(self, chunks: DataFrame) -> int:
         """Appends; the version it became."""
         return self._commit(chunks.schema.json(), added=[self._write(chunks)])
 
-    def replace(self, chunks: DataFrame) -> int:
-        """Appends, and deletes what was there of the chunks' documents, in one version."""
+    def replace(self, chunks: DataFrame, ids: DataFrame | None = None) -> int:
+        """Appends, and deletes what was there of the documents `ids` (the chunks' own), in one version."""
         name = self._write(chunks)
-        own = self.spark.read.schema("document_id string").parquet(f"{self.path}/data/commit={name}")
+        own = self.spark.read.schema(f"{self.key} string").parquet(f"{self.path}/data/commit={name}") if ids is None else ids
         return self._commit(chunks.schema.json(), added=[name], gone=[self._bury(own)])
 
     def delete_documents(self, ids: DataFrame) -> int:
-        """Deletes every chunk of the documents named in `document_id`."""
+        """Deletes every row of the documents named in the key column."""
         return self._commit("", gone=[self._bury(ids)])
 
     def delete_document(self, document_id: str) -> int:
-        return self.delete_documents(self.spark.range(1).select(F.lit(document_id).alias("document_id")))
+        return self.delete_documents(self.spark.range(1).select(F.lit(document_id).alias(self.key)))
 
     def compact(self) -> int:
         """Rewrites what is live as one commit without tombstones; raises Conflict if it came too late."""
@@ -178,9 +179,9 @@ class ChunkStore:
         rows = self.spark.read.schema(whole).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/commit={n}" for n in live])
         if not gone:
             return rows
-        tombs = self.spark.read.schema("document_id string, commit string").option("basePath", f"{self.path}/gone").parquet(*[f"{self.path}/gone/commit={n}" for n in gone])
-        last = tombs.join(self._numbered(gone, "_gone_at"), "commit").groupBy("document_id").agg(F.max("_gone_at").alias("_gone_at"))
-        return rows.join(self._numbered(live, "_made_at"), "commit").join(last.withColumnRenamed("document_id", "_id"), (F.col("document_id") == F.col("_id")) & (F.col("_made_at") < F.col("_gone_at")), "left_anti")
+        tombs = self.spark.read.schema(f"{self.key} string, commit string").option("basePath", f"{self.path}/gone").parquet(*[f"{self.path}/gone/commit={n}" for n in gone])
+        last = tombs.join(self._numbered(gone, "_gone_at"), "commit").groupBy(F.col(self.key).alias("_id")).agg(F.max("_gone_at").alias("_gone_at"))
+        return rows.join(self._numbered(live, "_made_at"), "commit").join(last, (F.col(self.key) == F.col("_id")) & (F.col("_made_at") < F.col("_gone_at")), "left_anti")
 
     def read(self, version: int | None = None) -> DataFrame:
         """All chunks, of the newest version or as of an earlier one."""
