@@ -37,7 +37,8 @@ def test_index_equals_the_scan_and_opens_fewer_blocks(spark, sf_dir, index, poli
         request = RetrievalRequest(query, 3, filters=filters)
         assert hits(index.keyword_hits(None, request, policy, 6)) == hits(retrieve.keyword_hits(rows, request, policy, 6))
     few, every = index.blocks(["the"], policy, 3), index.blocks(["the"], policy, None)
-    assert 0 < few.count() < every.count()
+    # scores stop at 1, and whole chunks of "the" reach it in both texts together: all those tie
+    assert 0 < few.count() <= every.count() - (policy != "dual_context")
 
 
 def test_index_reads_the_buckets_of_the_query(index):
