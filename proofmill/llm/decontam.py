@@ -18,7 +18,7 @@ they are.
 
 The driver builds the index once for each part of the benchmark and broadcasts its arrays, about
 ten times the items' bytes; a part has at most INDEX_BYTES of items, a larger benchmark is dealt
-by item id into more parts, one pass of the corpus each, and loses nothing.
+by item id into more parts, one after another, a pass of the corpus each, and loses nothing.
 
 Words are runs of letters and digits, lower-cased; in scripts without spaces each character is
 a word. Defined cases: null or empty text matches nothing; null, empty and wordless items, and
@@ -40,7 +40,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import bounded_batches, release
+from proofmill.llm.common import Workspace, bounded_batches, release
 
 #: Least shares of an item that count as found, as fractions: whole numbers decide, not rounding.
 QUESTION, ANSWER, SHINGLE = (4, 5), (4, 5), 5
@@ -313,25 +313,38 @@ def leaks_in(indexes: list[ItemIndex], texts) -> dict:
     return best
 
 
-def _indexes(benchmark: DataFrame):
-    """The index of each broadcast-sized part of the items, dealt by item id; built here, once."""
+def _parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The items, dealt by id into parts of about INDEX_BYTES of text."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-size // INDEX_BYTES)
-    for p in range(parts):
-        index = build([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()])
-        if index:
-            yield benchmark.sparkSession.sparkContext.broadcast(index)
+    return [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p) for p in range(parts)]
+
+
+def _passes(docs: DataFrame, parts: list[DataFrame], run, schema: str, columns: list, space: Workspace):
+    """What run(shipped index) makes of docs for each part of the items. A single part is one narrow,
+    lazy pass. Of more, each is indexed, sent, passed over and written before the next, so that the
+    driver, the executors and a task hold one part at a time."""
+    for p, part in enumerate(parts):
+        index = build([tuple(r) for r in part.collect()])
+        if not index:
+            continue
+        shipped = docs.sparkSession.sparkContext.broadcast(index)
+        found = docs.select(*columns).mapInArrow(run(shipped), schema)
+        if len(parts) == 1:
+            yield found
+        else:
+            yield space.save(found, f"part-{p}")
+            shipped.destroy()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of every verified leak."""
     bounded_batches(docs.sparkSession)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for shipped in _indexes(benchmark):
 
-        def run(batches, shipped=shipped):
+    def run(shipped):
+        def each(batches):
             import pyarrow as pa
 
             for batch in batches:
@@ -342,27 +355,48 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
-        found = found.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
+        return each
+
+    found = docs.sparkSession.createDataFrame([], schema)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
+    for one in _passes(docs, _parts(benchmark), run, schema, columns, Workspace(docs.sparkSession, "leaks")):
+        found = found.unionByName(one)
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text leaks an item; a narrow pass for each part of the index."""
+    """docs without the rows whose text leaks an item: one narrow pass over docs, or, for a benchmark
+    of several parts, a pass of row numbers for each and an anti-join."""
     bounded_batches(docs.sparkSession)
+    space = Workspace(docs.sparkSession, "leaks-drop")
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    out, text = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), docs.columns.index("text")
-    for shipped in _indexes(benchmark):
-
-        def run(batches, shipped=shipped):
-            import pyarrow as pa
-
-            for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
-                    leaked = {d for d, _ in leaks_in(shipped.value, part.column(text))}
-                    yield part.take(pa.array([d for d in range(part.num_rows) if d not in leaked], pa.int64()))
-            release()
-
-        out = out.mapInArrow(run, out.schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    rows, text = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), docs.columns.index("text")
+    own = lambda df: df.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+
+    def kept(leaked: bool, at: int):
+        def run(shipped):
+            def each(batches):
+                import pyarrow as pa
+
+                for batch in batches:
+                    for k in range(0, batch.num_rows, 256):
+                        part = batch.slice(k, 256)
+                        found = {d for d, _ in leaks_in(shipped.value, part.column(at))}
+                        taken = part.take(pa.array([d for d in range(part.num_rows) if (d in found) == leaked], pa.int64()))
+                        yield taken.select([0]) if leaked else taken
+                release()
+
+            return each
+
+        return run
+
+    parts = _parts(benchmark)
+    if len(parts) < 2:
+        found = list(_passes(rows, parts, kept(False, text), rows.schema, names, space))
+        return own(found[0] if found else rows)
+    numbered = space.save(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = docs.sparkSession.createDataFrame([], "_row long")
+    for one in _passes(numbered, parts, kept(True, 1), "_row long", ["_row", names[text]], space):
+        gone = gone.unionByName(one)
+    return own(numbered.join(gone.distinct(), "_row", "left_anti"))

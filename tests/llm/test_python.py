@@ -242,6 +242,12 @@ def test_benchmark_in_parts_is_the_same(spark, sf_dir, monkeypatch):
     whole = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
     monkeypatch.setattr(decontam, "INDEX_BYTES", 2000)
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()} == whole and whole
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0")).withColumn("_row", F.lit("mine")).withColumn("part", F.lit(1))
+    left = decontam.drop_leaks(twice, items)
+    assert len(decontam._parts(items)) > 3 and left.columns == twice.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(r["doc_id"] for r in twice.collect() if r["doc_id"] not in {d for d, _ in whole})
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "PythonMapInArrow" not in plan  # every part is written before the next
 
 
 def test_token_files_equal_whole_text_encoding(spark, sf_dir):
