@@ -5,15 +5,16 @@ A word's features are the hashed UTF-8 n-grams (NGRAMS) of its lower-cased lette
 a softmax give the languages. Embeddings and layer are trained on the driver by stochastic
 gradient descent in numpy, on a bounded hash-chosen sample of labelled rows: about
 SAMPLE_PER_LANG for each of at most MAX_LANGS languages, none over SAMPLE_TEXT bytes, about
-SAMPLE_BYTES in all (these bounds are for fitting only). A fifth of the sample is held back: on it a temperature
-calibrates the scores, and the rejection score is MARGIN times the score that no more than
-REJECT of its rightly predicted texts, snippets of a few words among them, stay under (never
-over 0.5). A text like none of the languages still has a largest score, so its strength counts
-too: the mean over its features of how far a feature's logits lie apart, which stays high where
-languages mix. The least strength, for texts of fewer than LONG features and for others, is the
-one that GARBAGE of generated texts (random letters, other scripts, base64, hexadecimal) stay
-under, and no more than STRONG times what REJECT of the held-back texts stay under. Short
-garbage can be as strong as short clean texts and is then kept.
+SAMPLE_BYTES in all (these bounds are for fitting only). A further class, none of the languages, is trained beside
+them on generated texts: random letters and scripts, encoded bytes, program code, markup, log
+lines and pseudo-languages (texts of the sample whose vowels and whose consonants are swapped
+among each other). A fifth of the sample is held back: on it a temperature calibrates the scores
+of the languages, and two bounds of rejection are set, each for texts of fewer than LONG features
+and for others. One is on the log-odds of none against the best language, the other on a text's
+strength, the mean over its features of how far a feature's logits lie apart, which stays high
+where languages mix. Each takes what it needs to reject DENY of fresh generated texts, but no more
+than leaves all but REJECT of the held-back texts, snippets of a few words among them, a
+margin inside. Short garbage can be like short clean texts and is then kept.
 
 Prediction reads whole texts. As embedding and layer are linear, a feature has fixed logits,
 a word the sum of its features', a text the mean; workers cache words within a bound.
@@ -28,6 +29,7 @@ by identify and kept by keep_identified.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from pyspark.sql import DataFrame
@@ -39,10 +41,25 @@ SAMPLE_PER_LANG, SAMPLE_TEXT, SAMPLE_BYTES, MAX_LANGS = 500, 1 << 16, 64 << 20,
 BUCKETS, DIM, NGRAMS, EPOCHS, RATE, BATCH = 1 << 15, 16, (2, 3, 4), 6, 0.6, 32
 #: Small samples are passed over more often, up to this many steps.
 LEAST_STEPS = 800
-REJECT, MARGIN = 0.001, 0.6
+#: Margins of the log-odds of short and of long texts.
+REJECT, MARGINS, DENY = 0.001, (2.0, 0.5), 0.98
 GARBAGE, STRONG, LONG = 0.95, 0.9, 100
+#: Generated texts of each kind that the class of no language learns from.
+KINDS, GARBLED = 150, 100
 #: First and last letter of scripts for generated texts.
 SCRIPTS = [(0x61, 0x7A), (0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x3042, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+#: Names of program code, and forms of its lines, of markup, of logs and of data: A is a name, N a number, W a word, ~ an indent.
+NAMES = (
+    "i", "j", "x", "idx", "tmp", "buf", "len", "str", "obj", "arr", "val", "key", "node", "ptr", "err", "ctx", "cfg", "args", "self", "this", "data", "item", "list", "map",
+    "func", "int", "param", "result", "value", "index", "count", "name", "type", "id", "path", "file", "line", "size", "test", "util", "http", "url", "json", "xml", "api", "db", "sql",
+)
+FORMS = (
+    ["~def A(A, A=N):", "~for A in range(N):", "~if A is not None and A > N:", "~return A.A(A)", "import A.A as A", "from A import A", "~self.A = A[N]", "class A(A):", "~raise ValueError(A)", "~with open(A) as A:", "~# W W W", "~A = [A for A in A if A]"],
+    ["~const A = A.A(A => A);", "~if (A === N) { return A; }", "function A(A, A) {", "~var A = new A();", "~console.log(A);", "public static void A(String[] A) {", "~private int A = N;", "#include <A.h>", "~printf(A, A);", "~}", "~case N: A(); break;", "~while (A < A.length) A++;", "~// W W", "~export default A"],
+    ['<div class="A A"><span id="A">W</span></div>', '<a href="http://A.A/A?A=N">W W</a>', "<td>N</td><td>W</td>", '<link rel="stylesheet" href="/A/A.css">', '<script src="A.js"></script>', "<ul><li>W</li><li>W</li></ul>", ".A { margin: Npx; color: #N; }", '<meta name="A" content="W">', "&nbsp;&amp;", "<br/>", '<img src="A.png" alt="W">', '<input type="text" name="A">'],
+    ["N-N-N N:N:N,N ERROR [A-N] org.A.A.A - W W A=N", 'N.N.N.N - - [N/Jan/N:N:N:N +N] "GET /A/A HTTP/1.1" N N', "N:N:N INFO A: A started in N ms", "[WARN] A.A(N): A", "Traceback (most recent call last):", '~File "/A/A.py", line N, in A', "DEBUG A - A=A, A=N", "at A.A.A(A.java:N)"],
+    ['{"A": N, "A": "W", "A": [N, N]}', "A;N;W;N", "A=N", "N,W,N,A", "A: A", "SELECT A, A FROM A WHERE A = N AND A LIKE W;", "INSERT INTO A VALUES (N, W);", "[A.A]", "export A=/A/A"],
+)
 CACHE_WORDS, CACHE_CHARS = 400_000, 40
 FOLDS, HELD_OUT = 4, 2
 
@@ -102,7 +119,7 @@ def garbage(texts: list[bytes], seed: int) -> list[list[bytes]]:
     letters += [[chr(c) for c in range(a, z + 1)] for a, z in SCRIPTS]
     drawn = lambda own: "".join(own[int(i)] for i in rng.integers(0, len(own), int(rng.integers(2, 10)))).encode()
     out = []
-    for k in range(200):
+    for k in range(GARBLED):
         for size in (int(rng.integers(1, 5)), int(rng.integers(5, 60))):
             script = letters[1 + k % len(SCRIPTS)]
             out += [[drawn(letters[0]) for _ in range(size)], [drawn(script) for _ in range(size)]]
@@ -110,13 +127,55 @@ def garbage(texts: list[bytes], seed: int) -> list[list[bytes]]:
     return out
 
 
+def written_lines(rng, words: list[str]) -> list[list[bytes]]:
+    """Generated program code, markup, log lines and data, of short names and of the texts' words."""
+    pick = lambda own: own[int(rng.integers(0, len(own)))]
+    parts = ["".join(pick("bcdfghklmnprstvwxz") + pick("aeiou") * int(rng.integers(0, 2)) for _ in range(int(rng.integers(1, 4)))) for _ in range(200)]
+
+    def name() -> str:
+        kind, own = int(rng.integers(0, 5)), pick(NAMES if rng.random() < 0.6 else parts)
+        other = pick(words if rng.random() < 0.4 else NAMES)
+        return (own, f"{own}_{other}", own + other.capitalize(), f"{own}.{other}", own.upper())[kind]
+
+    def line(forms: list[str]) -> str:
+        return re.sub("[ANW]", lambda m: name() if m[0] == "A" else str(int(rng.integers(0, 10**int(rng.integers(1, 7))))) if m[0] == "N" else pick(words), pick(forms).replace("~", " " * int(rng.integers(0, 9))))
+
+    return ["\n".join(line(forms) for _ in range(int(rng.integers(1, 25)))).encode().split() for forms in FORMS for _ in range(KINDS)]
+
+
+def swapped(texts: list[bytes], rng) -> list[list[bytes]]:
+    """Texts of pseudo-languages: vowels swapped among each other, consonants among each other."""
+    out = []
+    for _ in range(4 * KINDS if texts else 0):
+        table = bytearray(range(256))
+        for own in (b"aeiou", b"bcdfghjklmnpqrstvwxyz"):
+            for old, new in zip(own, rng.permutation(bytearray(own)).tolist(), strict=True):
+                table[old], table[old - 32] = new, new - 32
+        words = texts[int(rng.integers(0, len(texts)))].translate(bytes(table)).split()
+        size = int(rng.integers(1, 60 if rng.random() < 0.7 else 400))
+        at = int(rng.integers(0, max(1, len(words) - size + 1)))
+        out.append(words[at : at + size])
+    return out
+
+
+def negatives(texts: list[bytes], seed: int) -> list[list[bytes]]:
+    """Words of generated texts in none of the languages."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    words = [w for t in texts[:200] for w in re.findall("[a-z]{2,12}", t[:2000].decode("utf-8", "replace").lower())] or ["a"]
+    found = garbage(texts, seed) + written_lines(rng, words) + swapped(texts, rng)
+    return [words for words in found if any(letter_runs(w) for w in words)]
+
+
 def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
-    """samples: (key, lang, text); the key decides what is held back for calibration."""
+    """samples: (key, lang, text); the key decides what is held back for calibration. The last column
+    of logits and bias is the class of no language."""
     import numpy as np
 
     langs = sorted({lang for _, lang, _ in samples})
     if not langs:
-        return {"langs": [], "logits": np.zeros((BUCKETS, 0), np.float32), "apart": np.zeros(BUCKETS, np.float32), "temperature": 1.0, "reject": 0.0, "least": (0.0, 0.0)}
+        return {"langs": [], "logits": np.zeros((BUCKETS, 0), np.float32), "apart": np.zeros(BUCKETS, np.float32), "temperature": 1.0, "most": (np.inf, np.inf), "least": (0.0, 0.0)}
     rng = np.random.default_rng(seed)
     parts = {False: ([], []), True: ([], [])}
     for key, lang, text in sorted(samples):
@@ -129,8 +188,12 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
             examples.append(words[at : at + size])
             labels.append(langs.index(lang))
     (examples, labels), (kept, kept_labels) = parts[False], parts[True]
+    texts = [text for _, _, text in sorted(samples)]
+    if examples:
+        others = negatives(texts, seed + 1)
+        examples, labels = examples + others, labels + [len(langs)] * len(others)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    layer, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    layer, bias = np.zeros((DIM, len(langs) + 1), np.float32), np.zeros(len(langs) + 1, np.float32)
     if examples:
         indices, shares, offsets = _rows(examples)
         y = np.array(labels)
@@ -155,30 +218,50 @@ def train(samples: list[tuple[int, str, bytes]], seed: int = 7) -> dict:
                 bias -= rate * p.mean(0)
                 np.add.at(emb, ids, -rate * 4 * share[:, None] * back[row])
     logits = emb @ layer
-    model = {"langs": langs, "logits": logits.astype(np.float32), "bias": bias, "temperature": 1.0, "reject": 0.0, "least": (0.0, 0.0)}
-    model["apart"] = np.abs(logits - logits.mean(1, keepdims=True)).max(1).astype(np.float32)
+    model = {"langs": langs, "logits": logits.astype(np.float32), "bias": bias, "temperature": 1.0, "most": (np.inf, np.inf), "least": (0.0, 0.0)}
+    model["apart"] = np.abs(logits[:, :-1] - logits[:, :-1].mean(1, keepdims=True)).max(1).astype(np.float32)
     if kept:
-        indices, shares, offsets = _rows(kept)
-        z = np.zeros((len(kept), len(langs)), np.float32)
-        np.add.at(z, np.repeat(np.arange(len(kept)), np.diff(offsets)), logits[indices] * shares[:, None])
-        z, y = z + bias, np.array(kept_labels)
+        z, y = scores(model, kept), np.array(kept_labels)
 
         def soft(t):
-            e = np.exp((z - z.max(1, keepdims=True)) / t)
+            e = np.exp((z[:, :-1] - z[:, :-1].max(1, keepdims=True)) / t)
             return e / e.sum(1, keepdims=True)
 
         grid = np.geomspace(0.2, 5, 41)
         loss = [-np.log(soft(t)[np.arange(len(y)), y] + 1e-9).mean() for t in grid]
         model["temperature"] = float(grid[int(np.argmin(loss))])
-        p = soft(model["temperature"])
-        right = np.sort(p.max(1)[p.argmax(1) == y])
-        if len(right):
-            model["reject"] = float(min(0.5, right[int(REJECT * len(right))] * MARGIN))
-        clean = [words for words, good in zip(kept, p.argmax(1) == y, strict=True) if good]
-        model["least"] = least_strength(model["apart"], clean, garbage([text for _, _, text in sorted(samples)], seed + 1))
+        good = z[:, :-1].argmax(1) == y
+        clean, fresh = [w for w, g in zip(kept, good, strict=True) if g], negatives(texts, seed + 2)
+        model["most"] = most_odds(model, clean, fresh)
+        model["least"] = least_strength(model["apart"], clean, garbage(texts, seed + 2))
     return model
 
 
+def scores(model: dict, examples: list[list[bytes]]):
+    """The classes' scores of each example, the last that of no language."""
+    import numpy as np
+
+    indices, shares, offsets = _rows(examples)
+    z = np.zeros((len(examples), model["logits"].shape[1]), np.float32)
+    np.add.at(z, np.repeat(np.arange(len(examples)), np.diff(offsets)), model["logits"][indices] * shares[:, None])
+    return z + model["bias"]
+
+
+def most_odds(model: dict, clean: list[list[bytes]], noise: list[list[bytes]]) -> tuple[float, float]:
+    """The greatest log-odds of no language against the best one, of short and of long texts."""
+    import numpy as np
+
+    def split(examples):
+        z = scores(model, examples)
+        odds, long = z[:, -1] - z[:, :-1].max(1), np.array([len(features(w)[0]) >= LONG for w in examples])
+        return [np.sort(odds[long == side]) for side in (False, True)]
+
+    return tuple(
+        float(max(good[int((1 - REJECT) * (len(good) - 1))] + margin, bad[int((1 - DENY) * len(bad))])) if len(good) and len(bad) else np.inf
+        for margin, good, bad in zip(MARGINS, split(clean), split(noise), strict=True)
+    )
+
+
 def least_strength(apart, clean: list[list[bytes]], noise: list[list[bytes]]) -> tuple[float, float]:
     """The least strength of short and of long texts."""
     import numpy as np
@@ -217,7 +300,7 @@ class Predictor:
         import numpy as np
 
         self.cache: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 14, len(self.model["langs"]) + 2))
+        self.table = np.zeros((1 << 14, self.model["logits"].shape[1] + 2))
 
     def sums(self, words: list[bytes]):
         """A row for each word: its features' summed logits and strengths, and their number."""
@@ -255,12 +338,13 @@ class Predictor:
             total = total + self.sums([w for w in words if w not in cache]).sum(0)
         if not total[-1]:
             return "und", 0.0, False
-        z = (total[:-2] / total[-1] + self.model["bias"]) / self.model["temperature"]
-        p = np.exp(z - z.max())
+        z = total[:-2] / total[-1] + self.model["bias"]
+        own = z[:-1] / self.model["temperature"]
+        p = np.exp(own - own.max())
         p /= p.sum()
-        best = int(p.argmax())
-        strong = total[-2] / total[-1] >= self.model["least"][bool(total[-1] >= LONG)]
-        return self.model["langs"][best], float(min(1.0, p[best])), bool(p[best] >= self.model["reject"] and strong)
+        best, long = int(p.argmax()), bool(total[-1] >= LONG)
+        accepted = z[-1] - z[:-1].max() <= self.model["most"][long] and total[-2] / total[-1] >= self.model["least"][long]
+        return self.model["langs"][best], float(min(1.0, p[best])), bool(accepted)
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
