@@ -4,11 +4,12 @@ Paragraphs are a text's lines and, as notices are wrapped, windows of two stride
 the lines, one at each stride; a stride holds the longest template and a quarter more, so a wrapped
 notice lies whole inside a window. Words are ASCII letter and digit runs of the lower-cased text,
 so comment marks in front of lines do not part them. A multinomial logistic regression over word 1- to 3-grams is trained on the driver on the
-templates below (whole, cut, with words lost, amid corpus words) against paragraphs of a bounded
+templates below (whole, cut, with words lost, amid corpus words), on grants of other licences (OTHERS,
+and FORMS under made-up names) as the class `unknown`, and, as the class `none`, on paragraphs of a bounded
 hash-chosen sample of the corpus (SAMPLE_DOCS documents, for fitting only) and look-alike
-sentences. Its features are n-grams of the templates that are rare in the sample. A temperature
-calibrates the probabilities and the unknown class takes what stays under a score that at most
-UNKNOWN_RATE of the held-back negatives reach.
+sentences. Its features are n-grams of templates and grants that are rare in the sample. A
+temperature calibrates the probabilities; a known family must reach a score, and all licences
+together (what is not `none`) another, that at most UNKNOWN_RATE of the held-back negatives reach.
 
 Scoring is built-in functions only and row by row, without a shuffle. A family is confirmed
 when a template of it has at least CONFIRM of its word pairs in the paragraph; the gate words
@@ -18,7 +19,8 @@ text finds the texts and paragraphs to score, and loses none.
 Result for each row: license (the family of the confirmed paragraph with the highest overlap,
 then score: a line of a wrapped notice can confirm a sibling family, its window does so better;
 a template of at most SHORT pairs, as that of an SPDX line is, must be there whole;
-`unknown` if a paragraph names a licence and none is confirmed; else `none`),
+`unknown` if none is confirmed and some paragraph's probability of being a licence of any kind reaches
+its bound; else `none`),
 template, score, overlap, n_paragraphs (lines that hold a gate word). Defined cases: null or
 empty text is `none`; a very long text is scanned whole; ties go to the greater overlap, score and
 then template text; repeated rows stay; extra columns are kept, those named like a result column are
@@ -84,12 +86,32 @@ LOOK_ALIKES = [
     "He renewed his driving license last week", "The license plate was stolen", "All rights reserved", "Copyright 2020 by the authors",
     "The warranty of the car has expired", "She works for the public library", "Version 2 of the document was better", "The new version 3 is out",
     "Ask the general public for permission to use the road", "The Apache helicopter landed", "A creative person in the commons",
-    "The software was sold under a secret agreement", "Students of MIT released a study", "Licensed under the terms of our own agreement",
-    "Released under a custom license", "This work is described below", "The foundation gave free copies to any person", "This file is large",
+    "The software was sold under a secret agreement", "Students of MIT released a study", "This work is described below", "The foundation gave free copies to any person", "This file is large",
     "A fishing license is hereby granted to the owner", "The source of the river is subject to debate",
+    "He lost his driving license", "The bar had a license to sell beer until midnight", "She applied for a business license in May", "The pilot showed his licence at the gate",
+    "Their marriage licence was signed in the church", "The city will license street vendors again", "A license fee is due each year", "He was licensed to practise medicine in two states",
+    "Students may use the library free of charge", "The terms of the peace were modified under pressure", "Any use of the old road is permitted until winter", "The band released its new record under another name",
+    "Without permission nobody may copy the key of the house", "The bridge comes with no warranty said the builder", "The redistribution of land was governed by a new law", "You may not enter the work of others in the contest",
 ]
-#: Words that name a licence.
+#: Grants of licences without a template here.
+OTHERS = [
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "Distributed under the Boost Software License, Version 1.0", "This is free software; you can redistribute it under the terms of the Artistic License 2.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1", "This database is made available under the Open Database License",
+    "Licensed under the terms of our own agreement", "Use of this software is governed by the license agreement that came with it", "Released under a custom license",
+    "You may use, copy and modify this code under the terms of the license below", "All use is subject to the terms of the enclosed end user license agreement",
+    "This material is licensed to you under the following terms and conditions", "See the file LICENSE for the terms under which this software may be used",
+]
+#: Grants under a made-up name N.
+FORMS = [
+    "Licensed under the N License", "Licensed under the N Source License, version 2", "Released under the N Public Licence", "SPDX-License-Identifier: LicenseRef-N", "This work is licensed under a N License",
+    "This program is distributed under the terms of the N License", "Use of this source code is governed by the N license that can be found in the LICENSE file", "made available under the terms of the N Community License",
+]
+#: Words that name a licence; every paragraph with one is scored.
 NAMES = ("licence", "licenced", "license", "licensed")
+#: A word of grants that name none.
+GRANTS = ("redistribute",)
 _WORD = r"[a-z0-9]+"
 
 
@@ -108,12 +130,12 @@ def grams(words: list[str], most: int = 3) -> set[str]:
     return {" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1)}
 
 
-_TELLING = {*NAMES, "gnu", "copyright", "permission", "redistribution"}
-_SHOWN = [grams(words_of(t), 2) for _, t in TEMPLATES]
+_TELLING = {*NAMES, "granted", "redistribute", "gnu", "copyright", "permission", "redistribution"}
+_SHOWN = [grams(words_of(t), 2) for t in [*(t for _, t in TEMPLATES), *OTHERS]]
 
 
 def shows(words: list[str]) -> bool:
-    """Whether words hold a template's grams, so that they are no example of licence-free text."""
+    """Whether words hold a template's or a grant's grams, so that they are no example of licence-free text."""
     return bool(_TELLING & set(words)) and any(len(t & own) >= CONFIRM * len(t) for own in [grams(words, 2)] for t in _SHOWN)
 
 
@@ -133,22 +155,30 @@ def train(paragraphs: list[str]) -> dict:
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    families = sorted({f for f, _ in TEMPLATES}) + ["unknown"]
+    families = sorted({f for f, _ in TEMPLATES}) + ["unknown", "none"]
+    none = len(families) - 1
     pairs = [(f, words_of(t)) for f, t in TEMPLATES]
     sample = [w for w in (words_of(p) for p in paragraphs) if w and not shows(w)]
     filler = [w for words in sample for w in words] or ["the", "a", "of", "and"]
-    examples: list[tuple[set[str], int]] = [(grams(w), len(families) - 1) for w in sample]
-    examples += [(grams(words_of(t)), len(families) - 1) for t in LOOK_ALIKES for _ in range(5)]
-    for family, words in pairs:
-        for k in range(24):
-            kept = [w for w in words if k < 4 or rng.random() > 0.08]
-            pad = lambda: [filler[int(i)] for i in rng.integers(0, len(filler), int(rng.integers(0, 12)))]
-            examples.append((grams(kept if k < 2 else pad() + kept + pad()), families.index(family)))
+    some = lambda most: [filler[int(i)] for i in rng.integers(0, len(filler), int(rng.integers(0, most)))]
+    examples: list[tuple[set[str], int]] = [(grams(w), none) for w in sample]
+    examples += [(grams(some(12) * (k > 0) + words_of(t) + some(12) * (k > 0)), none) for t in LOOK_ALIKES for k in range(5)]
+    examples += [(grams(some(12)), none) for _ in range(40)]  # also where the corpus has few paragraphs
+    stray = [w for _, words in pairs for w in words] + [w for t in OTHERS for w in words_of(t)]
+    for k in range(2 * len(stray)):  # a word or two of a notice are no notice
+        examples.append((grams([*some(12), stray[k % len(stray)], *some(6), *([stray[int(rng.integers(0, len(stray)))]] if k % 2 else []), *some(12)]), none))
+    names = lambda t: words_of(re.sub(r"\bN\b", lambda _: " ".join(some(3)) or "acme", t))
+    grants = [(f, words) for f, words in pairs for _ in range(24)]
+    grants += [("unknown", words_of(t)) for t in OTHERS for _ in range(24)] + [("unknown", names(t)) for t in FORMS for _ in range(24)]
+    for k, (family, words) in enumerate(grants):
+        kept = [w for w in words if k % 24 < 4 or rng.random() > 0.08]
+        examples.append((grams(kept if k % 24 < 2 else some(12) + kept + some(12)), families.index(family)))
     seen: dict[str, int] = {}
     for own, _ in examples[: len(sample)]:
         for g in own:
             seen[g] = seen.get(g, 0) + 1
-    features = sorted(g for g in set().union(*(grams(w) for _, w in pairs)) if seen.get(g, 0) <= COMMON * max(1, len(sample)))
+    shown = [w for _, w in pairs] + [words_of(t) for t in OTHERS] + [words_of(re.sub(r"\bN\b", "", t)) for t in FORMS] + [words_of(t) for t in LOOK_ALIKES]
+    features = sorted(g for g in set().union(*(grams(w) for w in shown)) if seen.get(g, 0) <= max(3, COMMON * len(sample)))
     at = {g: k for k, g in enumerate(features)}
     x = np.zeros((len(examples), len(features)), np.float32)
     for i, (own, _) in enumerate(examples):
@@ -159,6 +189,7 @@ def train(paragraphs: list[str]) -> dict:
     weights, bias = np.zeros((len(features), len(families)), np.float32), np.zeros(len(families), np.float32)
     counts = np.bincount(y, minlength=len(families))
     share = (1 / counts[y]).astype(np.float32)
+    share[y == none] *= none  # as much as all licences together
     share[held] = 0
     share /= share.sum()
 
@@ -177,9 +208,9 @@ def train(paragraphs: list[str]) -> dict:
     grid = np.geomspace(0.3, 4, 25)
     loss = [-np.log(soft(z[held] / t)[np.arange(held.sum()), y[held]] + 1e-9).mean() for t in grid] if held.any() else [0]
     temperature = float(grid[int(np.argmin(loss))])
-    known = soft(z / temperature)[:, :-1].max(1)
-    negatives = np.sort(known[y == len(families) - 1])
-    reject = float(min(0.9, max(0.5, negatives[int((1 - UNKNOWN_RATE) * (len(negatives) - 1))])))
+    p = soft(z / temperature)
+    known, licensed = p[:, :-2].max(1), 1 - p[:, -1]
+    bound = lambda v: float(min(0.9, max(0.5, np.sort(v[y == none])[int((1 - UNKNOWN_RATE) * ((y == none).sum() - 1))])))
     single: dict[str, int] = {}
     for words in sample:
         for w in set(words):
@@ -187,7 +218,7 @@ def train(paragraphs: list[str]) -> dict:
     kept = [k for k in range(len(features)) if weights[k].any()]
     gate = gate_words(pairs, single, COMMON * max(1, len(sample)))
     table = {features[k]: [round(float(v), 4) for v in weights[k]] for k in kept}
-    return {"families": families, "weights": table, "bias": [float(b) for b in bias], "temperature": temperature, "reject": reject, "gate": gate}
+    return {"families": families, "weights": table, "bias": [float(b) for b in bias], "temperature": temperature, "reject": bound(known), "licensed": bound(licensed), "gate": gate}
 
 
 def gate_words(pairs: list[tuple[str, list[str]]], counts: dict[str, int], common: float) -> list[str]:
@@ -196,7 +227,7 @@ def gate_words(pairs: list[tuple[str, list[str]]], counts: dict[str, int], commo
     Chosen greedily, corpus-rare words first, until so few pairs of each template are without
     a chosen word that they alone cannot confirm it.
     """
-    chosen = set(NAMES)
+    chosen = {*NAMES, *GRANTS}
     open_ = [{g for g in grams(w, 2) if " " in g} for _, w in pairs]
     need = [CONFIRM * len(p) for p in open_]
     while True:
@@ -233,9 +264,10 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def _known_score(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds _scored, for each paragraph in _words a struct(score, family): the calibrated
-    probability of the best known family. One column a step, so no step is computed twice."""
-    families, known = model["families"], len(model["families"]) - 1
+    """Adds _scored, for each paragraph in _words a struct(score, family, licensed): the calibrated
+    probability of the best known family, and that of any licence. One column a step, so no step is
+    computed twice."""
+    families, known = model["families"], len(model["families"]) - 2
     table = F.from_json(F.lit(json.dumps(model["weights"])), "map<string,array<double>>")
     keys = F.from_json(F.lit(json.dumps(sorted(model["weights"]))), "array<string>")
     names, bias = F.array(*[F.lit(f) for f in families]), F.array(*[F.lit(b) for b in model["bias"]])
@@ -249,11 +281,11 @@ def _known_score(docs: DataFrame, model: dict) -> DataFrame:
     best = F.transform(
         "_powers",
         lambda e: F.struct(
-            F.aggregate(e, F.lit(0.0), lambda a, b: a + b).alias("all"),
+            F.aggregate(e, F.lit(0.0), lambda a, b: a + b).alias("all"), F.element_at(e, -1).alias("none"),
             F.array_max(F.transform(F.slice(e, 1, known), lambda v, i: F.struct(v.alias("v"), (-i).alias("order")))).alias("top"),
         ),
     )
-    score = F.transform("_best", lambda b: F.struct((b["top"]["v"] / b["all"]).alias("score"), F.element_at(names, (F.lit(1) - b["top"]["order"]).cast("int")).alias("family")))
+    score = F.transform("_best", lambda b: F.struct((b["top"]["v"] / b["all"]).alias("score"), F.element_at(names, (F.lit(1) - b["top"]["order"]).cast("int")).alias("family"), (F.lit(1.0) - b["none"] / b["all"]).alias("licensed")))
     out = docs
     for name, column in (("_hits", hits), ("_sums", sums), ("_z", logits), ("_tops", tops), ("_powers", powers), ("_best", best), ("_scored", score)):
         out = out.withColumn(name, column)
@@ -291,10 +323,10 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     ranked = F.transform("_confirmed", lambda p: F.struct(p["c"]["overlap"].alias("overlap"), p["score"].alias("score"), p["c"].alias("c"), p["family"].alias("family")))
     best = F.array_max(F.filter(ranked, lambda p: p["overlap"].isNotNull()))
     staged = staged.withColumn("_sure", sure).withColumn("_confirmed", compared).withColumn("_best", best)
-    names_one = F.exists("_words", lambda w: F.arrays_overlap(w, F.array(*[F.lit(x) for x in NAMES])))
+    licensed = F.exists("_scored", lambda p: p["licensed"] >= model["licensed"])
     return staged.withColumns(
         {
-            "license": F.when(F.col("_best").isNotNull(), F.col("_best.family")).when(names_one, F.lit("unknown")).otherwise(F.lit("none")),
+            "license": F.when(F.col("_best").isNotNull(), F.col("_best.family")).when(licensed, F.lit("unknown")).otherwise(F.lit("none")),
             "template": F.col("_best.c.template"),
             "score": F.coalesce(F.col("_best.score"), F.lit(0.0)),
             "overlap": F.coalesce(F.col("_best.c.overlap"), F.lit(0.0)),

@@ -179,7 +179,7 @@ def test_licenses(spark):
     report = licenses.license_report(docs)
     no_python(report)
     got = {r["doc_id"]: r["license"] for r in report.collect()}
-    assert [got[k] for k in range(6)] == ["none", "none", "unknown", "none", "unknown", "none"]
+    assert [got[k] for k in range(6)] == ["none", "none", "none", "none", "unknown", "none"]
     right = sum(got[100 + k] == f for k, (f, _) in enumerate(licenses.TEMPLATES))
     assert right >= len(licenses.TEMPLATES) - 3
     assert report.count() == len(plain) + len(templates) + 1

@@ -37,13 +37,14 @@ def plain_license(text, model):
     units = list(lines)
     if lines and "\n" in text:
         units += [w for w in licenses.windows(split(text)) if set(w) & set(model["gate"])]
-    best = None
+    best, licensed = None, False
     for words in units:
         own = licenses.grams(words) & set(model["weights"])
         z = sum((np.array(model["weights"][g]) for g in own), np.zeros(len(model["families"]))) / np.sqrt(max(1, len(own)))
         z = (z + np.array(model["bias"])) / model["temperature"]
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-        k = int(p[:-1].argmax())
+        licensed = licensed or 1 - p[-1] >= model["licensed"]
+        k = int(p[:-2].argmax())
         if p[k] < model["reject"]:
             continue
         pairs = licenses.grams(words, 2)
@@ -52,8 +53,7 @@ def plain_license(text, model):
             share = len(want & pairs) / len(want)
             if family == model["families"][k] and share >= (1 if len(want) <= licenses.SHORT else licenses.CONFIRM):
                 best = max(best or (0, 0, ""), (share, round(float(p[k]), 6), family))
-    named = any(set(licenses.NAMES) & set(w) for w in units)
-    return (best[2], best[0], best[1], len(lines)) if best else ("unknown" if named else "none", 0.0, 0.0, len(lines))
+    return (best[2], best[0], best[1], len(lines)) if best else ("unknown" if licensed else "none", 0.0, 0.0, len(lines))
 
 
 HELD_OUT = [  # phrasings that are no template
@@ -62,6 +62,8 @@ HELD_OUT = [  # phrasings that are no template
     ("cc-by-sa", "Text of this page: licensed under a Creative Commons Attribution-ShareAlike 4.0 International License unless noted"), ("mit", "# SPDX-License-Identifier: MIT"),
     ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("gpl-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */"), ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
     ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("unknown", "Permission is granted to anyone to use this software for any purpose and to redistribute it freely, subject to the following restrictions"), ("unknown", "Released under the Zorp Permissive Licence, see COPYING"),
+    ("none", "He renewed his driving license last week."), ("none", "Her hunting licence ran out in the spring and she never asked for another"), ("none", "The factory was licensed to build trucks for the army"),
     ("unknown", "Licensed under the Frobnicate Source License"), ("unknown", "SPDX-License-Identifier: LicenseRef-Acme"), ("none", "The committee met again on Friday and nobody was late"),
 ]
 
