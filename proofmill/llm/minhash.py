@@ -11,13 +11,16 @@ fewer words the whole sequence is the one shingle. Steps:
    is shipped once for SPREAD of its leaves, which stream past it. Links on full sets give
    components.
 3. A bucket of three or more whose classes are still in several components may hide a link that
-   does not touch its centre. Its classes are dealt into chunks of about CHUNK classes and
-   CHUNK_ITEMS shingles, those of its largest component into chunks of their own, which need not
-   meet each other. Two chunks meet in one task, which counts what their full sets share, and
-   only links come out, no more than join the task's classes: never a candidate pair. Buckets
-   of the same classes are settled once. So no link between candidates is lost; what grows with
-   the square of a group that is neither linked nor parted by its bands is arithmetic inside
-   tasks of bounded size.
+   does not touch its centre. Among all classes of such buckets an exact prefix filter finds the
+   pairs that are left: two sets at the threshold share a shingle of their prefixes, which are the
+   n - ceil(t * n) + 1 rarest shingles of each, counted among these classes. Passages that very many of
+   them hold come last in that order, so classes meet only where they share rare shingles. The
+   classes of a prefix shingle are dealt into chunks of about CHUNK classes and CHUNK_ITEMS
+   shingles, those of its largest component into chunks of their own, which need not meet each
+   other. Two chunks meet in one task, which counts what their full sets share, and only links
+   come out, no more than join the task's classes: never a candidate pair. Groups of the same
+   classes are settled once. So no link between candidates is lost, and sets are shipped by shared
+   rare shingles, not by the square of a bucket.
 
 The chance that a pair at the threshold shares no bucket is below 1e-6 (see `banding`).
 
@@ -31,7 +34,7 @@ the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.llm.common import Workspace, partitions, release
@@ -236,16 +239,46 @@ def cell_links(comps, sides, sets, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """node, n, component of the classes in buckets of three or more that hold several components."""
+    per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    buckets = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("size")).where("size > 2 and parts > 1")
+    return members.join(buckets.select("key"), "key", "left_semi").select("node", "n", "component").distinct()
+
+
+def prefixes(space: Workspace, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, node, n, component: the prefix shingles of nodes' sets that other nodes hold too."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                items = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+                for low in range(0, len(items), 1 << 16):
+                    part = items[low : low + (1 << 16)]
+                    same = [pa.array(np.full(len(part), batch.column(c)[k].as_py(), np.int64)) for c in range(3)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["node", "n", "component", "key"])
+
+    held = space.save(nodes.join(sets, "node").select("node", "n", "component", "items").mapInArrow(run, "node long, n long, component long, key long"), "held")
+    shared = space.save(held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")  # others are in one set alone
+    own = Window.partitionBy("node")
+    ordered = held.join(shared, "key").withColumn("_r", F.row_number().over(own.orderBy("df", "key"))).withColumn("_shared", F.count(F.lit(1)).over(own))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    return ordered.where(F.col("_r") <= length - (F.col("n") - F.col("_shared"))).select("key", "node", "n", "component")
+
+
 def _rest(space: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) inside mixed buckets that star edges did not show. members: key, node, n, component."""
-    marks = [F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("mark_2")]
+    """Links (u, v) between members (key, node, n, component) of one key and several components."""
+    marks = [F.bit_xor(F.xxhash64("node")).alias("mark"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("mark_2")]
     per = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("items"), *marks)
     most = F.max(F.struct("rows", "items", "component"))
     marks = [F.bit_xor("mark").alias("mark"), F.sum("mark_2").alias("mark_2")]
     buckets = per.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("size"), F.sum("items").alias("items"), most.alias("big"), *marks)
     chunks = lambda n, items: F.greatest(F.lit(1), F.ceil(n / CHUNK), F.ceil(items / CHUNK_ITEMS)).cast("int")
     split = F.struct("key", F.col("big.component").alias("big"), chunks(F.col("big.rows"), F.col("big.items")).alias("c"), chunks(F.col("size") - F.col("big.rows"), F.col("items") - F.col("big.items")).alias("d"))
-    mixed = buckets.where("size > 2 and parts > 1").groupBy("size", "items", "mark", "mark_2").agg(F.min(split).alias("one"))  # the same classes once
+    mixed = buckets.where("parts > 1").groupBy("size", "items", "mark", "mark_2").agg(F.min(split).alias("one"))  # the same classes once
     mixed = space.save(mixed.select("one.*"), "mixed")
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("component") == F.col("big"), F.col("c")).otherwise(F.col("d")).cast("long")).cast("int")
     rows = members.join(mixed, "key").withColumn("_big", F.col("component") == F.col("big")).withColumn("chunk", F.when(F.col("_big"), own).otherwise(F.col("c") + own))
@@ -301,10 +334,12 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = space.save(_confirm(space, sets, stars, percent), "links")
     found = space.save(components(space, links, "first"), "components")
     placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    more = space.save(_rest(space, placed, sets, percent), "more")
+    mixed = space.save(_mixed(placed), "mixed-nodes")
+    rare = space.save(prefixes(space, mixed, sets, percent), "prefixes")
+    more = space.save(_rest(space, rare, sets, percent), "more")
     if more.limit(1).count():
         found = space.save(components(space, links.unionByName(more), "second"), "components-2")
-    for done in ("members", "stars", "sets", "links", "buckets", "centers"):
+    for done in ("members", "stars", "sets", "links", "buckets", "centers", "held", "shared", "prefixes", "mixed", "mixed-nodes"):
         space.drop(done)
     by_set = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = hashed.select("doc_id", "n", "set_hash").join(by_set, "set_hash", "left")

@@ -186,3 +186,28 @@ def test_runs_take_batches_in_any_order_and_grow_by_what_is_new(spark, docs):
 def test_line_dedup_is_native(spark, docs):
     plan = linededup.line_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapIn" not in plan
+
+
+@pytest.mark.parametrize("many", [3000, 12_000])
+def test_unlinked_classes_of_one_bucket_do_not_meet(spark, many):
+    """What is shipped grows with the links of a bucket, not with the square of its classes."""
+    import numpy as np
+
+    from proofmill.llm import minhash
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(-(1 << 62), 1 << 62, 50)  # a passage that every class holds
+    rows, pairs = [], set()
+    for node in range(0, many, 2):
+        own = rng.integers(-(1 << 62), 1 << 62, 60)
+        twin = np.concatenate([own[:55], rng.integers(-(1 << 62), 1 << 62, 5)]) if node % 300 == 0 else rng.integers(-(1 << 62), 1 << 62, 60)
+        pairs |= {(node, node + 1)} if node % 300 == 0 else set()
+        rows += [(n, np.sort(np.concatenate([common, x]).astype("<i8").view("<u8")).tobytes()) for n, x in ((node, own), (node + 1, twin))]
+    sets = spark.createDataFrame(rows, "node long, items binary")
+    members = sets.select(F.lit(7).cast("long").alias("key"), "node", F.lit(110).cast("long").alias("n"), F.col("node").alias("component"))
+    space = minhash.Workspace(spark, "rest")
+    mixed = minhash._mixed(members)
+    assert mixed.count() == many
+    rare = space.save(minhash.prefixes(space, mixed, sets, 85), "prefixes")
+    assert rare.count() <= 2 * 17 * len(pairs)
+    assert {(min(r), max(r)) for r in minhash._rest(space, rare, sets, 85).collect()} == pairs
