@@ -54,9 +54,7 @@ def _health(args) -> int:
     if args.json:
         print(json.dumps(found, indent=2, ensure_ascii=False))
     else:
-        print(f"{found['files_scanned']} files, {found['error_count']} errors, {found['warning_count']} warnings")
-        for i in found["issues"]:
-            print(f"{i['file_path']}: [{i['severity']}] {i['code']}: {i['message']}")
+        print(health.report_text(found))
     return 0 if found["passed"] else 1
 
 
@@ -68,7 +66,7 @@ def _vault(args) -> int:
     spark, config = session(), vault.VaultConfig(allow_overwrite=args.overwrite, allow_unhealthy=args.allow_unhealthy)
     root, target = str(Path(args.wiki_dir).resolve()), Path(args.vault_dir).resolve()
     there = [(str(p.relative_to(target)),) for p in target.rglob("*.md")] if target.exists() else []
-    plan = vault.plan(vault.note_files(spark, root, [str(target)]), spark.createDataFrame(there, "relative_destination string"), config, root).cache()
+    plan = vault.plan(vault.note_files(spark, root, [str(target)]), spark.createDataFrame(there, "relative_destination string"), config, root, yaml=True).cache()
     if args.command == "vault-plan":
         print(json.dumps([r.asDict() for r in plan.orderBy("relative_source").collect()], indent=2))
         return 1 if plan.where(F.col("rejected")).count() else 0

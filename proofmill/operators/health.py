@@ -7,6 +7,7 @@ only shuffles are the cross-note checks and the drift join.
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -284,6 +285,11 @@ def cross_issues(parsed: DataFrame) -> DataFrame:
     return _exploded(_cross(parsed.select("file_path", "fm_state", _note_id().alias("note_id"), none.alias("issues"))))
 
 
+def note_issues(rows: DataFrame) -> DataFrame:
+    """code, severity, message, file_path of rows with file_path, fm_state, note_id and their own issues."""
+    return _exploded(_cross(rows.select("file_path", "fm_state", F.nullif(F.col("note_id"), F.lit("")).alias("note_id"), "issues")))
+
+
 def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool = True, brand: Branding = Branding(), yaml: bool = False) -> DataFrame:  # noqa: B008  frozen
     """code, severity, message, file_path of every issue; one pass over the files.
 
@@ -323,3 +329,12 @@ def report_json(files: DataFrame, issues: DataFrame, path: str) -> str:
     head = report(files, issues).first().asDict()
     rows = [r.asDict() for r in issues.orderBy("file_path", "code", "message").collect()]
     return json.dumps({"path": path, **head, "issues": rows}, indent=2, ensure_ascii=False)
+
+
+def report_text(found: dict) -> str:
+    """A report_json() object as text for readers: counts, then the issues under each file. Words are fixed."""
+    counts = f"Files scanned: {found['files_scanned']}\nIssues: {found['error_count']} error(s), {found['warning_count']} warning(s)"
+    parts = [f"Wiki Health Report: {found['path']}\n{counts}\nStatus: {'PASSED' if found['passed'] else 'FAILED'}\n"]
+    for path, issues in groupby(sorted(found["issues"], key=lambda i: i["file_path"]), key=lambda i: i["file_path"]):
+        parts.append("\n".join([f"  {path}:", *(f"    [{i['severity'].upper()}] {i['code']}: {i['message']}" for i in issues)]) + "\n")
+    return "\n".join(parts if found["issues"] else [*parts, "No issues found."])

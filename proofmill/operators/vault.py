@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from proofmill.config import Branding
 from proofmill.functions import text
 from proofmill.operators import health
+from proofmill.sources import scratch
 from proofmill.sources.files import read_binary
 
 INDEXES = ("Home.md", "By-Type.md", "By-Source.md")
@@ -52,13 +53,18 @@ def note_files(spark: SparkSession, folder: str, exclude: list[str] | None = Non
     return read_binary(spark, [str(p) for p in out]).select("file_path", F.col("content").cast("string").alias("content"))
 
 
-def plan(files: DataFrame, existing: DataFrame | None = None, config: VaultConfig = VaultConfig(), root: str = "") -> DataFrame:  # noqa: B008  frozen
+def plan(files: DataFrame, existing: DataFrame | None = None, config: VaultConfig = VaultConfig(), root: str = "", yaml: bool = False) -> DataFrame:  # noqa: B008  frozen
     """One row per note file: destination, identity, rejected/skipped/collision flags and the reason.
 
     `existing` lists relative destinations that are already there (column relative_destination).
+    With `yaml`, front matter outside the notes' own grammar is read as YAML, as in health.parse().
+    The health preflight needs every note before it can accept one: notes are parsed once, and
+    their narrow rows with their issues are written, counted and read again.
     """
     brand = config.brand
-    parsed = health.parse(files)
+    parsed = health.parse(files, yaml)
+    if not config.allow_unhealthy:
+        parsed = health.file_issues(parsed, brand)
     fm = lambda k: F.coalesce(F.try_element_at(F.col("frontmatter"), F.lit(k)), F.lit(""))
     named = F.transform("source_documents", lambda d: d["document_id"])
     ids = F.array_distinct(F.filter(named, lambda d: F.coalesce(d, F.lit("")) != ""))
@@ -70,10 +76,14 @@ def plan(files: DataFrame, existing: DataFrame | None = None, config: VaultConfi
         F.col("file_path").alias("source_path"), F.when(F.startswith("file_path", F.lit(root.rstrip("/") + "/")), F.substr("file_path", F.lit(len(root.rstrip("/")) + 2))).otherwise(F.col("file_path")).alias("relative_source"),
         name.alias("original_filename"), F.concat(F.lit(f"{brand.vault_dir}/Notes/"), name).alias("relative_destination"), title.alias("title"), fm("note_id").alias("note_id"),
         fm("note_type").alias("note_type"), fm("status").alias("status"), count.alias("evidence_count"), F.when(F.size(ids) > 0, ids).otherwise(in_body).alias("source_document_ids"),
+        *([] if config.allow_unhealthy else ["fm_state", "issues"]),
     )
     if not config.allow_unhealthy:
-        bad = health.lint(files, brand=brand).agg(F.count_if(F.col("severity") == "error").alias("health_errors"))
-        rows = rows.join(F.broadcast(bad))  # one row
+        at = scratch.shared(files.sparkSession, "plan")
+        rows.write.parquet(at)
+        rows = files.sparkSession.read.schema(rows.schema).parquet(at)
+        bad = health.note_issues(rows.withColumnRenamed("source_path", "file_path")).agg(F.count_if(F.col("severity") == "error").alias("health_errors"))
+        rows = rows.drop("fm_state", "issues").join(F.broadcast(bad))  # one row
     else:
         rows = rows.withColumn("health_errors", F.lit(0).cast("long"))
     sick = F.col("health_errors") > 0

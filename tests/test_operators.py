@@ -409,3 +409,33 @@ def test_overlapping_chunks_take_linear_time(spark):
     seconds(1_000)
     few, many = min(seconds(8_000) for _ in range(2)), min(seconds(32_000) for _ in range(2))
     assert many < 8 * few + 2
+
+
+def test_vault_preflight_reads_yaml_and_parses_once(spark):
+    from pyspark.sql import functions as F
+
+    from proofmill.operators import health, vault
+    from proofmill.plans import fixtures
+
+    notes_ = fixtures.faulty_files(spark, "/root/testdata/sf0.001").where("doc_id % 13 = 0").select("file_path", "content").limit(2)
+    good = [tuple(r) for r in notes_.collect()]
+    foreign = ("wiki/other.md", good[0][1].replace("\n---\n", "\nabout: >\n  folded words\n  of a text\n---\n", 1).replace("note_id: ", "note_id: other_", 1))
+    files = spark.createDataFrame([*good, foreign], "file_path string, content string")
+    errors = lambda yaml: health.lint(files, yaml=yaml).where("severity = 'error'").count()
+    for yaml in (False, True):
+        rows = vault.plan(files, root="wiki", yaml=yaml).collect()
+        said = {r["rejection_reason"] for r in rows if r["rejection_reason"] and r["rejection_reason"].startswith("Health")}
+        assert said == ({f"Health preflight failed with {errors(yaml)} error(s)"} if errors(yaml) else set())
+    assert errors(True) < errors(False)
+    plan = vault.plan(files.withColumn("content", F.concat("content", F.lit(""))), root="wiki")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "LocalTableScan" not in plan  # only the written rows are read
+
+
+def test_health_text_is_grouped_by_file():
+    from proofmill.operators import health
+
+    issue = lambda f, c, s="error": {"file_path": f, "code": c, "severity": s, "message": f"{c}!"}
+    found = {"path": "w", "files_scanned": 3, "error_count": 2, "warning_count": 1, "passed": False, "issues": [issue("b.md", "x"), issue("a.md", "y"), issue("b.md", "z", "warning")]}
+    text = health.report_text(found)
+    assert text.splitlines() == ["Wiki Health Report: w", "Files scanned: 3", "Issues: 2 error(s), 1 warning(s)", "Status: FAILED", "", "  a.md:", "    [ERROR] y: y!", "", "  b.md:", "    [ERROR] x: x!", "    [WARNING] z: z!"]
+    assert health.report_text({**found, "issues": [], "passed": True}).endswith("Status: PASSED\n\nNo issues found.")
