@@ -212,15 +212,9 @@ def create_pipeline(corpus: DataFrame, text_policy: str | None = None) -> Hybrid
     return HybridPipeline(corpus, text_policy or DUAL_CONTEXT)
 
 
-def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha: float = 0.5, policy: str = DUAL_CONTEXT) -> DataFrame:
-    """retrieve() for many queries (query_id, query) at once.
-
-    The keyword side is an equi-join of the corpus' (token, count) rows with the queries' tokens;
-    the vector side scores every chunk for every query, which is what the placeholder means, and
-    keeps a grouped top list. Texts are joined to the final rows only. Sums are rounded to 12
-    digits before ranking, as their order is not fixed.
-    """
-    limit = 2 * top_k
+def batch_keyword(corpus: DataFrame, queries: DataFrame, limit: int, policy: str = DUAL_CONTEXT) -> DataFrame:
+    """query_id, KEYS, score: the keyword list of each query, by an equi-join of the corpus' (token,
+    count) rows with the queries' tokens. Sums are rounded to 12 digits, as their order is not fixed."""
     searched = text.tokens(text.search_text(policy, F.col("raw_text"), F.col("cleaned_text")))
     sized = text.staged(corpus, t=searched).select(*KEYS, "t")
     wanted = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
@@ -228,15 +222,25 @@ def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha:
     counts = terms.groupBy(*KEYS, "n", "token").agg(F.count(F.lit(1)).cast("double").alias("f"))
     part = F.col("times") * (F.col("f") * 1.5 / (F.col("f") + 0.5))
     summed = counts.join(wanted, "token").groupBy("query_id", *KEYS, "n").agg(F.round(F.sum(part), 12).alias("s"))
-    kw = summed.withColumn("keyword_score", F.least(F.lit(1.0), F.col("s") / (F.lit(1.0) + F.col("n") * F.lit(0.001))))
-    top = lambda df, c: df.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), *KEYS))).where(F.col("_r") <= limit).select("query_id", *KEYS, c)
+    return top_lists(summed.select("query_id", *KEYS, F.least(F.lit(1.0), F.col("s") / (F.lit(1.0) + F.col("n") * F.lit(0.001))).alias("score")), limit, "query_id")
+
+
+def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha: float = 0.5, policy: str = DUAL_CONTEXT, keyword: DataFrame | None = None) -> DataFrame:
+    """retrieve() for many queries (query_id, query) at once; `keyword` are their keyword lists, where
+    an index has them.
+
+    The vector side scores every chunk for every query, which is what the placeholder means, and
+    keeps a grouped top list in every task. Texts are not in the result; see StoredIndex.results.
+    """
+    limit = 2 * top_k
+    kw = (batch_keyword(corpus, queries, limit, policy) if keyword is None else keyword).withColumnRenamed("score", "keyword_score")
     blocks, best = -(-queries.count() // QUERY_BLOCK) or 1, None
     for b in range(blocks):  # a bounded block of queries is broadcast at a time
         block = queries.select("query_id", "query").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = corpus.select(*KEYS).crossJoin(F.broadcast(block))
-        part = top(pairs.withColumn("vector_score", text.hash_score(F.col("query"), F.col("chunk_id"))), "vector_score")
+        part = top_lists(pairs.select("query_id", *KEYS, text.hash_score(F.col("query"), F.col("chunk_id")).alias("score")), limit, "query_id").withColumnRenamed("score", "vector_score")
         best = part if best is None else best.unionByName(part)
-    both = top(kw, "keyword_score").join(best, ["query_id", *KEYS], "full_outer").fillna(0.0, ["keyword_score", "vector_score"])
+    both = kw.join(best, ["query_id", *KEYS], "full_outer").fillna(0.0, ["keyword_score", "vector_score"])
     scored = both.withColumn("hybrid_score", F.lit(alpha) * F.col("vector_score") + F.lit(1 - alpha) * F.col("keyword_score"))
     return ranked(scored, top_k, ("query_id",))
 
