@@ -245,6 +245,29 @@ def retrieve_batch(corpus: DataFrame, queries: DataFrame, top_k: int = 5, alpha:
     return ranked(scored, top_k, ("query_id",))
 
 
+def holding(docs: DataFrame, items: DataFrame, run: int = 5) -> DataFrame:
+    """query_id, document_id: the documents whose raw_text contains an item's text (query_id, item).
+
+    A document that contains an item holds the item's inner words, so the two meet on a run of these:
+    that of an item's which the fewest documents hold. Only documents' runs that are an item's
+    are shuffled. Items of too few words meet on a single inner word, and those without one are
+    looked for in every text.
+    """
+    words = lambda c: F.split(c, r"[ \n]+")  # noqa: E731  what surrounds an item touches its first and last word only
+    inner = lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    runs = lambda w, n: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))))
+    known = text.staged(items.select("query_id", "item"), w=inner(words(F.col("item"))))
+    own = known.select("query_id", "item", F.explode(F.coalesce(runs(F.col("w"), run), runs(F.col("w"), 1))).alias("key"))
+    read = text.staged(docs.select("document_id", "raw_text"), w=words(F.col("raw_text"))).select("document_id", F.explode(F.array_distinct(F.concat(F.coalesce(runs(F.col("w"), run), F.array().cast("array<string>")), F.coalesce(runs(F.col("w"), 1), F.array().cast("array<string>"))))).alias("key"))
+    met = read.join(own.select("key").distinct(), "key", "left_semi")
+    held = met.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rare = own.join(held, "key", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r"), F.first("item").alias("item"))
+    near = met.join(rare.select("query_id", "item", F.col("r.key").alias("key")), "key").join(docs.select("document_id", "raw_text"), "document_id")
+    short = known.where(F.size("w") == 0).select("query_id", "item")
+    every = docs.select("document_id", "raw_text").join(short, F.contains(F.col("raw_text"), F.col("item")))
+    return near.where(F.contains(F.col("raw_text"), F.col("item"))).select("query_id", "document_id").unionByName(every.select("query_id", "document_id"))
+
+
 def quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """recall, precision and reciprocal rank at k per query; relevant: query_id, document_id."""
     truth = relevant.select("query_id", "document_id").distinct().withColumn("hit", F.lit(1))

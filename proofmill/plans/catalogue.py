@@ -214,7 +214,7 @@ def retrieval_quality(spark: S, sf_dir: str) -> DataFrame:
     """Recall, precision and reciprocal rank of the batch, where a document that holds the item is relevant."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = table_documents(spark, sf_dir).select("document_id", "raw_text")
-    relevant = docs.join(F.broadcast(items), F.contains(F.col("raw_text"), F.col("item"))).select("query_id", "document_id")
+    relevant = retrieve.holding(docs, items)
     asked = items.select("query_id", F.col("item").alias("query"))
     found = retrieve.retrieve_batch(_corpus(spark, sf_dir), asked, top_k=5, alpha=0.0)
     return retrieve.quality(found, relevant, 5).select("query_id", *_round("recall", "precision", "reciprocal_rank"))

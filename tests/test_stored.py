@@ -48,6 +48,18 @@ def test_index_reads_the_buckets_of_the_query(index):
     assert index.postings().agg(F.max("n")).first()[0] <= 8
 
 
+def test_a_document_filter_reads_one_part(spark, sf_dir, index):
+    from pyspark.sql import Observation
+
+    own = table_documents(spark, sf_dir).where("size_bytes > 0").agg(F.max("document_id")).first()[0]
+    found = index.filtered(MetadataFilter(document_id=own))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and f"EqualTo(document_id,{own})" in plan
+    seen = Observation()
+    files = found.select(F.input_file_name().alias("f")).observe(seen, F.max("f").alias("f"), F.min("f").alias("g")).collect()
+    assert files and seen.get["f"] == seen.get["g"] and "part=" in seen.get["f"]
+
+
 def test_pipeline_on_an_index_equals_one_on_the_corpus(spark, sf_dir, index):
     request = catalogue._request()
     cols = ["rank", "chunk_id", "keyword_score", "vector_score", "hybrid_score", "matched_fields", "source_retrievers", "score_policy", "total_candidates", "raw_text"]
@@ -106,3 +118,12 @@ def test_a_run_that_stops_half_way_is_done_again(spark, monkeypatch):
 def test_document_ids_follow_the_text(spark):
     one, two = (texts(spark, a=t).first()["document_id"] for t in ("x", "y"))
     assert one[:16] == two[:16] and one != two and one == texts(spark, a="x").select(ids.document_id(F.col("source_path"), F.col("content_hash"))).first()[0]
+
+
+def test_holding_finds_every_document_that_contains_an_item(spark):
+    texts = ["say foo bar now", "foobar", "afoo barb", "pre one two three four five six seven! post", "one two three four", "prea b cpost", "", "the the the the the the"]
+    items = ["foo bar", "a b c", "one two three four five six seven", "two three four", "the the the", "absent words here", ""]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)] + [("none", None)], "document_id string, raw_text string")
+    asked = spark.createDataFrame(list(enumerate(items)), "query_id int, item string")
+    want = {(q, f"d{k}") for q, item in enumerate(items) for k, t in enumerate(texts) if item in t}
+    assert sorted(map(tuple, retrieve.holding(docs, asked).collect())) == sorted(want)
