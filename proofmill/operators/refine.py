@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.functions import ids, text
+from proofmill.operators.replies import ReplyTable, answers
 
 PROMPT_VERSION = "v1.0"
 
@@ -157,35 +156,32 @@ def refine_chunks(chunks: DataFrame, version: str = PROMPT_VERSION) -> DataFrame
 Model = Callable[[Iterator[str]], Iterator[str]]
 
 
-def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str = "", version: str = PROMPT_VERSION) -> DataFrame:
+def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str = "", version: str = PROMPT_VERSION, table: ReplyTable | None = None) -> DataFrame:
     """refine_chunks, then each chunk whose model reply passes JSON check and guardrails takes it.
 
     `model` maps prompts to JSON replies and gets the prompts of an Arrow batch at once on the
     executors; None, or one whose `available()` says no when the plan is made, is an unavailable
     adapter. A reply that fails keeps the rule-based text and says why; after it, the model goes on
-    with the rest of the batch.
+    with the rest of the batch. With a `table`, replies are asked for once, written, and joined.
     """
     base = refine_chunks(chunks, version)
     if model is None or not getattr(model, "available", lambda: True)():
         return base.withColumn("refinement", F.col("refinement").withField("fallback_reason", F.lit("adapter_unavailable")))
 
-    @F.pandas_udf("string")
-    def ask(batch):
-        import pandas as pd
-
-        prompts, replies = list(batch), []
-        while len(replies) < len(prompts):
-            try:
-                before = len(replies)
-                replies.extend(islice(model(iter(prompts[before:])), len(prompts) - before))
-                if len(replies) == before:
-                    raise ValueError("no reply")
-            except Exception as e:  # noqa: BLE001  a failing model call falls back, it never fails the job
-                replies.append(json.dumps({"error": str(e)}))
-        return pd.Series(replies)
-
-    # not deterministic: no second reference may call the model again
-    asked = base.withColumn("_reply", ask.asNondeterministic()(prompt(F.col("raw_text"), version)))
+    if table is not None:
+        table.ask(base.select(prompt(F.col("raw_text"), version).alias("prompt")), model)
+        known = table.replies().select(F.col("prompt_hash").alias("_hash"), F.col("reply").alias("_reply"))
+        asked = base.withColumn("_hash", ids.sha(prompt(F.col("raw_text"), version))).join(known, "_hash", "left").drop("_hash")
+    else:
+
+        @F.pandas_udf("string")
+        def ask(batch):
+            import pandas as pd
+
+            return pd.Series(answers(model, list(batch)))
+
+        # not deterministic: no second reference may call the model again
+        asked = base.withColumn("_reply", ask.asNondeterministic()(prompt(F.col("raw_text"), version)))
     asked = asked.withColumn("_reply", strip_fence(F.col("_reply")))
     asked = asked.withColumns({"_problem": json_problem(F.col("_reply")), "_text": F.get_json_object("_reply", "$.cleaned_text")})
     judged = asked.withColumn("_g", guardrails(F.col("raw_text"), F.coalesce("_text", F.lit(""))))

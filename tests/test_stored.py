@@ -8,6 +8,7 @@ from proofmill.functions import ids
 from proofmill.operators import refine, retrieve
 from proofmill.operators.chunk import chunk
 from proofmill.operators.incremental import IncrementalCorpus
+from proofmill.operators.replies import ReplyTable
 from proofmill.plans import catalogue, stored_catalogue
 from proofmill.sources import scratch
 from proofmill.sources.index import SIDES, StoredIndex
@@ -127,3 +128,36 @@ def test_holding_finds_every_document_that_contains_an_item(spark):
     asked = spark.createDataFrame(list(enumerate(items)), "query_id int, item string")
     want = {(q, f"d{k}") for q, item in enumerate(items) for k, t in enumerate(texts) if item in t}
     assert sorted(map(tuple, retrieve.holding(docs, asked).collect())) == sorted(want)
+
+
+class Counted:
+    """Replies with the prompt's length and notes each call in a folder; may stop at a word."""
+
+    def __init__(self, folder, stop=""):
+        self.folder, self.stop = folder, stop
+
+    def __call__(self, prompts):
+        import os
+        import uuid
+
+        for p in prompts:
+            if self.stop and self.stop in p:
+                os._exit(1)  # the worker dies, and its task with it
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(p)
+            yield str(len(p))
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    table = ReplyTable(spark, scratch.shared(spark, "replies"), 2)
+    prompts = spark.createDataFrame([(f"prompt {k % 40}",) for k in range(100)] + [(None,)], "prompt string")
+    seen = lambda: sorted(p.read_text() for p in tmp_path.iterdir())
+    assert table.ask(prompts.where("prompt < 'prompt 2'"), Counted(tmp_path), 5) == 12
+    assert len(set(seen())) == len(seen()) == 12
+    with pytest.raises(Exception, match="(?s).*"):
+        table.ask(prompts, Counted(tmp_path, "prompt 39"), 4)
+    done = table.replies().count()
+    lost = len(seen()) - done  # calls of the round that died
+    assert 12 <= done < 40 and lost <= 8
+    assert table.ask(prompts, Counted(tmp_path)) == 40 - done and table.ask(prompts, Counted(tmp_path)) == 0
+    assert len(seen()) == 40 + lost and {r["reply"] for r in table.replies().collect()} == {"8", "9"}
