@@ -3,6 +3,14 @@
 language -> near_dedup -> decontaminate -> mix return the columns of `documents`; tokens returns
 doc_id, start, n_tokens, ids_crc32 of the written shards. The mix repeats documents, so doc_id
 repeats in the last two stages.
+
+Defined cases, by stage: language drops null texts and texts without a letter, keeps a row without
+doc_id and every repeated row; near_dedup keeps one row of rows that repeat a doc_id and text, and
+of near copies the smallest doc_id (rows without one the first by text); decontaminate keeps null
+and empty texts; mix draws by source and doc_id, null source and null doc_id too, so rows that share
+both share their draw; tokens orders null doc_id first, then doc_id and text. Very long texts are
+read whole in each. Ties go as each operator's module says. An empty table passes through every
+stage; columns beside those of `documents`, also of working names, are kept until tokens.
 """
 
 from __future__ import annotations
