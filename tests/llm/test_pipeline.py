@@ -5,7 +5,7 @@ from proofmill.llm.queries import QUERIES
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontaminate", "mix", "tokens"]
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_one_by_one(spark, sf_dir, tmp_path):
