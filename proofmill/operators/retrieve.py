@@ -19,7 +19,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.config import DUAL_CONTEXT, RAW_ONLY, MetadataFilter, RetrievalRequest
+from proofmill.config import DUAL_CONTEXT, RAW_ONLY, TEXT_POLICIES, MetadataFilter, RetrievalRequest
 from proofmill.functions import ids, text
 
 KEYS = ("document_id", "chunk_id")
@@ -212,6 +212,16 @@ def create_pipeline(corpus: DataFrame, text_policy: str | None = None) -> Hybrid
     return HybridPipeline(corpus, text_policy or DUAL_CONTEXT)
 
 
+def request_problems(requests: DataFrame) -> DataFrame:
+    """requests (query, top_k, alpha, text_policy and more) with `problems`, what RetrievalRequest.problems() says of each."""
+    known = F.col("text_policy").isin(*TEXT_POLICIES)
+    checks = [
+        (text.strip(F.coalesce("query", F.lit(""))) == "", F.lit("query must not be empty")), (F.col("top_k") < 1, F.lit("top_k must be >= 1")),
+        (~F.col("alpha").between(0.0, 1.0), F.lit("alpha must be between 0.0 and 1.0")), (~known, F.concat(F.lit("unknown text_policy: "), F.col("text_policy"))),
+    ]
+    return requests.withColumn("problems", F.filter(F.array(*[F.when(bad, said) for bad, said in checks]), lambda p: p.isNotNull()))
+
+
 def batch_keyword(corpus: DataFrame, queries: DataFrame, limit: int, policy: str = DUAL_CONTEXT) -> DataFrame:
     """query_id, KEYS, score: the keyword list of each query, by an equi-join of the corpus' (token,
     count) rows with the queries' tokens. Sums are rounded to 12 digits, as their order is not fixed."""

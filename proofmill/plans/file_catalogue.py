@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.config import Branding, MetadataFilter, RetrievalRequest, Settings
+from proofmill.config import Branding, MetadataFilter, Settings
 from proofmill.functions import ids
 from proofmill.operators import health, notes, refine, retrieve, vault
 from proofmill.operators.chunk import chunk
@@ -120,8 +120,12 @@ def settings_env(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def request_checks(spark: S, sf_dir: str) -> DataFrame:
-    asked = [RetrievalRequest("q"), RetrievalRequest(" "), RetrievalRequest("q", 0), RetrievalRequest("q", 1, 1.5), RetrievalRequest("q", text_policy="all"), RetrievalRequest("", -1, -0.1)]
-    return spark.createDataFrame([(k, len(r.problems())) for k, r in enumerate(asked)], "request int, problems int")
+    """A request for every benchmark item, each kind of fault among them."""
+    k = F.col("item_id")
+    query = F.when(k % 5 == 0, F.lit(" \t\n")).when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))
+    policy = F.get(F.array(F.lit(None).cast("string"), F.lit("raw_only"), F.lit("all"), F.lit("dual_context")), (k % 4).cast("int"))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(k.alias("request"), query.alias("query"), (k % 4 - 1).alias("top_k"), ((k % 7 - 1) / F.lit(4)).alias("alpha"), policy.alias("text_policy"))
+    return retrieve.request_problems(asked).select("request", F.size("problems").alias("problems"), F.array_join("problems", "; ").alias("said"))
 
 
 @query
@@ -284,7 +288,9 @@ ORACLE = {
     "settings_env": """SELECT * FROM (VALUES (0, 'data_dir', './data'), (0, 'log_level', 'LOUD'), (0, 'model_provider', 'openai'), (0, 'embedding_model', 'm'), (0, 'reasoning_model', NULL), (0, 'chunk_size', '0'), (0, 'chunk_overlap', '200'),
       (0, 'top_k', '7'), (0, 'hybrid_alpha', '1.5'), (0, 'min_confidence_threshold', '-1.0'), (0, 'max_unsupported_claims', '0'), (1, 'problem', 'Invalid integer for X_CHUNK_OVERLAP'), (2, 'problem', 'Invalid log_level: LOUD'),
       (3, 'problem', 'chunk_size must be positive: 0'), (4, 'problem', 'chunk_overlap must be less than chunk_size'), (5, 'problem', 'hybrid_alpha must be between 0 and 1: 1.5'), (6, 'problem', 'min_confidence_threshold must be between 0 and 1: -1.0')) AS t(position, name, value)""",
-    "request_checks": "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 3)) AS t(request, problems)",
+    "request_checks": """SELECT item_id AS request, len(p)::INT AS problems, array_to_string(p, '; ') AS said FROM (SELECT item_id, list_filter([
+      CASE WHEN item_id % 5 = 0 OR item_id % 11 = 0 OR trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'query must not be empty' END, CASE WHEN item_id % 4 < 2 THEN 'top_k must be >= 1' END,
+      CASE WHEN item_id % 7 = 0 OR item_id % 7 > 5 THEN 'alpha must be between 0.0 and 1.0' END, CASE WHEN item_id % 4 = 2 THEN 'unknown text_policy: all' END], lambda x: x IS NOT NULL) AS p FROM benchmark)""",
     "filter_values": "SELECT * FROM (VALUES ('flat', 'document_id', 'd'), ('flat', 'source_type', 'txt'), ('flat', 'lang', 'fr'), ('item', 'document_id', 'd'), ('item', 'source_type', 'md'), ('item', 'lang', 'fr'), ('item', 'source_type', 'txt')) AS t(kind, key, value)",
     "filter_fields": f"WITH RECURSIVE {oracle.DOCS}, {oracle.chunks()} SELECT 'path' AS by, chunk_id FROM chunks WHERE path = (SELECT min(source_path) FROM docs) UNION ALL SELECT 'id', chunk_id FROM chunks WHERE document_id = (SELECT max(document_id) FROM docs)",
     "prompts": f"SELECT conv_id, turn, sha256({_PROMPT}) AS prompt_hash FROM conversations",

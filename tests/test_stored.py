@@ -161,3 +161,10 @@ def test_replies_are_asked_for_once(spark, tmp_path):
     assert 12 <= done < 40 and lost <= 8
     assert table.ask(prompts, Counted(tmp_path)) == 40 - done and table.ask(prompts, Counted(tmp_path)) == 0
     assert len(seen()) == 40 + lost and {r["reply"] for r in table.replies().collect()} == {"8", "9"}
+
+
+def test_request_problems_equal_single_checks(spark):
+    grid = [(q, k, a, p) for q in ("q", " \u2003\x1c", "", "a b") for k in (-1, 0, 1) for a in (-0.1, 0.0, 1.0, 1.5) for p in (None, "raw_only", "x")]
+    rows = spark.createDataFrame([(n, *g) for n, g in enumerate(grid)], "n int, query string, top_k int, alpha double, text_policy string")
+    got = {r["n"]: r["problems"] for r in retrieve.request_problems(rows).collect()}
+    assert got == {n: RetrievalRequest(q, k, a, text_policy=p).problems() for n, (q, k, a, p) in enumerate(grid)}
