@@ -16,11 +16,12 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 #: Words that a refinement may add without a warning.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall "
-    "to of in for on with at by from as into through during before after above below between under again further then once "
-    "and but or nor so yet both either neither not only own same than too very just also this that these those "
-    "i you he she it we they what which who whom"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "under", "again", "further", "then", "once", "and", "but", "or", "nor", "so", "yet", "both", "either",
+    "neither", "not", "only", "own", "same", "than", "too", "very", "just", "also", "this", "that", "these", "those", "i", "you", "he", "she", "it",
+    "we", "they", "what", "which", "who", "whom",
+)
 
 #: Tokens a refinement may not lose (number, date, version, time, UUID, zone id).
 NUMBER = r"(?U)\b\d+\.?\d*\b"

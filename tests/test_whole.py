@@ -12,6 +12,7 @@ TEXTS = [
     "Le café de 12 élèves", "naïve 3.5 größe 2024-01-02 über", "été 7é x7 ٣٤ 99", "日本語 2024年 12:30 テスト eu-west-1-a", "плюс 5 минус", "plain ascii 42",
     None, "", "éa b-c-3-d 1.2.3", "mot—mot 10—20 d’été", "Ünï 0 café 8", "x " * 40 + "ñandú 1.", "ascii 1 again",
 ]
+#: Tokens that may not be lost, in the words of Python's expressions.
 CRITICAL = (r"\b\d+\.?\d*\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d+\.\d+\.\d+\b", r"\b\d{1,2}:\d{2}(?::\d{2})?\b", r"\b[a-z]+-[a-z]+-\d+-[a-z]+\b")
 
 
