@@ -111,11 +111,20 @@ def summary_json(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def settings_env(spark: S, sf_dir: str) -> DataFrame:
-    env = {"X_CHUNK_SIZE": "0", "X_CHUNK_OVERLAP": "many", "X_LOG_LEVEL": "loud", "X_MODEL_PROVIDER": "OpenAI", "X_HYBRID_ALPHA": "1.5", "X_MIN_CONFIDENCE": "-1", "X_TOP_K": "7", "X_EMBEDDING_MODEL": "m"}
-    found = Settings.from_env("X_", env)
-    rows = [(0, k, None if v is None else str(v)) for k, v in vars(found).items() if k != "errors"] + [(n + 1, "problem", p) for n, p in enumerate(found.validate())]
-    rows += [(n + 100, "default problem", p) for n, p in enumerate(Settings.from_env("X_", {}).validate())]
-    return spark.createDataFrame(rows, "position int, name string, value string")
+    """What is wrong with an environment for every supplier, with faults of each kind among them."""
+    k = F.col("s_suppkey")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        k.cast("long").alias("supplier"), (k % 4 * 150).cast("string").alias("CHUNK_SIZE"), F.when(k % 5 == 0, "many").otherwise("100").alias("CHUNK_OVERLAP"),
+        F.when(k % 3 == 0, "loud").otherwise("debug").alias("LOG_LEVEL"), F.when(k % 7 == 0, "Other").otherwise("OpenAI").alias("MODEL_PROVIDER"),
+        (k % 4 / F.lit(2)).cast("string").alias("HYBRID_ALPHA"), (k % 6 - 1).cast("string").alias("TOP_K"),
+    )
+
+    def run(frames):
+        for frame in frames:
+            said = [Settings.from_env("X_", {f"X_{n}": v for n, v in r.items() if n != "supplier"}).validate() for r in frame.to_dict("records")]
+            yield frame[["supplier"]].assign(problems=[len(p) for p in said], said=["; ".join(p) for p in said])
+
+    return rows.mapInPandas(run, "supplier long, problems long, said string")
 
 
 @query
@@ -130,9 +139,18 @@ def request_checks(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def filter_values(spark: S, sf_dir: str) -> DataFrame:
-    chosen = MetadataFilter(source_type="md", document_id="d", key_value={"lang": "fr", "source_type": "txt"})
-    rows = [("flat", k, v) for k, v in chosen.flat().items()] + [("item", *x.split("=", 1)) for x in chosen.describe()]
-    return spark.createDataFrame(rows, "kind string, key string, value string")
+    """The flat and the listed form of a filter for every part."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for k, brand in zip(frame["part"], frame["brand"], strict=True):
+                chosen = MetadataFilter(source_type="md", document_id=f"d{k}" if k % 3 == 0 else None, key_value={"lang": brand} | ({"source_type": "txt"} if k % 2 == 0 else {}))
+                out += [(k, "flat", *kv) for kv in chosen.flat().items()] + [(k, "item", *x.split("=", 1)) for x in chosen.describe()]
+            yield type(frame)(out, columns=["part", "kind", "key", "value"])
+
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("part"), F.col("p_brand").alias("brand"))
+    return rows.mapInPandas(run, "part long, kind string, key string, value string")
 
 
 @query
@@ -285,13 +303,16 @@ ORACLE = {
     "manifest_last_wins": f"WITH {oracle.DOCS} SELECT source_path, sha256(content_hash || '3') AS content_hash, size_bytes, 'm' AS modified_time, '2024-01-03' AS last_ingested FROM docs",
     "source_manifest": "SELECT 'region/' || n_regionkey AS key, 'h' || max(n_nationkey) AS content_hash FROM nation GROUP BY n_regionkey",
     "summary_json": "SELECT '{\"total_files\":' || count(*) || ',\"new_files\":' || count(*) FILTER (WHERE doc_id % 10 = 0) || ',\"changed_files\":' || count(*) FILTER (WHERE doc_id % 10 = 1) || ',\"unchanged_files\":' || count(*) FILTER (WHERE doc_id % 10 > 1) || ',\"skipped_files\":0,\"error_files\":0}' AS json FROM documents",
-    "settings_env": """SELECT * FROM (VALUES (0, 'data_dir', './data'), (0, 'log_level', 'LOUD'), (0, 'model_provider', 'openai'), (0, 'embedding_model', 'm'), (0, 'reasoning_model', NULL), (0, 'chunk_size', '0'), (0, 'chunk_overlap', '200'),
-      (0, 'top_k', '7'), (0, 'hybrid_alpha', '1.5'), (0, 'min_confidence_threshold', '-1.0'), (0, 'max_unsupported_claims', '0'), (1, 'problem', 'Invalid integer for X_CHUNK_OVERLAP'), (2, 'problem', 'Invalid log_level: LOUD'),
-      (3, 'problem', 'chunk_size must be positive: 0'), (4, 'problem', 'chunk_overlap must be less than chunk_size'), (5, 'problem', 'hybrid_alpha must be between 0 and 1: 1.5'), (6, 'problem', 'min_confidence_threshold must be between 0 and 1: -1.0')) AS t(position, name, value)""",
+    "settings_env": """WITH k AS (SELECT s_suppkey AS k, (s_suppkey % 4 * 150)::INT AS size, CASE WHEN s_suppkey % 5 = 0 THEN 200 ELSE 100 END AS overlap, (s_suppkey % 4 / 2.0)::DOUBLE AS alpha, (s_suppkey % 6 - 1)::INT AS top FROM supplier)
+      SELECT k::BIGINT AS supplier, len(p)::BIGINT AS problems, array_to_string(p, '; ') AS said FROM (SELECT k, list_filter([CASE WHEN k % 5 = 0 THEN 'Invalid integer for X_CHUNK_OVERLAP' END, CASE WHEN k % 3 = 0 THEN 'Invalid log_level: LOUD' END,
+        CASE WHEN k % 7 = 0 THEN 'Invalid model_provider: other' END, CASE WHEN size < 1 THEN 'chunk_size must be positive: ' || size END, CASE WHEN overlap >= size THEN 'chunk_overlap must be less than chunk_size' END,
+        CASE WHEN top < 1 THEN 'top_k must be positive: ' || top END, CASE WHEN alpha > 1 THEN 'hybrid_alpha must be between 0 and 1: ' || alpha END], lambda x: x IS NOT NULL) AS p FROM k)""",
     "request_checks": """SELECT item_id AS request, len(p)::INT AS problems, array_to_string(p, '; ') AS said FROM (SELECT item_id, list_filter([
       CASE WHEN item_id % 5 = 0 OR item_id % 11 = 0 OR trim(text, ' ' || chr(9) || chr(10)) = '' THEN 'query must not be empty' END, CASE WHEN item_id % 4 < 2 THEN 'top_k must be >= 1' END,
       CASE WHEN item_id % 7 = 0 OR item_id % 7 > 5 THEN 'alpha must be between 0.0 and 1.0' END, CASE WHEN item_id % 4 = 2 THEN 'unknown text_policy: all' END], lambda x: x IS NOT NULL) AS p FROM benchmark)""",
-    "filter_values": "SELECT * FROM (VALUES ('flat', 'document_id', 'd'), ('flat', 'source_type', 'txt'), ('flat', 'lang', 'fr'), ('item', 'document_id', 'd'), ('item', 'source_type', 'md'), ('item', 'lang', 'fr'), ('item', 'source_type', 'txt')) AS t(kind, key, value)",
+    "filter_values": """WITH p AS (SELECT p_partkey::BIGINT AS part, p_brand AS brand FROM part)
+      SELECT part, 'flat' AS kind, 'document_id' AS key, 'd' || part AS value FROM p WHERE part % 3 = 0 UNION ALL SELECT part, 'flat', 'source_type', CASE WHEN part % 2 = 0 THEN 'txt' ELSE 'md' END FROM p UNION ALL SELECT part, 'flat', 'lang', brand FROM p
+      UNION ALL SELECT part, 'item', 'document_id', 'd' || part FROM p WHERE part % 3 = 0 UNION ALL SELECT part, 'item', 'source_type', 'md' FROM p UNION ALL SELECT part, 'item', 'lang', brand FROM p UNION ALL SELECT part, 'item', 'source_type', 'txt' FROM p WHERE part % 2 = 0""",
     "filter_fields": f"WITH RECURSIVE {oracle.DOCS}, {oracle.chunks()} SELECT 'path' AS by, chunk_id FROM chunks WHERE path = (SELECT min(source_path) FROM docs) UNION ALL SELECT 'id', chunk_id FROM chunks WHERE document_id = (SELECT max(document_id) FROM docs)",
     "prompts": f"SELECT conv_id, turn, sha256({_PROMPT}) AS prompt_hash FROM conversations",
     "iso_times": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate::DATE, '%Y-%m-%d') || 'T00:00:00+00:00' WHEN 1 THEN strftime(o_orderdate::DATE, '%Y-%m-%d') || 'T21:30:00+00:00' WHEN 2 THEN strftime(o_orderdate::DATE + 1, '%Y-%m-%d') || 'T01:30:00.250000+00:00' ELSE strftime(o_orderdate::DATE, '%Y-%m-%d') || 'T10:00:00+00:00' END AS \"at\" FROM orders",
