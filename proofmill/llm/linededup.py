@@ -133,8 +133,9 @@ def _batch(doc_id: Column, least, most, batches: int) -> Column:
     """The number of a row's batch: equal ranges of doc_id, the highest first, null last."""
     if least is None:
         return F.lit(batches - 1)
-    width = (int(most) - int(least)) // batches + 1
-    return F.coalesce(F.floor((F.lit(int(most)) - doc_id) / width).cast("int"), F.lit(batches - 1))
+    width = float((int(most) - int(least)) // batches + 1)
+    number = F.floor((F.lit(float(most)) - doc_id.cast("double")) / width)  # rounded for very large ids, so kept in range
+    return F.coalesce(F.least(F.greatest(number, F.lit(0)), F.lit(batches - 1)).cast("int"), F.lit(batches - 1))
 
 
 def lost_places(space: Workspace, docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT, buckets: int | None = None) -> DataFrame:

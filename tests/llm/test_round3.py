@@ -183,6 +183,12 @@ def test_runs_take_batches_in_any_order_and_grow_by_what_is_new(spark, docs):
         runs.drop()
 
 
+def test_ids_over_the_whole_range_are_in_a_batch(spark):
+    ids = [-(1 << 63), -(1 << 62), 0, 1 << 62, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, f"a line that all of them hold\n{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.line_report(docs).collect()} == {i: int(i != ids[-1]) for i in ids}
+
+
 def test_line_dedup_is_native(spark, docs):
     plan = linededup.line_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapIn" not in plan
