@@ -60,7 +60,7 @@ FORMS = (
     ["N-N-N N:N:N,N ERROR [A-N] org.A.A.A - W W A=N", 'N.N.N.N - - [N/Jan/N:N:N:N +N] "GET /A/A HTTP/1.1" N N', "N:N:N INFO A: A started in N ms", "[WARN] A.A(N): A", "Traceback (most recent call last):", '~File "/A/A.py", line N, in A', "DEBUG A - A=A, A=N", "at A.A.A(A.java:N)"],
     ['{"A": N, "A": "W", "A": [N, N]}', "A;N;W;N", "A=N", "N,W,N,A", "A: A", "SELECT A, A FROM A WHERE A = N AND A LIKE W;", "INSERT INTO A VALUES (N, W);", "[A.A]", "export A=/A/A"],
 )
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 150_000, 40
 FOLDS, HELD_OUT = 4, 2
 
 

@@ -255,18 +255,17 @@ def prefixes(space: Workspace, nodes: DataFrame, sets: DataFrame, percent: int)
 
         for batch in batches:
             for k in range(batch.num_rows):
-                items = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+                items = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
                 for low in range(0, len(items), 1 << 16):
                     part = items[low : low + (1 << 16)]
-                    same = [pa.array(np.full(len(part), batch.column(c)[k].as_py(), np.int64)) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["node", "n", "component", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[k].as_py(), np.int64)), pa.array(part)], names=["node", "key"])
 
-    held = space.save(nodes.join(sets, "node").select("node", "n", "component", "items").mapInArrow(run, "node long, n long, component long, key long"), "held")
+    held = space.save(sets.join(nodes.select("node"), "node", "left_semi").select("node", "items").mapInArrow(run, "node long, key long"), "held")
     shared = space.save(held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")  # others are in one set alone
     own = Window.partitionBy("node")
     ordered = held.join(shared, "key").withColumn("_r", F.row_number().over(own.orderBy("df", "key"))).withColumn("_shared", F.count(F.lit(1)).over(own))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    return ordered.where(F.col("_r") <= length - (F.col("n") - F.col("_shared"))).select("key", "node", "n", "component")
+    return ordered.join(nodes, "node").where(F.col("_r") <= length - (F.col("n") - F.col("_shared"))).select("key", "node", "n", "component")
 
 
 def _rest(space: Workspace, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -336,10 +335,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = space.save(_mixed(placed), "mixed-nodes")
     rare = space.save(prefixes(space, mixed, sets, percent), "prefixes")
+    space.drop("held")
     more = space.save(_rest(space, rare, sets, percent), "more")
     if more.limit(1).count():
         found = space.save(components(space, links.unionByName(more), "second"), "components-2")
-    for done in ("members", "stars", "sets", "links", "buckets", "centers", "held", "shared", "prefixes", "mixed", "mixed-nodes"):
+    for done in ("members", "stars", "sets", "links", "buckets", "centers", "shared", "prefixes", "mixed", "mixed-nodes"):
         space.drop(done)
     by_set = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = hashed.select("doc_id", "n", "set_hash").join(by_set, "set_hash", "left")
