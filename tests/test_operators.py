@@ -54,6 +54,17 @@ def test_bad_chunk_parameters(bad):
         ChunkConfig(*bad)
 
 
+def test_refine_of_even_texts_equals_the_line_by_line_way(spark):
+    """Most texts only lose blanks at their ends; what decides that must not let an uneven one pass."""
+    import random
+
+    rng = random.Random(3)
+    bits = [" ", "\n", "a", "b1", "c.", "\n\n", "  ", "\t", "|", "---", "===", ":", "=", "\r\n", "\x0b", "\x1f", "\x85", "\u2003", "\u2028", "    "]
+    made = ["".join(rng.choice(bits[: 5 + k % 16]) for _ in range(k % 12)) for k in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in made], "t string").select("t", refine.refine(F.col("t")).alias("c"), refine._refine_lines(F.col("t")).alias("l"), refine.uneven(F.col("t")).alias("uneven")).collect()
+    assert all(r["c"] == r["l"] for r in rows) and 0 < sum(r["uneven"] for r in rows) < len(rows)
+
+
 @pytest.mark.parametrize(
     ("raw", "cleaned"),
     [
