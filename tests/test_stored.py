@@ -77,6 +77,21 @@ def test_batch_lists_from_an_index_equal_single_ones(spark, sf_dir, index):
         assert {(r["chunk_id"], round(r["score"], 9)) for r in found if r["query_id"] == number} == {(r["chunk_id"], round(r["keyword_score"], 9)) for r in one}
 
 
+def test_best_lists_keep_the_best_of_each_task_and_the_least_keys_of_ties(spark):
+    rows = [(f"d{k % 7}", f"c{k:03}", "a " * (k % 4) + "b", 1 + k % 2) for k in range(500)]
+    corpus = spark.createDataFrame(rows, "document_id string, chunk_id string, low string, times int").repartition(3)
+    asked = spark.createDataFrame([(1, "a b a"), (2, "none"), (3, "A")], "query_id int, query string")
+    kept = retrieve.best_lists(corpus, asked, 5).collect()
+    assert len(kept) <= 3 * (2 + 3) * 5  # tasks, lists, chunks: no row for a pair
+    for query_id, tokens in ((1, ["a", "b", "a"]), (2, ["none"]), (3, ["a"])):
+        def score(r):
+            f = lambda t: r[3] * r[2].split().count(t)  # noqa: B023, E731
+            return min(1.0, round(sum(f(t) * 1.5 / (f(t) + 0.5) for t in tokens if f(t)), 12) / (1 + 0.001 * r[3] * len(r[2].split())))
+        want = sorted((-score(r), r[0], r[1]) for r in rows if score(r))[:5]
+        got = sorted((-r["score"], r["document_id"], r["chunk_id"]) for r in kept if r["query_id"] == query_id and r["list"] == "keyword")[:5]
+        assert [(round(s, 12), d, c) for s, d, c in got] == [(round(s, 12), d, c) for s, d, c in want]
+
+
 def test_hybrid_retrieval_cuts_the_corpus_once_for_both_lists(spark, sf_dir):
     lists = retrieve.built_in_lists(corpus(table_documents(spark, sf_dir)), catalogue._request(), "dual_context", 40)
     plan = lists._jdf.queryExecution().executedPlan().toString()
