@@ -114,9 +114,12 @@ def fact_warnings(facts: Column) -> Column:
 def guardrails(raw: Column, cleaned: Column, max_expansion: float = 20.0, max_compression: float = 30.0, loss_threshold: float = 0.0) -> Column:
     """struct(passed, violations, cleaned_text): whether a model's text may replace the raw one."""
     empty = (raw != "") & (cleaned == "")
-    words, numbers = added_words(raw, cleaned, 4), added_numbers(raw, cleaned)
-    critical = text.critical_set(raw)
-    lost = F.array_sort(F.array_except(critical, text.critical_set(cleaned)))
+    none = F.array().cast("array<string>")
+    same = (cleaned == raw) | (cleaned == text.trimmed(raw))  # then nothing is added or lost
+    unless = lambda c: F.when(same, none).otherwise(c)
+    words, numbers = unless(added_words(raw, cleaned, 4)), unless(added_numbers(raw, cleaned))
+    critical = unless(text.critical_set(raw))
+    lost = unless(F.array_sort(F.array_except(critical, text.critical_set(cleaned))))
     loss = F.when(F.size(critical) > 0, F.size(lost) / F.size(critical) * 100).otherwise(F.lit(0.0))
     shrunk = F.when(F.length(raw) > 0, (F.length(raw) - F.length(cleaned)) / F.length(raw) * 100).otherwise(F.lit(0.0))
     grown = expansion(raw, cleaned)
@@ -210,9 +213,11 @@ def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str =
         asked = base.withColumn("_reply", ask.asNondeterministic()(prompt(F.col("raw_text"), version)))
     asked = asked.withColumn("_reply", strip_fence(F.col("_reply")))
     asked = asked.withColumns({"_problem": json_problem(F.col("_reply")), "_text": F.get_json_object("_reply", "$.cleaned_text")})
-    judged = asked.withColumn("_g", guardrails(F.col("raw_text"), F.coalesce("_text", F.lit(""))))
-    good = F.col("_problem").isNull() & F.col("_g.passed")
-    reason = F.when(F.col("_problem").isNotNull(), F.concat(F.lit("model_error: "), F.col("_problem"))).when(~F.col("_g.passed"), F.lit("guardrail_violation"))
+    # the list alone: a struct's fields would each be inlined, the checks with them
+    judged = asked.withColumn("_violations", guardrails(F.col("raw_text"), F.coalesce("_text", F.lit("")))["violations"])
+    passed = F.size("_violations") == 0
+    good = F.col("_problem").isNull() & passed
+    reason = F.when(F.col("_problem").isNotNull(), F.concat(F.lit("model_error: "), F.col("_problem"))).when(~passed, F.lit("guardrail_violation"))
     record = (
         F.col("refinement")
         .withField("refinement_method", F.when(good, F.lit("model_based")).otherwise(F.lit("rule_based")))
@@ -220,10 +225,10 @@ def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str =
         .withField("model_refinement_attempted", F.lit(True))
         .withField("model_refinement_accepted", good)
         .withField("fallback_reason", reason)
-        .withField("warnings", F.when(good, F.array().cast("array<string>")).otherwise(F.concat(F.col("refinement.warnings"), F.when(F.col("_problem").isNull(), F.col("_g.violations")).otherwise(F.array().cast("array<string>")))))
+        .withField("warnings", F.when(good, F.array().cast("array<string>")).otherwise(F.concat(F.col("refinement.warnings"), F.when(F.col("_problem").isNull(), F.col("_violations")).otherwise(F.array().cast("array<string>")))))
     )
     out = judged.withColumn("refinement", record).withColumn("cleaned_text", F.when(good, F.col("_text")).otherwise(F.col("cleaned_text")))
-    return out.withColumn("cleaned_text_hash", ids.sha(F.col("cleaned_text"))).drop("_reply", "_problem", "_text", "_g")
+    return out.withColumn("cleaned_text_hash", ids.sha(F.col("cleaned_text"))).drop("_reply", "_problem", "_text", "_violations")
 
 
 def document_rollup(chunks: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Model replies that are asked for once: a durable table by prompt hash, written before it is read.
 
-Prompts that the table lacks are found by an anti-join and asked in rounds of a bounded number of
-calls, each a commit of its own. Whatever reads replies afterwards joins them by hash, so judging
+Prompts that the table lacks are found by an anti-join, dealt out once by round and asked in rounds
+of a bounded number of calls, some of them beside each other, each a commit of its own. Whatever reads replies afterwards joins them by hash, so judging
 twice, a lost executor while judging, or the next run over the same chunks calls nothing again; a
 round that fails is asked again as a whole, and no earlier one is.
 """
@@ -9,6 +9,7 @@ round that fails is asked again as a whole, and no earlier one is.
 from __future__ import annotations
 
 import json
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from proofmill.sources.store import ChunkStore
 
 #: Prompts of a round, about.
 ROUND = 50_000
+#: Rounds that run beside each other: each is a few short jobs.
+AT_ONCE = 8
 REPLY = "prompt_hash string, reply string"
 
 
@@ -57,9 +60,24 @@ class ReplyTable:
                 frame["reply"] = answers(model, frame["prompt"].tolist())
                 yield frame[["prompt_hash", "reply"]]
 
-        for number in range(rounds):
-            part = missing.where(F.pmod(F.xxhash64("prompt_hash"), F.lit(rounds)) == number)
+        if rounds > 1:  # dealt out once, so that a round reads its own prompts alone
+            dealt = missing.withColumn("round", F.pmod(F.xxhash64("prompt_hash"), F.lit(rounds)).cast("int"))
+            dealt.repartition("round").write.partitionBy("round").parquet(f"{at}-rounds")
+
+        def one(number: int) -> None:
+            part = missing
+            if rounds > 1:
+                part = self.spark.read.schema("prompt string, prompt_hash string, round int").parquet(f"{at}-rounds").where(F.col("round") == number).drop("round")
             out = f"{at}-{number}"  # written by the tasks that call; the store deals it out from there
             part.mapInPandas(run, REPLY).write.parquet(out)
             self.store.store(self.spark.read.schema(REPLY).parquet(out))
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # after one that fails no further round begins; those under way end
+            under_way = [pool.submit(one, number) for number in range(rounds)]
+            wait(under_way, return_when=FIRST_EXCEPTION)
+            for w in under_way:
+                w.cancel()
+        for w in under_way:
+            if not w.cancelled():
+                w.result()
         return count

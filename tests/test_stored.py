@@ -178,6 +178,17 @@ def test_replies_are_asked_for_once(spark, tmp_path):
     assert len(seen()) == 40 + lost and {r["reply"] for r in table.replies().collect()} == {"8", "9"}
 
 
+def test_a_round_reads_its_own_prompts_alone(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "asked")
+    monkeypatch.setattr(scratch, "shared", lambda *_: f"file://{at}")
+    table = ReplyTable(spark, f"file://{tmp_path}/table", 2)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    assert table.ask(spark.createDataFrame([(f"p{k}",) for k in range(30)], "prompt string"), Counted(calls), 5) == 30
+    dealt = spark.read.parquet(f"{at}-rounds")
+    assert dealt.count() == 30 and dealt.select("round").distinct().count() > 1 and table.replies().count() == 30
+
+
 def test_request_problems_equal_single_checks(spark):
     grid = [(q, k, a, p) for q in ("q", " \u2003\x1c", "", "a b") for k in (-1, 0, 1) for a in (-0.1, 0.0, 1.0, 1.5) for p in (None, "raw_only", "x")]
     rows = spark.createDataFrame([(n, *g) for n, g in enumerate(grid)], "n int, query string, top_k int, alpha double, text_policy string")
