@@ -25,10 +25,12 @@ def _advance(key, frames, state):
     or skipped (a removal of what is not there)."""
     import pandas as pd
 
-    rows = pd.concat(list(frames)).astype(object)
-    rows = rows.where(rows.notna(), None).sort_values(["last_ingested", "modified_time"], kind="stable", na_position="first")
+    rows = []  # of a path there are few in a micro-batch: plain values cost less than a frame's methods
+    for frame in frames:
+        rows += zip(*[[None if pd.isna(x) else x for x in frame[c].tolist()] for c in EVENT], strict=True)
+    rows.sort(key=lambda r: [(x is not None, x or "") for x in (r[3], r[2])])
     known, said = (state.get[0] if state.exists else None), []
-    for found in rows["content_hash"]:
+    for found, *_ in rows:
         if found is None:
             said.append("skipped" if known is None else "removed")
         else:
@@ -39,8 +41,8 @@ def _advance(key, frames, state):
             state.remove()
     else:
         state.update((known,))
-    rows["source_path"], rows["status"] = key[0], said
-    yield rows[["source_path", *EVENT, "status"]]
+    columns = [[key[0]] * len(rows), *map(list, zip(*rows, strict=True)), said]
+    yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(("source_path", *EVENT, "status"), columns, strict=True)})
 
 
 def statuses(events: DataFrame) -> DataFrame:
