@@ -153,7 +153,7 @@ def apply(plan_rows: DataFrame, vault_dir: str, wiki_dir: str, config: VaultConf
     Files that are there and carry no marker are never replaced by an index or manifest.
     """
     root, brand = Path(vault_dir), config.brand
-    rows = [r.asDict() for r in accepted(plan_rows).orderBy("relative_destination").collect()]
+    rows = [r.asDict() for r in accepted(plan_rows).select("source_path", "relative_destination").orderBy("relative_destination").collect()]
     pages = {f"{brand.vault_dir}/Index/{n}": index_page(n, plan_rows, brand) for n in INDEXES} if config.generate_index else {}
     problems = [f"Source file not found: {r['source_path']}" for r in rows if not Path(r["source_path"]).is_file()]
     targets = [root / r["relative_destination"] for r in rows]

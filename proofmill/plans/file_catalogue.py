@@ -214,9 +214,9 @@ def vault_files(spark: S, sf_dir: str) -> DataFrame:
     done = vault.apply(plan, target, root)
     if not done["success"]:
         raise RuntimeError("; ".join(done["errors"]))
-    written = [(os.path.relpath(p, target), p.read_bytes()) for p in sorted(Path(target).rglob("*")) if p.is_file()]
     total = lambda p, b: str(json.loads(b)["total_notes"]) if p.endswith(".json") else ids.text_hash(b.decode())
-    return spark.createDataFrame([(p, total(p, b)) for p, b in written], "path string, content string")
+    written = [(at, total(at, p.read_bytes())) for p in sorted(Path(target).rglob("*")) if p.is_file() for at in [os.path.relpath(p, target)]]  # one file's bytes at a time
+    return spark.createDataFrame(written, "path string, content string")
 
 
 @query
