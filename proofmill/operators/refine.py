@@ -15,8 +15,8 @@ PROMPT_VERSION = "v1.0"
 
 
 #: White space but single blanks and newlines: a text without a character of the first class, which is wider
-#: and quick to look for, has none.
-_MAYBE_ODD, ODD = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680-\u3000]", rf"[\t\x0b-\r\x1c-\x1f{text.WIDE_SPACE}]"
+#: and quick to look for (Java has one table for single characters, ranges are tried in turn), has none.
+_MAYBE_ODD, ODD = r"[\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680-\u3000]", rf"[\t\x0b-\r\x1c-\x1f{text.WIDE_SPACE}]"
 #: What else trimming the ends does not refine: runs, a blank before a newline, marks of a protected line.
 UNEVEN = ("  ", " \n", "\n\n\n", "|", "---", "===")
 #: Where this is not found no line is protected.
@@ -231,14 +231,11 @@ def refine_with_model(chunks: DataFrame, model: Model | None, model_name: str =
     return out.withColumn("cleaned_text_hash", ids.sha(F.col("cleaned_text"))).drop("_reply", "_problem", "_text", "_violations")
 
 
-def document_rollup(chunks: DataFrame) -> DataFrame:
-    """One row per document over its refined chunks; partial sums before the shuffle.
-
-    A document is model based if every tried chunk took the model's text; else it says why not.
-    """
+def _rollup_parts() -> list[Column]:
+    """What a document's chunks add up to."""
     r = F.col("refinement")
     tried, taken = r["model_refinement_attempted"], r["model_refinement_accepted"]
-    out = chunks.groupBy("document_id").agg(
+    return [
         F.count(F.lit(1)).alias("total_chunks"),
         F.max("end_offset").cast("long").alias("total_raw_chars"),
         F.sum(F.length("cleaned_text")).alias("total_cleaned_chars"),
@@ -248,11 +245,15 @@ def document_rollup(chunks: DataFrame) -> DataFrame:
         F.min(r["model_name"]).alias("model_name"),
         F.array_sort(F.collect_set(r["fallback_reason"])).alias("reasons"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(r["warnings"])))).alias("warnings"),
-    )
+    ]
+
+
+def _rolled(sums: DataFrame) -> DataFrame:
+    """The method, model and reasons of documents whose chunks were added up."""
     all_taken = (F.col("model_attempts") > 0) & (F.col("model_fallbacks") == 0)
     partial = F.concat(F.lit("partial_fallback: "), F.col("model_fallbacks").cast("string"), F.lit("/"), F.col("model_attempts").cast("string"), F.lit(" chunks"))
     reason = F.when(F.array_contains("reasons", "adapter_unavailable"), F.lit("adapter_unavailable")).when(F.size("reasons") > 0, partial)
-    return out.withColumns(
+    return sums.withColumns(
         {
             "refinement_method": F.when(all_taken, F.lit("model_based")).otherwise(F.lit("rule_based")),
             "model_name": F.when(all_taken, F.col("model_name")),
@@ -262,19 +263,28 @@ def document_rollup(chunks: DataFrame) -> DataFrame:
     ).drop("reasons")
 
 
+def document_rollup(chunks: DataFrame) -> DataFrame:
+    """One row per document over its refined chunks; partial sums before the shuffle.
+
+    A document is model based if every tried chunk took the model's text; else it says why not.
+    """
+    return _rolled(chunks.groupBy("document_id").agg(*_rollup_parts()))
+
+
 def result_json(chunks: DataFrame) -> DataFrame:
     """document_id, json: a document's refinement as one JSON text, chunks in order.
 
-    A document is one JSON object, so its chunks meet in one task.
+    A document is one JSON object, so its chunks meet in one task: they are gathered and added up in one
+    grouping, and where the documents were dealt by their id before they were cut, no chunk moves.
     """
     chunk = F.struct("chunk_index", "chunk_id", "raw_text", "cleaned_text", "start_offset", "end_offset", "raw_text_hash", "metadata")
     in_order = F.array_sort(F.collect_list(chunk), lambda a, b: a["chunk_index"] - b["chunk_index"])
-    gathered = chunks.groupBy("document_id").agg(in_order.alias("chunks"), F.min_by("refinement", "chunk_index").alias("_r"))
-    rolled = document_rollup(chunks)
+    first = F.min_by(F.struct("refinement.prompt_version", "refinement.no_new_facts_checked"), "chunk_index")
+    rolled = _rolled(chunks.groupBy("document_id").agg(in_order.alias("chunks"), first.alias("_r"), *_rollup_parts()))
     meta = F.struct(
         "refinement_method", F.col("_r.prompt_version").alias("prompt_version"), "model_name", "warnings", F.col("_r.no_new_facts_checked").alias("no_new_facts_checked"),
         F.col("total_raw_chars").alias("raw_text_length"), F.col("total_cleaned_chars").alias("cleaned_text_length"),
         (F.col("model_attempts") > 0).alias("model_refinement_attempted"), ((F.col("model_attempts") > 0) & (F.col("model_fallbacks") == 0)).alias("model_refinement_accepted"), "fallback_reason",
     ).alias("metadata")
     whole = F.struct("document_id", "chunks", meta, "total_chunks", "total_raw_chars", "total_cleaned_chars")
-    return gathered.join(rolled, "document_id").select("document_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+    return rolled.select("document_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.config import Branding, MetadataFilter, Settings
-from proofmill.functions import ids
+from proofmill.functions import ids, text
 from proofmill.operators import health, notes, refine, retrieve, vault
 from proofmill.operators.chunk import chunk
 from proofmill.plans import fixtures, oracle
@@ -259,10 +259,15 @@ def model_rollup(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def refinement_json(spark: S, sf_dir: str) -> DataFrame:
-    rows = refine.result_json(refine.refine_chunks(chunk(table_documents(spark, sf_dir))))
-    at = lambda path: F.get_json_object("json", path)
-    last = F.element_at(F.from_json(at("$.chunks"), "array<struct<chunk_id:string,end_offset:long>>"), -1)
-    return rows.select("document_id", at("$.total_chunks").alias("chunks"), at("$.chunks[0].raw_text_hash").alias("first_hash"), last["chunk_id"].alias("last_chunk"), at("$.metadata.refinement_method").alias("method"), at("$.total_raw_chars").alias("chars"))
+    docs = table_documents(spark, sf_dir).repartition("document_id")  # before they are cut, so that texts move once and chunks not at all
+    rows = refine.result_json(refine.refine_chunks(chunk(docs)))
+    known = "total_chunks string, chunks array<struct<chunk_id:string,raw_text_hash:string>>, metadata struct<refinement_method:string>, total_raw_chars string"
+    read = text.staged(rows, r=F.from_json("json", known))  # a JSON text is read once for all columns
+    chunks = F.col("r.chunks")
+    return read.select(
+        "document_id", F.col("r.total_chunks").alias("chunks"), F.get(chunks, F.lit(0))["raw_text_hash"].alias("first_hash"), F.try_element_at(chunks, F.lit(-1))["chunk_id"].alias("last_chunk"),
+        F.col("r.metadata.refinement_method").alias("method"), F.col("r.total_raw_chars").alias("chars"),
+    )
 
 
 @query
