@@ -75,9 +75,23 @@ def found(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+#: Letters and digits one by one, as Java has one table for single characters and tries ranges in turn.
+TOKEN = "[0123456789abcdefghijklmnopqrstuvwxyz]"
+
+
 def tokens(c: Column, lowered: bool = False) -> Column:
     """Lower-cased ASCII letter and digit runs."""
-    return found(c if lowered else F.lower(c), "[a-z0-9]+")
+    return found(c if lowered else F.lower(c), f"{TOKEN}+")
+
+
+def count_tokens(c: Column) -> Column:
+    """How many tokens a lower-cased text has."""
+    return F.regexp_count(c, F.lit(f"{TOKEN}+"))
+
+
+def present(c: Column, query_tokens: list[str]) -> Column:
+    """The tokens of a lower-cased text that are query tokens, in order; other tokens are not made."""
+    return found(c, f"(?<!{TOKEN})(?:{'|'.join(sorted(set(query_tokens)))})(?!{TOKEN})")
 
 
 def word_set(c: Column) -> Column:
@@ -117,21 +131,30 @@ def among(tokens: Column, query_tokens: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.isin(*sorted(set(query_tokens))))
 
 
+def occurrences(query_tokens: list[str], present: Column) -> Column:
+    """How often each query token, in their order, is among a text's tokens."""
+    wanted = F.array(*[F.lit(t) for t in query_tokens])
+    return F.transform(wanted, lambda q: F.size(F.filter(present, lambda t: t == q)))
+
+
+def counted_score(counts: Column, length: Column, times: Column | None = None) -> Column:
+    """Saturated term frequency over occurrences(), damped by length, at most 1; see term_score."""
+    times = F.lit(1) if times is None else times
+
+    def gain(n):
+        return F.when(n > 0, n * 1.5 / (n + 0.5)).otherwise(F.lit(0.0))
+
+    total = F.aggregate(F.transform(counts, lambda n: (times * n).cast("double")), F.lit(0.0), lambda acc, n: acc + gain(n))
+    return F.least(F.lit(1.0), total / (F.lit(1.0) + times * length * F.lit(0.001)))
+
+
 def term_score(query_tokens: list[str], present: Column, length: Column, times: Column | None = None) -> Column:
     """Saturated term frequency over query tokens in their order, damped by length, at most 1.
 
     present: the text's tokens that are query tokens; length: the number of all its tokens; the
     text counts `times` times.
     """
-    times = F.lit(1) if times is None else times
-    wanted = F.array(*[F.lit(t) for t in query_tokens])
-
-    def add(acc, q):
-        n = (times * F.size(F.filter(present, lambda t: t == q))).cast("double")
-        return acc + F.when(n > 0, n * 1.5 / (n + 0.5)).otherwise(F.lit(0.0))
-
-    total = F.aggregate(wanted, F.lit(0.0), add)
-    return F.least(F.lit(1.0), total / (F.lit(1.0) + times * length * F.lit(0.001)))
+    return counted_score(occurrences(query_tokens, present), length, times)
 
 
 def hash_score(query: Column, chunk_id: Column) -> Column:

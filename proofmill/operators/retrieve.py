@@ -149,6 +149,38 @@ def built_in_lists(corpus: DataFrame, request: RetrievalRequest, policy: str, li
     return best.groupBy(*KEYS).agg(of("keyword"), of("vector"))
 
 
+def keyword_lists(corpus: DataFrame, request: RetrievalRequest, policies: tuple[str, ...], limit: int) -> DataFrame:
+    """policy, KEYS, keyword_score, matched_fields: what keyword_hits finds under each policy, from one pass.
+
+    Every chunk is cut, refined and read once: its raw tokens are its cleaned ones where refinement only
+    trimmed it, and both together otherwise. A task keeps each list's best rows, without texts.
+    """
+    wanted = query_tokens(request.query)
+    rows = apply_filter(corpus, request.filters)
+    if not wanted:
+        return rows.where(F.lit(False)).select(F.lit("").alias("policy"), *KEYS, F.lit(0.0).alias("keyword_score"), F.array().cast("array<string>").alias("matched_fields"))
+    raw, cleaned = (F.coalesce(F.col(c), F.lit("")) for c in ("raw_text", "cleaned_text"))
+    low = text.staged(rows.select(*KEYS, raw.alias("_r"), cleaned.alias("_c")), _same=text.trimmed(F.col("_r")) == F.col("_c"), _l=F.lower("_r"))
+    counts = lambda p: F.when(F.size(p) > 0, text.occurrences(wanted, p))  # noqa: E731  null where no query token is
+    read = lambda c: F.struct(text.let(text.present(c, wanted), counts).alias("c"), text.count_tokens(c).alias("n"))
+    one = text.staged(low, _a=read(F.col("_l"))).select(*KEYS, "_same", "_a", "_c")
+    two = text.staged(one, _b=F.when(F.col("_same"), F.col("_a")).otherwise(text.let(F.lower("_c"), read))).drop("_c")
+    a, b, same = F.col("_a"), F.col("_b"), F.col("_same")
+    together = F.when(a["c"].isNull(), b["c"]).when(b["c"].isNull(), a["c"]).otherwise(F.zip_with(a["c"], b["c"], lambda x, y: x + y))
+    both = (F.when(same, a["c"]).otherwise(together), F.when(same, a["n"]).otherwise(a["n"] + b["n"]), F.when(same, F.lit(2)).otherwise(F.lit(1)))
+    fields = {RAW_ONLY: [("raw_text", a)], DUAL_CONTEXT: [("raw_text", a), ("cleaned_text", b)]}
+
+    def scored(policy: str) -> Column:
+        found, length, times = {RAW_ONLY: (a["c"], a["n"], F.lit(1)), "cleaned_only": (b["c"], b["n"], F.lit(1))}.get(policy, both)
+        names = F.filter(F.array(*[F.when(x["c"].isNotNull(), F.lit(name)) for name, x in fields.get(policy, [("cleaned_text", b)])]), lambda n: n.isNotNull())
+        score = F.when(found.isNotNull(), text.counted_score(found, length, times))
+        return F.struct(F.lit(policy).alias("policy"), score.alias("score"), names.alias("matched_fields"))
+
+    hit = two.where(a["c"].isNotNull() | b["c"].isNotNull())
+    each = hit.select(*KEYS, F.inline(F.array(*[scored(p) for p in policies]))).where(F.col("score").isNotNull())
+    return top_lists(each, limit, "policy").withColumnRenamed("score", "keyword_score")
+
+
 def merge_lists(lists: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
     """What merge() makes of the built-in lists, but for matched_fields, which need the texts."""
     k, v = F.col("keyword_score").isNotNull(), F.col("vector_score").isNotNull()

@@ -164,12 +164,8 @@ def term_counts(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_topk(spark: S, sf_dir: str) -> DataFrame:
-    rows, out = _corpus(spark, sf_dir), None
-    for policy in ("raw_only", "cleaned_only", "dual_context"):
-        hits = retrieve.keyword_hits(rows, _request(), policy, 20)
-        one = hits.select(F.lit(policy).alias("policy"), "chunk_id", *_round("keyword_score"), F.array_join("matched_fields", ",").alias("matched"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = retrieve.keyword_lists(_corpus(spark, sf_dir), _request(), ("raw_only", "cleaned_only", "dual_context"), 20)
+    return found.select("policy", "chunk_id", *_round("keyword_score"), F.array_join("matched_fields", ",").alias("matched"))
 
 
 @query
