@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 WIDE_SPACE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = rf"[\t-\r\x1c-\x20{WIDE_SPACE}]"
+#: The characters of SPACE: trimming looks at the ends alone, where an expression tries every position.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 #: Words that a refinement may add without a warning.
@@ -58,7 +60,7 @@ def fold(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def trimmed(c: Column) -> Column:
@@ -67,7 +69,7 @@ def trimmed(c: Column) -> Column:
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def found(c: Column, pattern: str) -> Column:

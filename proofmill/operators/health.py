@@ -25,6 +25,9 @@ ENUMS = {
 SOURCE_POLICY = "raw_text_authoritative"
 _KEY = r"^([A-Za-z_][A-Za-z0-9_]*):(?: +(.*))?$"
 _SOURCE = ("document_id", "source_path", "source_raw_hash", "content_hash")
+#: What the cross-note checks need of a file, beside its note_id.
+_KEPT = ("file_path", "fm_state", "issues")
+_ISSUE = "code string, severity string, message string, file_path string"
 
 
 def _issues(*found: Column) -> Column:
@@ -290,18 +293,21 @@ def note_issues(rows: DataFrame) -> DataFrame:
     return _exploded(_cross(rows.select("file_path", "fm_state", F.nullif(F.col("note_id"), F.lit("")).alias("note_id"), "issues")))
 
 
+def linted(files: DataFrame, directory: bool = True, brand: Branding = Branding(), yaml: bool = False) -> DataFrame:  # noqa: B008  frozen
+    """file_path, issues of every file, those without an issue too."""
+    rows = file_issues(parse(files, yaml), brand).select(*_KEPT, _note_id().alias("note_id"))
+    return (_cross(rows) if directory else rows).select("file_path", "issues")
+
+
 def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool = True, brand: Branding = Branding(), yaml: bool = False) -> DataFrame:  # noqa: B008  frozen
     """code, severity, message, file_path of every issue; one pass over the files.
 
     With a manifest, issues and named sources leave a file as rows of one kind; only sources have
     a key to be joined, and issues are dealt by their path.
     """
-    kept = ["file_path", "fm_state", _note_id().alias("note_id"), "issues"]
-    parsed = parse(files, yaml)
     if manifest is None:
-        rows = file_issues(parsed, brand).select(*kept)
-        return _exploded(_cross(rows) if directory else rows)
-    rows = _with_sources(file_issues(parsed, brand)).select(*kept, "sources")
+        return _exploded(linted(files, directory, brand, yaml))
+    rows = _with_sources(file_issues(parse(files, yaml), brand)).select(*_KEPT, _note_id().alias("note_id"), "sources")
     rows = _cross(rows) if directory else rows
     none = F.lit(None)
     kind = "array<struct<i:struct<code:string,severity:string,message:string>,key:string,hash:string,info:string>>"
@@ -315,7 +321,7 @@ def lint(files: DataFrame, manifest: DataFrame | None = None, directory: bool =
 
 def unrecognized(spark, path: str, problem: str) -> DataFrame:
     """The issue of a source manifest that cannot be read."""
-    return spark.createDataFrame([("source_manifest_unrecognized", "error", problem, path)], "code string, severity string, message string, file_path string")
+    return spark.createDataFrame([("source_manifest_unrecognized", "error", problem, path)], _ISSUE)
 
 
 def report(files: DataFrame, issues: DataFrame) -> DataFrame:
@@ -325,12 +331,38 @@ def report(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def report_json(files: DataFrame, issues: DataFrame, path: str) -> str:
-    """The report file: counts and the issues in file, code, message order."""
-    head = report(files, issues).first().asDict()
+    """The report file: counts and the issues in file, code, message order, one text on the driver; write_report
+    is for more files than that holds."""
     rows = [r.asDict() for r in issues.orderBy("file_path", "code", "message").collect()]
+    of = lambda severity: sum(r["severity"] == severity for r in rows)
+    head = {"files_scanned": files.count(), "error_count": of("error"), "warning_count": of("warning"), "passed": of("error") == 0}
     return json.dumps({"path": path, **head, "issues": rows}, indent=2, ensure_ascii=False)
 
 
+def write_report(rows: DataFrame, path: str, at: str) -> None:
+    """The report of linted() rows as a folder that all tasks write: `head`, a row of counts, and `issues`, JSON lines
+    whose part files hold them in file, code, message order. Files are linted once, into `files`."""
+    rows.select("file_path", "issues").write.parquet(f"{at}/files")
+    kept = rows.sparkSession.read.parquet(f"{at}/files")
+    _exploded(kept).orderBy("file_path", "code", "message").withColumn("n", F.monotonically_increasing_id()).write.json(f"{at}/issues")
+    of = lambda severity: F.coalesce(F.sum(F.size(F.filter("issues", lambda i: i["severity"] == severity))), F.lit(0))
+    head = kept.agg(F.count(F.lit(1)).alias("files_scanned"), of("error").alias("error_count"), of("warning").alias("warning_count"))
+    head.select(F.lit(path).alias("path"), "*", (F.col("error_count") == 0).alias("passed")).write.json(f"{at}/head")
+
+
+def read_report(spark, at: str) -> tuple[DataFrame, DataFrame]:
+    """What write_report wrote: the row of counts, and the issues with `position`, from 0.
+
+    A row's number has its part above 33 bits and its place in that below; the parts before it are counted first.
+    """
+    head = spark.read.schema("path string, files_scanned long, error_count long, warning_count long, passed boolean").json(f"{at}/head")
+    rows = spark.read.schema(f"n long, {_ISSUE}").json(f"{at}/issues").withColumn("_part", F.shiftright("n", 33))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))  # a row a part
+    placed = rows.join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1)))
+    return head, placed.select("position", "code", "severity", "message", "file_path")
+
+
 def report_text(found: dict) -> str:
     """A report_json() object as text for readers: counts, then the issues under each file. Words are fixed."""
     counts = f"Files scanned: {found['files_scanned']}\nIssues: {found['error_count']} error(s), {found['warning_count']} warning(s)"

@@ -43,20 +43,26 @@ def merged_refs(claims: Column, evidence: Column) -> Column:
     """One entry per identity, claim references first; each field is the first non-empty one."""
     every = F.concat(F.flatten(F.transform(claims, lambda c: c["evidence_refs"])), evidence)
     keyed = F.transform(every, lambda r: F.struct(identity(r).alias("key"), r.alias("ref")))
-    keys = F.array_distinct(F.transform(keyed, lambda k: k["key"]))
 
-    def one(key):
-        mine = F.filter(keyed, lambda k: k["key"] == key)
+    def one(key, mine):
         pick = lambda n: F.coalesce(F.get(F.filter(F.transform(mine, lambda k: k["ref"][n]), _some), F.lit(0)), F.lit("")).alias(n)
         label = F.get(mine, F.lit(0))["ref"]["label"]
         safe = F.when(text.strip(F.coalesce(label, F.lit(""))) != "", label).otherwise(F.lit("evidence"))
         return F.struct(key.alias("key"), safe.alias("label"), *[pick(n) for n in FIELDS])
 
-    return F.transform(keys, one)
+    def merged(known):  # let(): references are keyed once, and those of a key found once
+        keys = F.array_distinct(F.transform(known, lambda k: k["key"]))
+        return F.transform(keys, lambda key: text.let(F.filter(known, lambda k: k["key"] == key), lambda mine: one(key, mine)))
+
+    return text.let(keyed, merged)
 
 
 def display_labels(labels: Column) -> Column:
     """Globally unique labels: the first of equal ones keeps it, later ones get a free `-n`."""
+    return text.let(labels, _display_labels)
+
+
+def _display_labels(labels: Column) -> Column:
     size = F.size(labels)
     start = F.array().cast("array<string>")
 

@@ -193,10 +193,11 @@ def lint_rare(spark: S, sf_dir: str) -> DataFrame:
 
 @query
 def health_file(spark: S, sf_dir: str) -> DataFrame:
-    """The report file's issues with their positions."""
-    made = fixtures.faulty_files(spark, sf_dir)
-    found = json.loads(health.report_json(made, health.lint(made), "wiki"))
-    return spark.createDataFrame([(k, i["file_path"], i["code"], found["error_count"]) for k, i in enumerate(found["issues"])], "position long, file_path string, code string, error_count long")
+    """The written report's issues with their positions."""
+    at = scratch.shared(spark, "report")
+    health.write_report(health.linted(fixtures.faulty_files(spark, sf_dir)), "wiki", at)
+    head, issues = health.read_report(spark, at)
+    return issues.crossJoin(F.broadcast(head)).select("position", "file_path", "code", "error_count")
 
 
 @query
