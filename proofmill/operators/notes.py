@@ -5,6 +5,7 @@ A note is one row (NOTE); rendering is built-in functions over its arrays, one t
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from proofmill.config import Branding
 from proofmill.functions import ids, text
+from proofmill.sources import files, scratch
 
 REF = "struct<label:string,document_id:string,chunk_id:string,source_path:string,source_raw_hash:string,raw_text_hash:string,evidence_text_hash:string,excerpt:string>"
 NOTE = (
@@ -201,27 +203,60 @@ def export_plan(notes: DataFrame, strict: bool = True, allow_unvalidated: bool =
     return notes.withColumn("rejection_reason", F.coalesce(*checks))
 
 
-def write_notes(notes: DataFrame, folder: str, overwrite: bool = False, **strict) -> list[dict]:
-    """Writes accepted notes below folder, one file each, on the driver; never replaces without `overwrite`.
+RESULT = "note_id string, file_path string, written boolean, skipped boolean, rejected boolean, reason string"
+
+
+def write_files(notes: DataFrame, folder: str, overwrite: bool = False, **strict) -> DataFrame:
+    """Writes accepted notes below folder, one file each, by all tasks; never replaces without `overwrite`.
 
-    A failed write rejects that note and the batch goes on.
+    RESULT, a row for each note: a failed write rejects that note and the batch goes on. Notes of one
+    file name meet in a task, by note_id. What was there before is noted first, so that a task that
+    runs again writes its files again.
     """
-    out = Path(folder)
+    spark, out = notes.sparkSession, Path(folder)
     out.mkdir(parents=True, exist_ok=True)
-    results = []
-    rows = render(export_plan(notes, **strict)).select("note_id", "file_name", "markdown", "rejection_reason").orderBy("file_name", "note_id")
-    for r in rows.toLocalIterator():
-        at = out / (r["file_name"] or "")
-        result = {"note_id": r["note_id"], "file_path": str(at), "written": False, "skipped": False, "rejected": False, "reason": ""}
-        if r["rejection_reason"] or not r["file_name"]:
-            result |= {"rejected": True, "reason": r["rejection_reason"] or "note_id is blank"}
-        elif at.exists() and not overwrite:
-            result |= {"skipped": True, "reason": "File already exists"}
-        else:
-            try:
-                at.write_text(r["markdown"], encoding="utf-8", newline="")
-                result["written"] = True
-            except OSError as e:
-                result |= {"rejected": True, "reason": f"write failed: {e}"}
-        results.append(result)
-    return results
+    rows = render(export_plan(notes, **strict)).select("note_id", "file_name", F.when(F.coalesce("rejection_reason", F.lit("")) == "", F.col("markdown")).alias("markdown"), "rejection_reason")
+    if overwrite or not any(out.iterdir()):
+        rows = rows.withColumn("there", F.lit(False))
+    else:
+
+        def known(batches):
+            for batch in batches:
+                yield batch.filter([bool(n) and os.path.exists(out / n) for n in batch.column(0).to_pylist()])
+
+        at = scratch.shared(spark, "there")
+        files.dealt(rows.select("file_name").distinct(), "file_name").mapInArrow(known, "file_name string").write.parquet(at)
+        there = spark.read.schema("file_name string").parquet(at).withColumn("there", F.lit(True))
+        rows = rows.join(there, "file_name", "left").select("note_id", "file_name", "markdown", "rejection_reason", F.coalesce("there", F.lit(False)).alias("there"))
+
+    def write(batches):
+        import pyarrow as pa
+
+        last = None
+        for batch in batches:
+            results = []
+            for note_id, name, markdown, reason, there in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                at = out / (name or "")
+                result = {"note_id": note_id, "file_path": str(at), "written": False, "skipped": False, "rejected": False, "reason": ""}
+                if reason or not name:
+                    result |= {"rejected": True, "reason": reason or "note_id is blank"}
+                elif not overwrite and (there or name == last):
+                    result |= {"skipped": True, "reason": "File already exists"}
+                else:
+                    try:
+                        with files.placed(str(at)) as aside:
+                            Path(aside).write_bytes(markdown.encode())
+                        result["written"], last = True, name
+                    except OSError as e:
+                        result |= {"rejected": True, "reason": f"write failed: {e}"}
+                results.append(result)
+            yield pa.RecordBatch.from_pylist(results, pa.schema([(n.split()[0], {"string": pa.string(), "boolean": pa.bool_()}[n.split()[1]]) for n in RESULT.split(", ")]))
+
+    at = scratch.shared(spark, "written")
+    files.dealt(rows, "file_name").sortWithinPartitions("file_name", "note_id").mapInArrow(write, RESULT).write.parquet(at)
+    return spark.read.schema(RESULT).parquet(at)
+
+
+def write_notes(notes: DataFrame, folder: str, overwrite: bool = False, **strict) -> list[dict]:
+    """write_files() with its results as a list, by file."""
+    return [r.asDict() for r in write_files(notes, folder, overwrite, **strict).orderBy("file_path", "note_id").collect()]

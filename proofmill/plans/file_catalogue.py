@@ -206,18 +206,37 @@ def evidence_counts(spark: S, sf_dir: str) -> DataFrame:
     return plan.select("relative_source", "evidence_count", F.array_join("source_document_ids", ",").alias("sources"))
 
 
+def _hashed(batches):
+    """The path and SHA-256 of each file named in the first column."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        digests = []
+        for p in batch.column(0).to_pylist():
+            with open(p, "rb") as f:
+                digests.append(hashlib.file_digest(f, "sha256").hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["path", "content"])
+
+
 @query
 def vault_files(spark: S, sf_dir: str) -> DataFrame:
     """Every file of a vault that is written from exported notes, and the manifest's number of notes."""
     root, target = scratch.folder(spark, "notes"), scratch.folder(spark, "vault")
-    notes.write_notes(fixtures.source_notes(spark, sf_dir), root)
+    notes.write_files(fixtures.source_notes(spark, sf_dir), root)
     plan = vault.plan(vault.note_files(spark, root), None, vault.VaultConfig(), str(Path(root).resolve()))
     done = vault.apply(plan, target, root)
     if not done["success"]:
         raise RuntimeError("; ".join(done["errors"]))
-    total = lambda p, b: str(json.loads(b)["total_notes"]) if p.endswith(".json") else ids.text_hash(b.decode())
-    written = [(at, total(at, p.read_bytes())) for p in sorted(Path(target).rglob("*")) if p.is_file() for at in [os.path.relpath(p, target)]]  # one file's bytes at a time
-    return spark.createDataFrame(written, "path string, content string")
+    found = files.below(spark, target, lambda e: not e.name.startswith(files.WRITING))
+    name = F.substr("path", F.lit(len(target) + 2))
+    hashed = files.dealt(found.where(~F.endswith("path", F.lit(".json"))), "path").mapInArrow(_hashed, "path string, content string").select(name.alias("path"), "content")
+    ledgers = found.where(F.endswith("path", F.lit(".json"))).select("path", name.alias("name")).collect()  # the manifest
+    for r in ledgers:
+        lines = spark.read.text(f"file://{r['path']}").agg(F.max(F.regexp_extract("value", r'^  "total_notes": ([0-9]+),$', 1)).alias("content"))
+        hashed = hashed.unionByName(lines.select(F.lit(r["name"]).alias("path"), "content"))
+    return hashed
 
 
 @query
