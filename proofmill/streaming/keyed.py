@@ -1,14 +1,17 @@
-"""Change detection on a stream with state by path: what is known of a path is its keyed state.
+"""Change detection on a stream with keyed state: what is known of a path is in the state of its bucket.
 
 An event is an observation of a path (content_hash, size_bytes, modified_time, last_ingested) or its
-removal (content_hash null). A micro-batch reads and writes the states of its own paths alone,
-wherever the manifest stands; the state store checkpoints them by version, so a micro-batch that
+removal (content_hash null). A micro-batch reads and writes the states of its own paths' buckets
+alone, wherever the manifest stands: Spark's work for a state is shared by all paths of a bucket, and a
+bucket's text grows with the manifest (1 / BUCKETS of it). The state store checkpoints them by version, so a micro-batch that
 runs again starts from the state before it and yields the same rows, which replace its own folder.
 The manifest is read off the statuses: the newest row of each path.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,31 +20,34 @@ from proofmill.sources import manifest
 
 EVENT = ("content_hash", "size_bytes", "modified_time", "last_ingested")
 STATUS = f"{manifest.ENTRY}, status string"
-_STATE = "content_hash string"
+_STATE = "known string"
+#: Buckets that paths are dealt into by hash, each of one state: a JSON object of its paths' hashes. A checkpoint keeps to its number.
+BUCKETS = 4096
 
 
 def _advance(key, frames, state):
-    """Rows of one path, oldest first, against what is known of it: new, changed, unchanged, removed,
-    or skipped (a removal of what is not there)."""
+    """Rows of one bucket of paths, each path's oldest first, against what is known of it: new, changed,
+    unchanged, removed, or skipped (a removal of what is not there)."""
     import pandas as pd
 
-    rows = []  # of a path there are few in a micro-batch: plain values cost less than a frame's methods
+    rows = []
     for frame in frames:
-        rows += zip(*[[None if pd.isna(x) else x for x in frame[c].tolist()] for c in EVENT], strict=True)
-    rows.sort(key=lambda r: [(x is not None, x or "") for x in (r[3], r[2])])
-    known, said = (state.get[0] if state.exists else None), []
-    for found, *_ in rows:
+        rows += zip(*[[None if x is None or x != x else x for x in frame[c].tolist()] for c in ("source_path", *EVENT)], strict=True)
+    rows.sort(key=lambda r: [(x is not None, x or "") for x in (r[0], r[4], r[3])])
+    known, said = (json.loads(state.get[0]) if state.exists else {}), []
+    for path, found, *_ in rows:
+        before = known.get(path)
         if found is None:
-            said.append("skipped" if known is None else "removed")
+            said.append("skipped" if before is None else "removed")
+            known.pop(path, None)
         else:
-            said.append("new" if known is None else "unchanged" if known == found else "changed")
-        known = found
-    if known is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((known,))
-    columns = [[key[0]] * len(rows), *map(list, zip(*rows, strict=True)), said]
+            said.append("new" if before is None else "unchanged" if before == found else "changed")
+            known[path] = found
+    if known:
+        state.update((json.dumps(known),))
+    elif state.exists:
+        state.remove()
+    columns = [*map(list, zip(*rows, strict=True)), said]
     yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(("source_path", *EVENT, "status"), columns, strict=True)})
 
 
@@ -49,8 +55,10 @@ def statuses(events: DataFrame) -> DataFrame:
     """A streaming DataFrame of the events with their statuses."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = events.where(F.col("source_path").isNotNull()).select("source_path", *EVENT)
-    return rows.groupBy("source_path").applyInPandasWithState(_advance, STATUS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = events.where(F.col("source_path").isNotNull()).select("source_path", *EVENT).withColumn("size_bytes", F.col("size_bytes").cast("string")).withColumn("bucket", F.pmod(F.xxhash64("source_path"), F.lit(BUCKETS)))
+    # sizes go as text: pandas has large ones beside nulls as rounded floats
+    found = rows.groupBy("bucket").applyInPandasWithState(_advance, STATUS.replace("size_bytes long", "size_bytes string"), _STATE, "append", GroupStateTimeout.NoTimeout)
+    return found.withColumn("size_bytes", F.col("size_bytes").cast("long"))
 
 
 def follow(events: DataFrame, statuses_path: str, checkpoint: str) -> StreamingQuery:
