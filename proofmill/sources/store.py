@@ -36,6 +36,7 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64, key: str = "document_id"):
         self.spark, self.path, self.shards, self.key = spark, path.rstrip("/"), shards, key
+        self._known: list = []  # log entries read so far, which never change
 
     def _shard(self, c) -> F.Column:
         return F.pmod(F.crc32(c), F.lit(self.shards)).cast("int")
@@ -47,11 +48,24 @@ class ChunkStore:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def log(self) -> list:
-        """The log's entries, oldest first; as many as there are commits."""
-        fs, at = self._fs(f"{self.path}/log")
-        if not fs.exists(at):
-            return []
-        return sorted(self.spark.read.schema(ENTRY).json(f"{self.path}/log").collect(), key=lambda e: e["number"])
+        """The log's entries, oldest first; as many as there are commits. Numbers follow on each other, so
+        only those after the last one known are looked for and read."""
+        known = self._known
+        if not known:
+            fs, at = self._fs(f"{self.path}/log")
+            if not fs.exists(at):
+                return []
+            known = sorted(self.spark.read.schema(ENTRY).json(f"{self.path}/log").collect(), key=lambda e: e["number"])
+        new, number = [], 1 + max([0, *(e["number"] for e in known)])
+        while True:
+            fs, at = self._fs(f"{self.path}/log/{number + len(new):020d}.json")
+            if not fs.exists(at):
+                break
+            new.append(at.toString())
+        if new:
+            known = [*known, *sorted(self.spark.read.schema(ENTRY).json(new).collect(), key=lambda e: e["number"])]
+        self._known = known
+        return list(known)
 
     def version(self) -> int:
         """The newest version; 0 is the empty store."""
