@@ -215,6 +215,7 @@ def write_files(notes: DataFrame, folder: str, overwrite: bool = False, **strict
     """
     spark, out = notes.sparkSession, Path(folder)
     out.mkdir(parents=True, exist_ok=True)
+    base = out.absolute()  # tasks have working directories of their own
     rows = render(export_plan(notes, **strict)).select("note_id", "file_name", F.when(F.coalesce("rejection_reason", F.lit("")) == "", F.col("markdown")).alias("markdown"), "rejection_reason")
     if overwrite or not any(out.iterdir()):
         rows = rows.withColumn("there", F.lit(False))
@@ -222,7 +223,7 @@ def write_files(notes: DataFrame, folder: str, overwrite: bool = False, **strict
 
         def known(batches):
             for batch in batches:
-                yield batch.filter([bool(n) and os.path.exists(out / n) for n in batch.column(0).to_pylist()])
+                yield batch.filter([bool(n) and os.path.exists(base / n) for n in batch.column(0).to_pylist()])
 
         at = scratch.shared(spark, "there")
         files.dealt(rows.select("file_name").distinct(), "file_name").mapInArrow(known, "file_name string").write.parquet(at)
@@ -244,7 +245,7 @@ def write_files(notes: DataFrame, folder: str, overwrite: bool = False, **strict
                     result |= {"skipped": True, "reason": "File already exists"}
                 else:
                     try:
-                        with files.placed(str(at)) as aside:
+                        with files.placed(str(base / name)) as aside:
                             Path(aside).write_bytes(markdown.encode())
                         result["written"], last = True, name
                     except OSError as e:

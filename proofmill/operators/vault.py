@@ -198,11 +198,12 @@ def apply(plan_rows: DataFrame, vault_dir: str, wiki_dir: str, config: VaultConf
 
     Files that are there and carry no marker are never replaced by an index or manifest.
     """
-    spark, root, brand = plan_rows.sparkSession, Path(vault_dir), config.brand
+    spark, root, brand = plan_rows.sparkSession, Path(vault_dir).absolute(), config.brand
     at = scratch.shared(spark, "accepted")
     accepted(plan_rows).write.parquet(f"{at}/plan")  # read for the checks, the copies, each index and the manifest
     chosen = spark.read.schema(plan_rows.schema).parquet(f"{at}/plan")
-    dealt(chosen.select("source_path", "relative_destination"), "relative_destination").mapInArrow(_checker(root), CHECKED).write.parquet(f"{at}/checked")
+    source = F.when(F.startswith("source_path", F.lit("/")), F.col("source_path")).otherwise(F.concat(F.lit(f"{os.getcwd()}/"), F.col("source_path"))).alias("source_path")  # tasks have working directories of their own
+    dealt(chosen.select(source, "relative_destination"), "relative_destination").mapInArrow(_checker(root), CHECKED).write.parquet(f"{at}/checked")
     checked = spark.read.schema(CHECKED).parquet(f"{at}/checked")
     listed = lambda which, said: [r["p"] for r in checked.where(which).orderBy("relative_destination").select(said.alias("p")).collect()]
     problems = listed("missing", F.concat(F.lit("Source file not found: "), F.col("source_path")))

@@ -47,6 +47,7 @@ def below(spark: SparkSession, root: str, keep, enter=lambda entry: True) -> Dat
     """path: the files below root that `keep` takes. Folders are listed by tasks, level by level, into a
     scratch table; those that `enter` refuses are passed over. Both get the os.DirEntry."""
     os.scandir(root).close()  # a missing root fails here
+    root = os.path.abspath(root)  # tasks have working directories of their own
     at, schema = scratch.shared(spark, "listed"), "path string, folder boolean"
 
     def look(batches):
